@@ -22,9 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once, with its lineage cut by a reliable checkpoint. For small tables and loop states."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once, with its lineage cut. For small tables and loop states.
+
+    A written table rather than checkpoint(): a checkpointed plan carries its constraints along, which grow in loops.
+    """
+    return table(df)
 
 
 def table(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
