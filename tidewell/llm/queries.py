@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import exactdedup
+from tidewell.llm import exactdedup, mixing, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(_docs(spark, sf_dir))
 
 
+def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(_docs(spark, sf_dir), shards=8)
+
+
+def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir)).drop("_no")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_exact_dedup,)}
+    return {f.__name__: f for f in (op2_stratified_shards, op7_entropy_mix, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exactdedup.ORACLE}
+    return {"op2_stratified_shards": sharding.ORACLE, "op9_exact_dedup": exactdedup.ORACLE}
