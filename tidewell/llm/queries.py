@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import exactdedup, mixing, sharding
+from tidewell.llm import exactdedup, langid, mixing, pii, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +21,20 @@ def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(_docs(spark, sf_dir), shards=8)
 
 
+def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.train_and_identify(_docs(spark, sf_dir))
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).drop("_no")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_stratified_shards, op7_entropy_mix, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_stratified_shards, op3_ppm_language, op7_entropy_mix, op9_exact_dedup, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
