@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import exactdedup, langid, mixing, pii, sharding
+from tidewell.llm import decontam, exactdedup, langid, license, mixing, pii, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(_docs(spark, sf_dir))
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(_docs(spark, sf_dir), shards=8)
 
@@ -25,6 +29,10 @@ def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.train_and_identify(_docs(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_docs(spark, sf_dir))
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).drop("_no")
 
@@ -34,7 +42,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_stratified_shards, op3_ppm_language, op7_entropy_mix, op9_exact_dedup, op10_personal_data)}
+    return {f.__name__: f for f in (op1_template_decontamination, op2_stratified_shards, op3_ppm_language, op5_license_scan, op7_entropy_mix, op9_exact_dedup, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
