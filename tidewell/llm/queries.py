@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontam, exactdedup, langid, license, mixing, pii, sharding
+from tidewell.llm import decontam, exactdedup, langid, license, mixing, ngramjoin, pii, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_docs(spark, sf_dir))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(_docs(spark, sf_dir)).drop("_row")
+
+
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).drop("_no")
 
@@ -42,7 +46,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_decontamination, op2_stratified_shards, op3_ppm_language, op5_license_scan, op7_entropy_mix, op9_exact_dedup, op10_personal_data)}
+    return {f.__name__: f for f in (op1_template_decontamination, op2_stratified_shards, op3_ppm_language, op5_license_scan, op6_ngram_jaccard_join, op7_entropy_mix, op9_exact_dedup, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:

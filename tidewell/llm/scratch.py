@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +36,46 @@ def table(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = 1 << 22) -> DataFrame:
+    """df without most of the rows whose key is not among keys: a bitmap of key hashes, of bits / 64 rows at most, is broadcast.
+
+    Rows that pass may still be strangers (more of them the more keys there are); an exact join follows.
+    """
+    slot = F.pmod(F.xxhash64(keys_key), F.lit(bits))
+    words = keys.select(slot.alias("_slot")).select(F.expr("cast(_slot div 64 as int)").alias("_word"), F.expr("shiftleft(1L, cast(_slot & 63 as int))").alias("_m"))
+    words = words.groupBy("_word").agg(F.bit_or("_m").alias("_mask"))
+    rows = df.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(bits))).withColumn("_word", F.expr("cast(_slot div 64 as int)"))
+    rows = rows.join(F.broadcast(words), "_word").filter(F.expr("_mask & shiftleft(1L, cast(_slot & 63 as int))") != 0)
+    return rows.drop("_slot", "_word", "_mask")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of longs -> (node, comp), comp the smallest node of its connected component.
+
+    Every round hooks each node to its smallest neighbour, shortens the chains and contracts the edges; states are written
+    tables. Hubs are aggregated before the shuffle, and nothing but the number of open edges reaches the driver.
+    """
+    edges = table(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    known = None
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        parent = table(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("comp")))
+        while True:
+            up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+            jumped = table(parent.join(up, "comp").select("node", F.col("top").alias("comp"), (F.col("top") != F.col("comp")).alias("moved")))
+            parent = jumped.select("node", "comp")
+            if jumped.filter("moved").isEmpty():
+                break
+        if known is None:
+            known = parent
+        else:
+            up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+            known = table(known.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+        p, q = parent.toDF("a", "pa"), parent.toDF("b", "pb")
+        edges = edges.join(p, "a").join(q, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        edges = table(edges)
+    if known is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    return known
