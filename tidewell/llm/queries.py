@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontam, exactdedup, langid, license, mixing, ngramjoin, pii, sharding
+from tidewell.llm import decontam, exactdedup, langid, license, mixing, ngramjoin, pii, sharding, suffixdedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(_docs(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(_docs(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_decontamination, op2_stratified_shards, op3_ppm_language, op5_license_scan, op6_ngram_jaccard_join, op7_entropy_mix, op9_exact_dedup, op10_personal_data)}
+    return {f.__name__: f for f in (op1_template_decontamination, op2_stratified_shards, op3_ppm_language, op5_license_scan, op6_ngram_jaccard_join, op7_entropy_mix, op8_suffix_repeats, op9_exact_dedup, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:

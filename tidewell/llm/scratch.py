@@ -38,17 +38,26 @@ def table(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bitmap(keys: DataFrame, key: Column, bits: int) -> DataFrame:
+    """(_word, _mask): the hashes of keys as a bitmap, of bits / 64 rows at most however many keys there are."""
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = keys.select(slot.alias("_slot")).select(F.expr("cast(_slot div 64 as int)").alias("_word"), F.expr("shiftleft(1L, cast(_slot & 63 as int))").alias("_m"))
+    return words.groupBy("_word").agg(F.bit_or("_m").alias("_mask"))
+
+
+def mark(df: DataFrame, key: Column, words: DataFrame, bits: int, name: str) -> DataFrame:
+    """df with a boolean column: false if the row's key is not in the bitmap, which is broadcast."""
+    rows = df.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(bits))).withColumn("_word", F.expr("cast(_slot div 64 as int)"))
+    rows = rows.join(F.broadcast(words), "_word", "left")
+    return rows.withColumn(name, F.expr("coalesce(_mask & shiftleft(1L, cast(_slot & 63 as int)), 0L) <> 0")).drop("_slot", "_word", "_mask")
+
+
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = 1 << 22) -> DataFrame:
-    """df without most of the rows whose key is not among keys: a bitmap of key hashes, of bits / 64 rows at most, is broadcast.
+    """df without most of the rows whose key is not among keys.
 
     Rows that pass may still be strangers (more of them the more keys there are); an exact join follows.
     """
-    slot = F.pmod(F.xxhash64(keys_key), F.lit(bits))
-    words = keys.select(slot.alias("_slot")).select(F.expr("cast(_slot div 64 as int)").alias("_word"), F.expr("shiftleft(1L, cast(_slot & 63 as int))").alias("_m"))
-    words = words.groupBy("_word").agg(F.bit_or("_m").alias("_mask"))
-    rows = df.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(bits))).withColumn("_word", F.expr("cast(_slot div 64 as int)"))
-    rows = rows.join(F.broadcast(words), "_word").filter(F.expr("_mask & shiftleft(1L, cast(_slot & 63 as int))") != 0)
-    return rows.drop("_slot", "_word", "_mask")
+    return mark(df, key, bitmap(keys, keys_key, bits), bits, "_maybe").filter("_maybe").drop("_maybe")
 
 
 def components(edges: DataFrame) -> DataFrame:
