@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontam, exactdedup, langid, license, mixing, ngramjoin, pii, sharding, suffixdedup
+from tidewell.llm import decontam, exactdedup, langid, license, linededup, mixing, ngramjoin, pii, sharding, suffixdedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.train_and_identify(_docs(spark, sf_dir))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_docs(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_docs(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_decontamination, op2_stratified_shards, op3_ppm_language, op5_license_scan, op6_ngram_jaccard_join, op7_entropy_mix, op8_suffix_repeats, op9_exact_dedup, op10_personal_data)}
+    return {f.__name__: f for f in (op1_template_decontamination, op2_stratified_shards, op3_ppm_language, op4_line_dedup, op5_license_scan, op6_ngram_jaccard_join, op7_entropy_mix, op8_suffix_repeats, op9_exact_dedup, op10_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
