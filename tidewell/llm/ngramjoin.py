@@ -6,11 +6,15 @@ n - ceil(t * n) + 1.
 
 1. Equal sets become one class (128-bit set hash and size).
 2. Classes with identical prefixes and size become one group; only the group's leader enters the prefix index.
-3. First round: in each bucket of the index the groups are compared with the bucket's smallest one, and each group's
-   leader with its members. Verified links give preliminary components, which most copies of one text join here.
-4. Second round: buckets that still hold two components are expanded to members, and every pair of different components
-   that passes the length and positional filters is verified. A pair inside one component cannot change the result, so a
-   family of k copies costs about k comparisons and not k * k.
+3. Star rounds: in each bucket the members are verified against one of them, in the first round the one with the fewest
+   shingles before the shared one (the least edited copy, as edits make rare shingles), then the second, and so on.
+   Verified links give components, which most copies of one text join here; pairs inside a component are left out.
+4. Last round: every pair of members of different components that meets in a bucket and passes the length, positional and
+   count filters is verified. A pair inside one component cannot change the result, so a family of k copies costs about k
+   comparisons a round and not k * k.
+
+The count filter: with p the length of the prefixes, the intersection is at most the shared prefix shingles + n - p (of the larger
+one), so about 45 % of the prefixes must agree.
 """
 
 from __future__ import annotations
@@ -111,8 +115,7 @@ def profiles(texts: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
                     i = a + r
                     n[i] = len(s)
                     keep = len(s) - -(-percent * len(s) // 100) + 1
-                    # rarest first: counter, then hash; only the prefix needs to be in order
-                    key = (counts[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF))
+                    key = _ordered(s, counts)  # only the prefix needs to be in order
                     head = np.argpartition(key, keep - 1)[:keep] if keep < len(s) else np.arange(len(s))
                     prefix = s[head[np.argsort(key[head], kind="stable")]]
                     for j, of in enumerate((s, prefix)):
@@ -128,6 +131,11 @@ def profiles(texts: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     return texts.mapInArrow(profile, f"_row long, doc_id {kind}, n long, lo long, hi long, pa long, pb long, prefix array<long>")
 
 
+def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Keys that order shingles by rarity: counter, then hash."""
+    return (counts[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF))
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """_row and the whole set of each row."""
 
@@ -143,31 +151,48 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("_row", "text").mapInArrow(run, "_row long, s array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of rows whose sets are similar enough. Only the rows in pairs are read again and shuffled."""
-    wanted = scratch.table(pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct())
-    near = scratch.maybe_in(texts, F.col("_row"), wanted, F.col("_row")).join(wanted, "_row", "left_semi")
-    sets = scratch.table(_sets(near))
-    both = pairs.join(sets.select(F.col("_row").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("_row").alias("a"), F.col("s").alias("sa")), "a")
-    both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    union = F.size("sa") + F.size("sb") - F.col("common")
-    return both.filter(100 * F.col("common") >= percent * union).select("a", "b")
+def _rest(n: str, percent: int):
+    """n - p: the shingles after the prefix."""
+    return F.expr(f"cast(({percent} * {n} + 99) div 100 as int) - 1")
+
+
+def _enough(shared, na: str, nb: str, percent: int):
+    """The count filter, for the number of shared prefix shingles."""
+    most = shared + F.greatest(_rest(na, percent), _rest(nb, percent))
+    return (100 + percent) * most >= percent * (F.col(na) + F.col(nb))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of rows whose sets are similar enough: the count filter on the stored prefixes first; the whole sets only
+    of the pairs that are left, from their texts."""
+
+    def fetch(some: DataFrame, source: DataFrame, load=None) -> DataFrame:
+        ends = scratch.table(some.select(F.col("a").alias("cid")).unionByName(some.select(F.col("b").alias("cid"))).distinct())
+        near = scratch.maybe_in(source, F.col("_row"), ends, F.col("cid"))
+        if load:
+            near = scratch.table(load(near.join(ends.select(F.col("cid").alias("_row")), "_row", "left_semi")))
+        return some.join(near.toDF("b", "nb", "sb"), "b").join(near.toDF("a", "na", "sa"), "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+
+    near = fetch(pairs, rows.select("_row", "n", "prefix"))
+    near = scratch.table(near.filter(_enough(F.col("common"), "na", "nb", percent)).select("a", "b"))
+    both = fetch(near, texts.select("_row", "text"), lambda t: _sets(t).select("_row", F.size("s").alias("n"), "s"))
+    return both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
 def _passes(percent: int, na: str, pos_a: str, nb: str, pos_b: str):
-    """Length and positional filters of a pair that meets in one shingle of both prefixes."""
+    """Length and positional filters of a pair, for its first shared shingle: from there on both sets must be long enough for the
+    intersection that their sizes need. A similar pair passes in one bucket at least."""
     a, b, i, j = F.col(na), F.col(nb), F.col(pos_a), F.col(pos_b)
-    most = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * most >= percent * (a + b))
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * F.least(a - i, b - j) >= percent * (a + b))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, segments: int = 64) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, _row.
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, segments: int = 64, rounds: int = 8) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, _row, _comp (a number of the component; null if the set is empty).
 
     component_id is the smallest doc_id reachable over links (100 * intersection >= percent * union). Null or blank texts have
     an empty set and only themselves; rows of equal sets are linked. Null ids come after all others. An empty table gives
     an empty result; columns other than the two are ignored. Whole texts are used, and all links between different texts
-    count, whether or not they were compared one by one.
+    count, whether or not they were compared one by one. `rounds` bounds the star rounds, not the result.
     """
     texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.table(profiles(texts, rarity_sketch(texts), percent))
@@ -179,43 +204,79 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     one = Window.partitionBy(*key)
     merged = merged.select(*key, "seg", F.min("first").over(one).alias("cid"), F.min("least").over(one).alias("label"))
     member = scratch.table(full.drop("prefix", "pa", "pb").join(merged, [*key, "seg"]).select("_row", "doc_id", "n", "cid", "label"))
-    classes = full.join(merged.select(F.col("cid").alias("_row"), "label").distinct(), "_row").select(F.col("_row").alias("cid"), "label", "n", "pa", "pb", "prefix")
+    classes = full.join(member.filter("_row = cid").select("_row", "label"), "_row").select(F.col("_row").alias("cid"), "label", "n", "pa", "pb", "prefix")
 
-    # 2. groups of classes with identical prefixes and size
+    # 2. groups of classes with identical prefixes and size; buckets with one class are dropped
     same = Window.partitionBy("n", "pa", "pb")
     classes = classes.withColumn("gid", F.min("cid").over(same)).withColumn("m", F.count("*").over(same))
-    classes = scratch.table(classes.select("cid", "label", "n", "gid", "m", F.when(F.col("cid") == F.col("gid"), F.col("prefix")).alias("prefix")))
     groups = classes.filter("cid = gid").select("gid", F.col("n").cast("int").alias("n"), F.col("m").cast("int").alias("m"), F.posexplode("prefix").alias("pos", "token"))
-    bucket = Window.partitionBy("token")
-    index = groups.withColumn("all", F.sum("m").over(bucket)).withColumn("lead", F.min(F.struct("gid", "n", "pos")).over(bucket)).filter("`all` > 1")
-    index = scratch.table(index.select("token", "gid", "n", "pos", "lead"))
+    index = groups.withColumn("all", F.sum("m").over(Window.partitionBy("token"))).filter("`all` > 1")
+    index = scratch.table(index.select("token", "gid", "n", "pos"))
+    # expanded to members; only classes of the index can have links
+    expand = classes.join(index.select("gid").distinct(), "gid", "left_semi").select("gid", "cid", "label", "n")
+    expand = scratch.table(expand)
 
     # 3. stars
-    star = index.filter(F.col("gid") != F.col("lead.gid")).select("gid", "n", "pos", F.col("lead.gid").alias("a"), F.col("lead.n").alias("an"), F.col("lead.pos").alias("ap"))
-    star = star.filter(_passes(percent, "an", "ap", "n", "pos")).select("a", F.col("gid").alias("b"))
-    inner = classes.filter("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-    links = scratch.table(_verified(scratch.table(star.unionByName(inner).distinct()), texts, percent))
-    comp = scratch.components(links)
-
-    # 4. pairs of different components
-    grown = classes.select("gid", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("comp", "cid").alias("comp"))
-    spread = index.drop("lead").join(grown, "gid")
+    links, comp = None, None
+    for turn in range(rounds):
+        spread = _open_buckets(index, expand, comp)
+        order = Window.partitionBy("token").orderBy("pos", "cid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        star = spread.withColumn("x", F.nth_value(F.struct("cid", "comp", "n", "pos"), turn + 1).over(order)).filter("x is not null and x.comp <> comp")
+        star = star.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("pos").alias("bp"), F.col("x.cid").alias("a"), F.col("x.n").alias("an"), F.col("x.pos").alias("ap"))
+        star = scratch.table(star.filter(_passes(percent, "an", "ap", "bn", "bp")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        tried = star.count()
+        if not tried:
+            break
+        found = scratch.table(_verified(star, rows, texts, percent))
+        new = found.count()
+        if new:
+            links = found if links is None else links.unionByName(found)
+            comp = scratch.components(links)
+        if turn and new * 50 < tried:
+            break
+
+    # 4. all pairs of different components
+    spread = _open_buckets(index, expand, comp)
     per = spread.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    split = per.groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("k", "comp")).alias("main")).filter("kinds > 1").select("token", "main")
-    spread = scratch.table(spread.join(split, "token").select("token", "main", "cid", "comp", "n", "pos"))
+    main = per.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"))
+    spread = scratch.table(spread.join(main, "token"))
     a = spread.filter("comp <> main").select("token", F.col("cid").alias("a"), F.col("comp").alias("ac"), F.col("n").alias("an"), F.col("pos").alias("ap"))
     b = spread.select("token", F.col("cid").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"), F.col("pos").alias("bp"), (F.col("comp") != F.col("main")).alias("minor"))
-    more = a.join(b, "token").filter((F.col("ac") != F.col("bc")) & (~F.col("minor") | (F.col("a") < F.col("b")))).filter(_passes(percent, "an", "ap", "bn", "bp"))
-    more = scratch.table(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.unionByName(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = a.join(b, "token").filter((F.col("ac") != F.col("bc")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & _passes(percent, "an", "ap", "bn", "bp"))
+    more = scratch.table(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not more.isEmpty():
-        late = scratch.table(_verified(more, texts, percent))
+        late = scratch.table(_verified(more, rows, texts, percent))
         if not late.isEmpty():
-            comp = scratch.components(links.unionByName(late))
+            comp = scratch.components(late if links is None else links.unionByName(late))
+    if comp is None:
+        comp = expand.select(F.col("cid").alias("node"), F.col("cid").alias("comp"))
+    classes = expand
 
     # labels: the smallest id of each component
     named = classes.select("cid", "label").join(comp.withColumnRenamed("node", "cid"), "cid")
     least = named.groupBy("comp").agg(F.min("label").alias("component_id"))
-    linked = named.select("cid", "comp").join(least, "comp").select("cid", "component_id")
-    out = member.join(linked, "cid", "left").select("_row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "label").alias("component_id"))
-    empty = rows.filter("n = 0").select("_row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty).select("doc_id", "n_shingles", "component_id", "_row")
+    linked = named.select("cid", "comp").join(least, "comp").select("cid", "comp", "component_id")
+    out = member.join(linked, "cid", "left").select("_row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "label").alias("component_id"), F.coalesce("comp", "cid").alias("_comp"))
+    empty = rows.filter("n = 0").select("_row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("_comp"))
+    return out.unionByName(empty).select("doc_id", "n_shingles", "component_id", "_row", "_comp")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """docs without all but one row of each component: the one with the smallest id (null last), then the first row. Rows with an
+    empty set stay. Takes the numbering of the rows from the scan of docs, so docs should be a table."""
+    found = scratch.table(join(docs, **options).filter("_comp is not null").select("_row", "_comp", "doc_id"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    kept = found.groupBy("_comp").agg(F.min(place).alias("k")).select(F.col("k._row").alias("_row"))
+    gone = scratch.table(found.select("_row").join(kept, "_row", "left_anti"))
+    return scratch.without(docs, gone)
+
+
+def _open_buckets(index: DataFrame, expand: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(token, cid, comp, n, pos) of the buckets that hold classes of two components or more."""
+    if comp is None:
+        grown = expand.select("gid", "cid", F.col("cid").alias("comp"))
+        return scratch.table(index.join(grown, "gid").select("token", "cid", "comp", "n", "pos"))
+    grown = expand.select("gid", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("comp", "cid").alias("comp"))
+    spread = index.join(grown, "gid").select("token", "cid", "comp", "n", "pos")
+    split = spread.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+    return scratch.table(spread.join(split, "token"))
