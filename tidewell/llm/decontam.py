@@ -175,28 +175,52 @@ def _searcher(shared, coverage: float, rows: DataFrame, queries: DataFrame):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(*shared.value)
         for batch in batches:
-            data, offsets = bytekit.buffers(batch.column("text"))
-            found = []
-            for a, b in bytekit.slices(offsets):
-                code, literal, value, first = canonical(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                mine, theirs = index.probe(*windows(code, literal, first))
-                if not len(mine):
-                    continue
-                row = np.searchsorted(first, mine, "right") - 1
-                item = np.searchsorted(index.first, theirs, "right") - 1
-                key = row * len(index.ids) + item
-                order = np.argsort(key, kind="stable")
-                cuts = np.flatnonzero(np.diff(key[order])) + 1
-                for group in np.split(order, cuts):
-                    g = group[0]
-                    verdict = _judge(index, code, value, literal, mine[group], theirs[group], item[g], coverage)
-                    if verdict:
-                        share, word, verbatim = verdict
-                        found.append((a + row[g], index.ids[item[g]], share, word - int(first[row[g]]), verbatim))
+            found = _matches(index, batch.column("text"), coverage)
             cols = list(zip(*found, strict=True)) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(cols[0], pa.int64())).cast(doc_type), pa.array(cols[1], item_type), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_())],
+                [batch.column("doc_id").take(pa.array(cols[0], pa.int64())).cast(doc_type), pa.array([index.ids[i] for i in cols[1]], item_type), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_())],
                 ["doc_id", "item_id", "covered", "word", "verbatim"],
             )
 
     return search
+
+
+def _matches(index: ItemIndex, texts: pa.Array, coverage: float) -> list[tuple[int, int, float, int, bool]]:
+    """(row, item's place, covered share, word, verbatim) of every contaminated (row, item) of a batch."""
+    data, offsets = bytekit.buffers(texts)
+    found = []
+    for a, b in bytekit.slices(offsets):
+        code, literal, value, first = canonical(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        mine, theirs = index.probe(*windows(code, literal, first))
+        if not len(mine):
+            continue
+        row = np.searchsorted(first, mine, "right") - 1
+        item = np.searchsorted(index.first, theirs, "right") - 1
+        key = row * len(index.ids) + item
+        order = np.argsort(key, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            g = group[0]
+            verdict = _judge(index, code, value, literal, mine[group], theirs[group], item[g], coverage)
+            if verdict:
+                share, word, verbatim = verdict
+                found.append((int(a + row[g]), int(item[g]), share, word - int(first[row[g]]), verbatim))
+    return found
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text", coverage: float = 0.6, block_items: int = 20_000) -> DataFrame:
+    """The rows of docs that no item contaminates, in docs' columns."""
+
+    def cleaner(shared):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(*shared.value)
+            for batch in batches:
+                bad = np.zeros(batch.num_rows, bool)
+                bad[[m[0] for m in _matches(index, batch.column(text_col), coverage)]] = True
+                yield batch.filter(pa.array(~bad))
+
+        return keep
+
+    queries = items.filter(F.col(item_text_col).isNotNull()).select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("text"))
+    for block in _blocks(queries, block_items):
+        docs = docs.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return docs

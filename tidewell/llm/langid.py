@@ -185,3 +185,20 @@ def identify(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_
 def train_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
     """Learns from the rows that are not held out, predicts all rows."""
     return identify(docs, fit(docs.filter(~held_out(id_col)), id_col, text_col, lang_col, **bounds), id_col, text_col)
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
+    """The rows of docs for which a language is found, in docs' columns; `und` rows go."""
+    model = fit(docs.filter(~held_out(id_col)), id_col, text_col, lang_col, **bounds)
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, node, cost = _loaded(shared.value)
+        for batch in batches:
+            bits = code_lengths(*bytekit.buffers(batch.column(text_col)), node, cost)
+            yield batch.filter(pa.array(np.isfinite(bits.min(1)) & (bits.min(1) > 0)))
+
+    # texts without a letter are `und` whatever their code lengths
+    return docs.filter(F.col(text_col).rlike(r"\p{L}")).mapInArrow(keep, docs.schema)

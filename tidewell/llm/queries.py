@@ -42,7 +42,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.join(_docs(spark, sf_dir)).drop("_row")
+    return ngramjoin.join(_docs(spark, sf_dir)).drop("_row", "_comp")
 
 
 def op7_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

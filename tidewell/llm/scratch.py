@@ -60,6 +60,17 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits
     return mark(df, key, bitmap(keys, keys_key, bits), bits, "_maybe").filter("_maybe").drop("_maybe")
 
 
+def without(docs: DataFrame, gone: DataFrame, bits: int = 1 << 22) -> DataFrame:
+    """docs without the rows whose number (monotonically_increasing_id of the scan of docs) is in gone._row.
+
+    Only rows that a bitmap of the numbers lets through are shuffled for the exact anti-join.
+    """
+    columns = docs.columns
+    rows = mark(docs.withColumn("__row", F.monotonically_increasing_id()), F.col("__row"), bitmap(gone, F.col("_row"), bits), bits, "__maybe")
+    doubtful = rows.filter("__maybe").join(gone.select(F.col("_row").alias("__row")), "__row", "left_anti")
+    return rows.filter("not __maybe").select(*columns).unionByName(doubtful.select(*columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) of longs -> (node, comp), comp the smallest node of its connected component.
 
