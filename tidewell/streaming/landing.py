@@ -12,8 +12,12 @@ from tidewell.sources.files import chunk_files
 from tidewell.sources.store import ChunkStore
 
 
+#: Schema of the binaryFile source.
+_BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
 def stream_files(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = spark.readStream.schema(_BINARY).format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("modificationTime").cast("long").alias("mtime"), "content")
 
 
