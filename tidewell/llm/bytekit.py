@@ -14,7 +14,7 @@ import pyarrow as pa
 
 #: Blanks of the word pattern [^\x20\x09-\x0D]+.
 BLANK = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-SLICE = 1 << 20
+SLICE = 1 << 18
 _rng = np.random.default_rng(20240229)
 _VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm import bytekit
+from tidewell.llm import bytekit, scratch
 
 ORDER = 3
-PIECE = 1 << 19
+PIECE = 1 << 18
 _models: dict[int, PpmModel] = {}
 
 
@@ -54,38 +54,45 @@ class PpmModel:
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """node of each three-byte context (2 ** 24), and code lengths [node * 256 + byte, language]."""
         langs = len(self.languages)
-        limit = min(self.max_contexts, 24_000 // langs + 1)  # nodes * languages stay bounded
-        total = np.zeros((langs, 256))
-        np.add.at(total, (self.lang, self.code & 255), self.count)
-        rows = [self._node(total, np.full((langs, 256), 1 / 256))]  # order 0
-        node = np.zeros(1, np.int32)  # node of each context of the previous order
+        limit = min(self.max_contexts, 24_000 // langs + 1, 20_000)  # nodes * languages stay bounded, and nodes below 2 ** 16
+        plan = [(np.zeros(1, np.int64), np.zeros(len(self.code), np.int64))]  # order 0: one context
         for order in range(1, ORDER + 1):
-            node = np.tile(node, 256)  # a longer context falls back to its own suffix
             context = (self.code >> np.uint32(8)).astype(np.int64) & (256**order - 1)
-            chosen, at, weight = np.unique(context, return_inverse=True, return_counts=True)
+            chosen, at = np.unique(context, return_inverse=True)
             weight = np.bincount(at, weights=self.count)
             # a context enters the tree if it was seen twice; the most frequent first, up to the bound
             keep = np.argsort(-weight, kind="stable")[:limit]
             keep = np.sort(keep[weight[keep] >= 2])
             place = np.full(len(chosen), -1)
             place[keep] = np.arange(len(keep))
-            mine = place[at] >= 0
-            seen = np.zeros((len(keep), langs, 256))
-            np.add.at(seen, (place[at[mine]], self.lang[mine], self.code[mine] & 255), self.count[mine])
-            lower = np.concatenate(rows)
-            rows.append(self._node(seen, lower[node[chosen[keep]]]))
-            node[chosen[keep]] = len(lower) + np.arange(len(keep))
-        cost = -np.log2(np.concatenate(rows))
-        return node, np.ascontiguousarray(cost.transpose(0, 2, 1).reshape(-1, langs).astype(np.float32))
+            plan.append((chosen[keep], place[at]))
+        p = np.empty((sum(len(c) for c, _ in plan), 256, langs), np.float32)
+        node = np.zeros(1, np.uint16)  # node of each context of the previous order
+        first = 0
+        for order, (contexts, place) in enumerate(plan):
+            if order:
+                node = np.tile(node, 256)  # a longer context falls back to its own suffix
+            by_place = np.argsort(place, kind="stable")
+            edge = np.searchsorted(place[by_place], np.arange(len(contexts) + 1))
+            for a in range(0, len(contexts), 256):  # in pieces, to bound the memory
+                b = min(a + 256, len(contexts))
+                rows = by_place[edge[a] : edge[b]]
+                seen = np.zeros((b - a, 256, langs))
+                np.add.at(seen, (place[rows] - a, self.code[rows] & 255, self.lang[rows]), self.count[rows])
+                lower = p[node[contexts[a:b]]].astype(np.float64) if order else np.full((1, 256, langs), 1 / 256)
+                p[first + a : first + b] = self._node(seen, lower)
+            if order:
+                node[contexts] = first + np.arange(len(contexts))
+            first += len(contexts)
+        cost = np.negative(np.log2(p, out=p), out=p)
+        return node, cost.reshape(-1, langs)
 
     @staticmethod
     def _node(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probabilities [.., language, byte] from counts and the distribution of the next shorter context."""
-        if count.ndim == 2:
-            count, lower = count[None], lower[None]
-        n, kinds = count.sum(-1, keepdims=True), (count > 0).sum(-1, keepdims=True)
+        """Probabilities [.., byte, language] from counts and the distribution of the next shorter context."""
+        n, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
         rest = np.where(count > 0, 0.0, lower)
-        left = rest.sum(-1, keepdims=True)
+        left = rest.sum(1, keepdims=True)
         escape = np.where(left > 0, kinds / np.maximum(n + kinds, 1), 0.0)
         unseen = escape * rest / np.maximum(left, 1e-300)
         seen = np.where(left > 0, count / np.maximum(n + kinds, 1), count / np.maximum(n, 1))
@@ -125,6 +132,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     The bound of the sample: about sample_docs rows per language, chosen by the hash of their id, in whole. Every language of the table is learned; more than max_languages are an error. The counts
     are summed on the executors; what reaches the driver is bounded by the sample.
     """
+    scratch.small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
     if not sizes:
@@ -161,6 +169,7 @@ def identify(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_
     the shortest code (ties: the first by name), and the score is its share of 2 ** -(bits) over all languages, 1 / languages at least.
     Whole texts are scored; other columns are ignored.
     """
+    scratch.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))
     if model is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -194,11 +203,11 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return docs.limit(0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(texts: Iterator[pa.Array]) -> Iterator[np.ndarray]:
         _, node, cost = _loaded(shared.value)
-        for batch in batches:
-            bits = code_lengths(*bytekit.buffers(batch.column(text_col)), node, cost)
-            yield batch.filter(pa.array(np.isfinite(bits.min(1)) & (bits.min(1) > 0)))
+        for text in texts:
+            bits = code_lengths(*bytekit.buffers(text), node, cost).min(1)
+            yield np.isfinite(bits) & (bits > 0)
 
     # texts without a letter are `und` whatever their code lengths
-    return docs.filter(F.col(text_col).rlike(r"\p{L}")).mapInArrow(keep, docs.schema)
+    return scratch.keep_rows(docs.filter(F.col(text_col).rlike(r"\p{L}")), text_col, keep)
