@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm import bytekit
+from tidewell.llm import bytekit, scratch
 
 WINDOW = 5
 LITERALS = 3
@@ -145,6 +145,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     are searched; other columns are ignored.
     """
     spark = docs.sparkSession
+    scratch.small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ids, item_kind = rows.schema["doc_id"].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     out, schema = None, f"doc_id {ids}, item_id {item_kind}, covered double, word long, verbatim boolean"
@@ -211,16 +212,16 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_t
     """The rows of docs that no item contaminates, in docs' columns."""
 
     def cleaner(shared):
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def keep(texts: Iterator[pa.Array]) -> Iterator[np.ndarray]:
             index = ItemIndex(*shared.value)
-            for batch in batches:
-                bad = np.zeros(batch.num_rows, bool)
-                bad[[m[0] for m in _matches(index, batch.column(text_col), coverage)]] = True
-                yield batch.filter(pa.array(~bad))
+            for text in texts:
+                clean = np.ones(len(text), bool)
+                clean[[m[0] for m in _matches(index, text, coverage)]] = False
+                yield clean
 
         return keep
 
     queries = items.filter(F.col(item_text_col).isNotNull()).select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("text"))
     for block in _blocks(queries, block_items):
-        docs = docs.mapInArrow(cleaner(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        docs = scratch.keep_rows(docs, text_col, cleaner(docs.sparkSession.sparkContext.broadcast(block)))
     return docs

@@ -40,7 +40,7 @@ def flush(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column]
     """The written runs: _id, _row, _n, _segment and _digest of every row, sorted by digest in each file."""
     runs = docs.select(
         F.col(id_col).alias("_id"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.col("__tw_key").alias("_row"),
         F.coalesce(F.length(text_col), F.lit(0)).alias("_n"),
         digest(normalised(F.col(text_col))).alias("_digest"),
     ).withColumn("_segment", F.pmod(F.xxhash64("_id", "_row"), F.lit(segments)).cast("int"))
@@ -93,6 +93,7 @@ def exact_dedup(
     An empty table gives an empty result; other columns, whatever their names, are ignored. The bitmap is broadcast: it
     has filter_bits / 64 rows at most. If it fills up, more texts are compared and the result is the same.
     """
+    docs = scratch.keyed(docs, id_col)
     runs = flush(docs, id_col, text_col, digest, segments)
     index = compact(runs)
     hits = index.filter("group_size > 1").select("_digest").distinct()
@@ -100,7 +101,7 @@ def exact_dedup(
     out = _resolve(runs, index)
     if not shared.isEmpty():
         rows = docs.select(
-            F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.coalesce(F.length(text_col), F.lit(0)).alias("_n"), normalised(F.col(text_col)).alias("_text")
+            F.col(id_col).alias("_id"), F.col("__tw_key").alias("_row"), F.coalesce(F.length(text_col), F.lit(0)).alias("_n"), normalised(F.col(text_col)).alias("_text")
         )
         rows = rows.withColumn("_key", digest(F.col("_text"))).join(shared.withColumnRenamed("_digest", "_key"), "_key", "left_semi")
         rows = rows.withColumn("_digest", F.concat_ws(":", "_key", "_text")).withColumn("_segment", F.pmod(F.xxhash64("_id", "_row"), F.lit(segments)).cast("int"))
@@ -108,7 +109,7 @@ def exact_dedup(
         out = _resolve(runs.join(shared, "_digest", "left_anti"), index.join(shared, "_digest", "left_anti"), F.col("_digest")).unionByName(exact)
     if digest is not sha256:
         # the index ran on another digest: the reported one is recomputed from the text
-        sums = docs.select(F.monotonically_increasing_id().alias("_row"), F.sha2(normalised(F.col(text_col)), 256).alias("_sha"))
+        sums = docs.select(F.col("__tw_key").alias("_row"), F.sha2(normalised(F.col(text_col)), 256).alias("_sha"))
         out = out.join(sums, "_row").withColumn("text_sha256", F.col("_sha")).drop("_sha")
     return out.drop("_row").withColumnRenamed("_id", "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

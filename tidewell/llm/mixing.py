@@ -96,19 +96,23 @@ def mix(
     tolerance: float = 1e-7,
     corrections: int = 4,
 ) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies, source, _no.
+    """One row per input row: doc_id, size, source_size, target, taken, copies, source, _no (a key).
 
     Null texts and ids are allowed, null is a source of its own (the last). A document without words has one copy and takes
     nothing. Rows of one id differ by their text's hash; wholly equal rows are interchangeable, so reruns agree. An empty
     table gives an empty result. Documents of one source and size are dealt over `cells` cells by hash, so even a third of
     all rows with one text is ranked in pieces. `corrections` documents per source at most change by one copy at the end.
     """
+    return _mix(scratch.keyed(docs, id_col), id_col, text_col, source_col, weights, cap, seed, cells, rounds, tolerance, corrections)
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, cells: int = 256, rounds: int = 40, tolerance: float = 1e-7, corrections: int = 4) -> DataFrame:
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         word_count(F.col(text_col)).alias("size"),
         F.col(source_col).alias("source"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_key"),
-        F.monotonically_increasing_id().alias("_no"),
+        F.col("__tw_key").alias("_no"),
     )
     rows = scratch.table(rows.withColumn("_cell", F.pmod(F.xxhash64("_key"), F.lit(cells)).cast("int")))
     plan = copies_by_cell(rows, weights, cap, rounds, tolerance, corrections)
@@ -168,12 +172,9 @@ def _corrected(rounded: DataFrame, goals: DataFrame, cap: int, corrections: int)
     return plan.join(goals, _same("_s", "source")).select("_s", "_size", "_c", "_n", "_copies", "source_size", "target")
 
 
-def expand(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: every row of docs as often as its copies say, in docs' columns.
-
-    Takes the numbering of the rows from the scan of docs, so docs should be a table (not a shuffled plan).
-    """
-    plan = mix(docs, **options).select(F.col("_no").alias("__no"), F.col("copies").alias("__copies"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id()).join(plan, F.col("__row") == F.col("__no"))
-    repeated = numbered.filter("__copies > 0").withColumn("__i", F.explode(F.expr("sequence(1, cast(__copies as int))")))
-    return repeated.select(*docs.columns)
+def expand(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus itself: every row of docs as often as its copies say, in docs' columns."""
+    rows = scratch.keyed(docs, id_col)
+    plan = _mix(rows, id_col, text_col, source_col, **options).select(F.col("_no").alias("__tw_key"), F.col("copies").alias("__tw_copies"))
+    repeated = rows.join(plan, "__tw_key").filter("__tw_copies > 0").withColumn("__tw_i", F.explode(F.expr("sequence(1, cast(__tw_copies as int))")))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -72,8 +72,9 @@ def rarity_sketch(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for _, h, _ in _text_slices(batch):
-                total += np.bincount(h >> np.uint64(64 - SKETCH_BITS), minlength=len(total)).astype(np.uint32)
+            slots = [(h >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32) for _, h, _ in _text_slices(batch)]
+            if slots:
+                total += np.bincount(np.concatenate(slots), minlength=len(total)).astype(np.uint32)
         if total.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(total, _PARTS)]
             salt = int(total.sum(dtype=np.uint64) % 32)
@@ -187,14 +188,19 @@ def _passes(percent: int, na: str, pos_a: str, nb: str, pos_b: str):
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, segments: int = 64, rounds: int = 8) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, _row, _comp (a number of the component; null if the set is empty).
+    """One row per input row: doc_id, n_shingles, component_id, _row (a key), _comp (a number of the component; null if the set is empty).
 
     component_id is the smallest doc_id reachable over links (100 * intersection >= percent * union). Null or blank texts have
     an empty set and only themselves; rows of equal sets are linked. Null ids come after all others. An empty table gives
     an empty result; columns other than the two are ignored. Whole texts are used, and all links between different texts
     count, whether or not they were compared one by one. `rounds` bounds the star rounds, not the result.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    scratch.small_batches(docs.sparkSession)
+    return _join(scratch.keyed(docs, id_col), id_col, text_col, percent, segments, rounds)
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, segments: int = 64, rounds: int = 8) -> DataFrame:
+    texts = docs.select(F.col("__tw_key").alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.table(profiles(texts, rarity_sketch(texts), percent))
 
     # 1. classes of equal sets, hot ones merged in segments
@@ -261,14 +267,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     return out.unionByName(empty).select("doc_id", "n_shingles", "component_id", "_row", "_comp")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without all but one row of each component: the one with the smallest id (null last), then the first row. Rows with an
-    empty set stay. Takes the numbering of the rows from the scan of docs, so docs should be a table."""
-    found = scratch.table(join(docs, **options).filter("_comp is not null").select("_row", "_comp", "doc_id"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    kept = found.groupBy("_comp").agg(F.min(place).alias("k")).select(F.col("k._row").alias("_row"))
-    gone = scratch.table(found.select("_row").join(kept, "_row", "left_anti"))
-    return scratch.without(docs, gone)
+    empty set stay."""
+    scratch.small_batches(docs.sparkSession)
+    rows = scratch.keyed(docs, id_col)
+    found = scratch.table(_join(rows, id_col, text_col, **options).filter("_comp is not null").select("_row", "_comp"))
+    kept = found.groupBy("_comp").agg(F.min("_row").alias("_row")).select("_row")  # keys are in the order of ids
+    gone = scratch.table(found.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias("key")))
+    return scratch.without(rows, gone, docs.columns)
 
 
 def _open_buckets(index: DataFrame, expand: DataFrame, comp: DataFrame | None) -> DataFrame:

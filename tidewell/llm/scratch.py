@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of about 4 MB in this session, unless it was told otherwise: an executor holds each batch a few times, in the
+    JVM and in its Python workers, and the default of 64 MB leaves little room beside the heap."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(name, size)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once, with its lineage cut. For small tables and loop states.
 
@@ -47,9 +58,11 @@ def bitmap(keys: DataFrame, key: Column, bits: int) -> DataFrame:
 
 def mark(df: DataFrame, key: Column, words: DataFrame, bits: int, name: str) -> DataFrame:
     """df with a boolean column: false if the row's key is not in the bitmap, which is broadcast."""
-    rows = df.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(bits))).withColumn("_word", F.expr("cast(_slot div 64 as int)"))
-    rows = rows.join(F.broadcast(words), "_word", "left")
-    return rows.withColumn(name, F.expr("coalesce(_mask & shiftleft(1L, cast(_slot & 63 as int)), 0L) <> 0")).drop("_slot", "_word", "_mask")
+    words = words.toDF("__tw_word", "__tw_mask")  # names that no table is likely to have
+    rows = df.withColumn("__tw_slot", F.pmod(F.xxhash64(key), F.lit(bits))).withColumn("__tw_word", F.expr("cast(__tw_slot div 64 as int)"))
+    rows = rows.join(F.broadcast(words), "__tw_word", "left")
+    hit = F.expr("coalesce(__tw_mask & shiftleft(1L, cast(__tw_slot & 63 as int)), 0L) <> 0")
+    return rows.withColumn(name, hit).drop("__tw_slot", "__tw_word", "__tw_mask")
 
 
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits: int = 1 << 22) -> DataFrame:
@@ -57,18 +70,56 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits
 
     Rows that pass may still be strangers (more of them the more keys there are); an exact join follows.
     """
-    return mark(df, key, bitmap(keys, keys_key, bits), bits, "_maybe").filter("_maybe").drop("_maybe")
+    return mark(df, key, bitmap(keys, keys_key, bits), bits, "__tw_maybe").filter("__tw_maybe").drop("__tw_maybe")
+
+
+def keyed(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs with __tw_key, a unique long that orders the rows by id (null last; rows of one id as they are read).
+
+    That is the id itself where ids are whole, unique and never null. Otherwise docs are written once with a number: row numbers
+    of a plan that is run twice need not agree.
+    """
+    id_ = F.col(f"`{id_col}`")
+    if docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        n, known, different = docs.agg(F.count(F.lit(1)), F.count(id_), F.count_distinct(id_)).first()
+        if n == known == different:
+            return docs.withColumn("__tw_key", id_.cast("long"))
+    rows = table(docs.withColumn("__tw_no", F.monotonically_increasing_id()))
+    order = rows.select(id_.alias("id"), "__tw_no").orderBy(F.col("id").asc_nulls_last(), "__tw_no")
+    keys = table(order.select("__tw_no", F.monotonically_increasing_id().alias("__tw_key")))
+    return table(rows.join(keys, "__tw_no").drop("__tw_no"))
 
 
-def without(docs: DataFrame, gone: DataFrame, bits: int = 1 << 22) -> DataFrame:
-    """docs without the rows whose number (monotonically_increasing_id of the scan of docs) is in gone._row.
+def without(docs: DataFrame, gone: DataFrame, columns: list[str], bits: int = 1 << 22) -> DataFrame:
+    """The columns of the rows of docs (keyed) whose __tw_key is not in gone.key.
 
-    Only rows that a bitmap of the numbers lets through are shuffled for the exact anti-join.
+    Only rows that a bitmap of the keys lets through are shuffled for the exact anti-join.
     """
-    columns = docs.columns
-    rows = mark(docs.withColumn("__row", F.monotonically_increasing_id()), F.col("__row"), bitmap(gone, F.col("_row"), bits), bits, "__maybe")
-    doubtful = rows.filter("__maybe").join(gone.select(F.col("_row").alias("__row")), "__row", "left_anti")
-    return rows.filter("not __maybe").select(*columns).unionByName(doubtful.select(*columns))
+    rows = mark(docs, F.col("__tw_key"), bitmap(gone, F.col("key"), bits), bits, "__tw_maybe")
+    doubtful = rows.filter("__tw_maybe").join(gone.select(F.col("key").alias("__tw_key")), "__tw_key", "left_anti")
+    out = [F.col(f"`{c}`") for c in columns]
+    return rows.filter("not __tw_maybe").select(*out).unionByName(doubtful.select(*out))
+
+
+def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[Iterator[pa.Array]], Iterator[np.ndarray]]) -> DataFrame:
+    """The rows of docs for whose texts keep says true, in docs' columns. keep maps a stream of text arrays to one of masks."""
+    small_batches(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # column names with dots cannot be passed to Arrow functions
+    at = docs.columns.index(text_col)
+    plain = docs.toDF(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for batch in batches:
+                held.append(batch)
+                yield batch.column(at)
+
+        for mask in keep(texts()):
+            yield held.pop().filter(pa.array(mask))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -36,16 +36,8 @@ _REACH = LENGTH - GRAM + 1
 
 
 def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, doc_id, text; key orders rows by doc_id (null last). It is doc_id itself where that is a unique number."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    if kind in ("bigint", "int", "smallint", "tinyint"):
-        n, known, different = rows.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
-        if n == known == different:
-            return rows.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text")
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    keys = scratch.table(rows.select("doc_id", "_row").orderBy(F.col("doc_id").asc_nulls_last(), "_row").select("_row", F.monotonically_increasing_id().alias("key")))
-    return scratch.table(rows.join(keys, "_row").select("key", "doc_id", "text"))
+    """key, doc_id, text; key orders rows by doc_id."""
+    return scratch.keyed(docs, id_col).select(F.col("__tw_key").alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
 def _sliding_min(x: np.ndarray) -> np.ndarray:
@@ -204,6 +196,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the order of the table), or earlier in the same row. Null texts are empty; texts below 100 bytes stay whole. Matches
     never cross rows, and all are judged on the input. Empty tables give an empty result; other columns are ignored.
     """
+    scratch.small_batches(docs.sparkSession)
     texts = ordered(docs, id_col, text_col)
     found = scratch.table(repeats(texts).groupBy("key").agg(F.collect_list("run").alias("run")))
     kind = texts.schema["doc_id"].dataType.simpleString()
