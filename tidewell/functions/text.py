@@ -55,10 +55,14 @@ def singular(w: Column) -> Column:
     return F.when((F.octet_length(w) >= 3) & w.endswith("s"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
 
 
+def words(x: Column | str) -> Column:
+    """Runs of letters, decimal digits and _ in lower case; there may be empty strings at the ends."""
+    return F.split(F.lower(_c(x)), r"[^\p{L}\p{Nd}_]+")
+
+
 def word_set(x: Column | str) -> Column:
-    """Distinct singular words of a text: runs of letters, decimal digits and _."""
-    words = F.filter(F.split(F.lower(_c(x)), r"[^\p{L}\p{Nd}_]+"), lambda w: w != "")
-    return F.array_distinct(F.transform(words, singular))
+    """Distinct singular words of a text."""
+    return F.array_distinct(F.transform(F.filter(words(x), lambda w: w != ""), singular))
 
 
 def query_words(x: Column | str, stopwords: frozenset[str] = STOPWORDS) -> Column:

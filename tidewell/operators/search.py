@@ -34,10 +34,12 @@ def text_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     words = queries.select("query_id", T.query_words("query").alias("words")).filter(F.size("words") > 0)
     terms = words.select("query_id", F.size("words").alias("of"), F.explode("words").alias("raw")).withColumn("word", T.singular(F.col("raw")))
     terms = terms.withColumn("sure", F.col("raw") == F.col("word"))
-    # the postings are read only for words that some query has
-    postings = chunks.select("path", "ordinal", F.explode(T.word_set("text")).alias("word"))
-    hits = postings.join(_small(terms), "word").groupBy("query_id", "path", "ordinal")
-    hits = hits.agg(F.count("*").alias("n"), F.first("of").alias("of"), F.max("sure").alias("sure"))
+    # a chunk word matches if its singular is the term's: the term itself or with one s more, as far as those fold to it. So it is
+    # the few query terms that are varied, and chunk words are compared as they stand
+    forms = terms.withColumn("form", F.explode(F.array("word", F.concat("word", F.lit("s"))))).filter(T.singular(F.col("form")) == F.col("word"))
+    postings = chunks.select("path", "ordinal", F.explode_outer(T.words("text")).alias("form"))
+    met = postings.join(_small(forms), "form").groupBy("query_id", "path", "ordinal", "raw").agg(F.first("of").alias("of"), F.first("sure").alias("sure"))
+    hits = met.groupBy("query_id", "path", "ordinal").agg(F.count("*").alias("n"), F.first("of").alias("of"), F.max("sure").alias("sure"))
     # a word that is its own singular stands in the text as it is; others are looked up
     doubt = hits.filter("not sure").join(words, "query_id").join(chunks.select("path", "ordinal", "text"), ["path", "ordinal"])
     hits = hits.filter("sure").select("query_id", "path", "ordinal", "n", "of").unionByName(
