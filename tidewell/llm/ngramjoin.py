@@ -171,7 +171,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, percent: int)
         ends = scratch.table(some.select(F.col("a").alias("cid")).unionByName(some.select(F.col("b").alias("cid"))).distinct())
         near = scratch.maybe_in(source, F.col("_row"), ends, F.col("cid"))
         if load:
-            near = scratch.table(load(near.join(ends.select(F.col("cid").alias("_row")), "_row", "left_semi")))
+            near = load(near.join(ends.select(F.col("cid").alias("_row")), "_row", "left_semi"))
+        near = scratch.table(near)  # read twice, for both ends
         return some.join(near.toDF("b", "nb", "sb"), "b").join(near.toDF("a", "na", "sa"), "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
 
     near = fetch(pairs, rows.select("_row", "n", "prefix"))
