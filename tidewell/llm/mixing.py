@@ -52,14 +52,14 @@ def multipliers(histogram: DataFrame, goals: DataFrame, cap: float, rounds: int,
     multipliers known to be too small or too large. A source whose target is its cap needs none: its rate is the cap.
     """
     scale = histogram.groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("mean"))
+    # a document of the mean size starts at the right rate
+    start = F.coalesce(F.log(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))), F.lit(0.0))
     state = scale.withColumnRenamed("source", "_s").join(goals, _same("_s", "source")).select(
-        "source", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"), F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"),
+        "source", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"), start.alias("lam"), F.lit(None).cast("double").alias("lo"),
         F.lit(None).cast("double").alias("hi"), (F.col("target") >= F.lit(cap) * F.col("source_size") * (1 - 1e-12)).alias("full"),
     )
     state = scratch.cut(state.withColumn("off", F.when(F.col("full"), F.lit(0.0)).otherwise(F.lit(1.0))))
     for _ in range(rounds):
-        if state.filter(F.col("off") > tolerance).isEmpty():
-            break
         rate = F.least(F.lit(cap), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(50.0))))
         tokens = F.col("n") * F.col("size") * rate
         sums = histogram.withColumnRenamed("source", "_s").join(state, _same("_s", "source")).groupBy("_s").agg(
@@ -80,6 +80,8 @@ def multipliers(histogram: DataFrame, goals: DataFrame, cap: float, rounds: int,
             "source", "target", "mean", F.when(done, F.col("lam")).otherwise(new).alias("lam"), "lo", "hi", "full", F.col("off2").alias("off")
         )
         state = scratch.cut(step)
+        if state.filter(F.col("off") > tolerance).isEmpty():
+            break
     return state.select("source", "mean", "lam", "full")
 
 
@@ -93,8 +95,8 @@ def mix(
     seed: int = 7,
     cells: int = 256,
     rounds: int = 40,
-    tolerance: float = 1e-7,
-    corrections: int = 4,
+    tolerance: float = 1e-5,
+    corrections: int = 3,
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, copies, source, _no (a key).
 
@@ -106,7 +108,7 @@ def mix(
     return _mix(scratch.keyed(docs, id_col), id_col, text_col, source_col, weights, cap, seed, cells, rounds, tolerance, corrections)
 
 
-def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, cells: int = 256, rounds: int = 40, tolerance: float = 1e-7, corrections: int = 4) -> DataFrame:
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, cells: int = 256, rounds: int = 40, tolerance: float = 1e-5, corrections: int = 3) -> DataFrame:
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         word_count(F.col(text_col)).alias("size"),
