@@ -177,6 +177,27 @@ def test_ingest_and_cli(spark, tmp_path, capsys):
     assert cli.main(["--db", db, "flush", "--force"], spark) == 0 and store.count() == 0
 
 
+def test_server(spark, tmp_path):
+    import io
+
+    from tidewell.plans.server import serve
+    from tidewell.sources.embed import same_model
+
+    store = ChunkStore(spark, str(tmp_path / "db"))
+    calls = [
+        {"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "index_status"}},
+        {"id": 4, "method": "tools/call", "params": {"name": "search_notes", "arguments": {"query": "x"}}}, {"id": 5, "method": "none"},
+    ]
+    out = io.StringIO()
+    serve(store, HashEmbedder(), io.StringIO("\n".join(map(json.dumps, calls))), out)
+    got = [json.loads(line) for line in out.getvalue().splitlines()]
+    assert [r["id"] for r in got] == [1, 2, 3, 4, 5] and len(got[1]["result"]["tools"]) == 3
+    assert json.loads(got[2]["result"]["content"][0]["text"])["chunks"] == 0
+    assert got[3]["result"]["isError"] and "error" in got[4]
+    assert same_model("m", "m:latest") and not same_model("m:1", "m")
+    assert cli.pretty_path("/w/a.md", "/w", "/h") == "a.md" and cli.pretty_path("/h/a.md", "/w", "/h") == "~/a.md" and cli.pretty_path("/x", "/w", "/h") == "/x"
+
+
 def test_golden_files(tmp_path):
     for text in ("", "a: 1", "- query: x", "- expect: [y]"):
         (tmp_path / "a.yml").write_text(text)

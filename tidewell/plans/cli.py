@@ -1,4 +1,4 @@
-"""Command line: index, reindex, search, list, flush, eval, evals, status."""
+"""Command line: index, reindex, search, list, flush, eval, evals, status, mcp."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 import os
 import sys
 
-from tidewell.plans import api, evaluate, ingest
+from tidewell.plans import api, evaluate, ingest, server
 from tidewell.plans.search import Options, search, search_batch, to_json
 from tidewell.session import local_session
 from tidewell.sources.embed import HashEmbedder, HttpEmbedder
@@ -37,11 +37,19 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--limit", type=int, default=5)
     c.add_argument("--mode", default="hybrid")
     commands.add_parser("flush").add_argument("--force", action="store_true")
-    for name in ("list", "evals", "status"):
+    for name in ("list", "evals", "status", "mcp"):
         commands.add_parser(name)
     return p
 
 
+def pretty_path(path: str, cwd: str | None = None, home: str | None = None) -> str:
+    """Relative inside the working folder, else with ~ for the home folder."""
+    cwd, home = cwd or os.getcwd(), home or os.path.expanduser("~")
+    if path.startswith(cwd + "/"):
+        return path[len(cwd) + 1 :]
+    return "~" + path[len(home) :] if path.startswith(home + "/") else path
+
+
 def main(args: list[str] | None = None, spark=None) -> int:
     o = parser().parse_args(args)
     spark = spark or local_session("*")
@@ -59,7 +67,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
             print(to_json(found))
         else:
             for r in found.orderBy("rank").toLocalIterator():
-                print(f"{r['score']:.3f}  {r['path']}  {r['section']}")
+                print(f"{r['score']:.3f}  {pretty_path(r['path'])}  {r['section']}")
     elif o.command == "eval":
         files = o.files or evaluate.golden_files(o.evals)
         golden = evaluate.golden_frame(spark, {os.path.basename(f): evaluate.load_golden(f) for f in files})
@@ -75,6 +83,8 @@ def main(args: list[str] | None = None, spark=None) -> int:
                 print(f"{f}: {len(evaluate.load_golden(f))} cases")
             except (evaluate.GoldenError, OSError) as e:
                 print(f"{f}: {e}")
+    elif o.command == "mcp":
+        server.serve(store, embedder)
     elif o.command == "flush":
         if store.count() and not o.force:
             print("flush drops all chunks: repeat with --force", file=sys.stderr)

@@ -102,6 +102,11 @@ class HttpEmbedder:
         return vectors
 
 
+def same_model(a: str, b: str) -> bool:
+    """A model name without a tag means its latest version."""
+    return a.removesuffix(":latest") == b.removesuffix(":latest")
+
+
 #: Factories by name; add your own.
 EMBEDDERS: dict[str, Callable[..., Embedder]] = {"fake": HashEmbedder, "ollama": HttpEmbedder}
 
