@@ -12,7 +12,9 @@ they stand for 100 bytes. An identifier is the 64-bit hash of the bucket's conte
    25 bytes later, those of 50 with those 50 bytes later; windows equal in the 100-byte identifier form the final
    buckets, and all but the earliest are repeats.
 
-Sorted buckets are read as a stream with one row of memory, so a bucket may have any size.
+Before each shuffle a batch keeps one run of each (bucket, identifier), the earliest; its others are repeats already and are
+dealt out by row instead, so a passage in a third of all documents does not gather in one task. Sorted buckets are read as a
+stream with one row of memory.
 """
 
 from __future__ import annotations
@@ -72,14 +74,38 @@ def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h[anchor[begin]], bytekit.stretch_hash(s, begin, end + LENGTH - 1), row, (begin - offsets[row]) * PACK + (end - begin)
 
 
+def _combined(bucket: np.ndarray, ident: np.ndarray, key: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+    """The rows, with negative runs (~run) and zeros for all but the earliest of each (bucket, ident)."""
+    order = np.lexsort((run, key, ident, bucket))
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (bucket[order][1:] == bucket[order][:-1]) & (ident[order][1:] == ident[order][:-1])
+    bucket, ident, run = np.where(again, 0, bucket), np.where(again, 0, ident), np.where(again, ~run, run)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket, ident, key, run)], ["bucket", "ident", "key", "run"])
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Sorted buckets, one in one partition; known repeats by their keys."""
+    spread = F.when(F.col("run") < 0, F.xxhash64("key", "run")).otherwise(F.lit(0))
+    return rows.repartition(*by, spread).sortWithinPartitions("bucket", "ident", "key", "run")
+
+
 def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = bytekit.buffers(batch.column("text"))
         key = batch.column("key").to_numpy(zero_copy_only=False)
+        parts = []
         for a, b in bytekit.slices(offsets):
             bucket, ident, row, run = runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(ident.view(np.int64)), pa.array(key[a + row]), pa.array(run)], ["bucket", "ident", "key", "run"])
+            parts.append((bucket.view(np.int64), ident.view(np.int64), key[a + row], run))
+        if parts:
+            yield _combined(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _split(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(bucket, ident, key, run) of the rows to compare, and (bucket, key, run) of known repeats."""
+    bucket, ident, key, run = columns = [batch.column(i).to_numpy() for i in range(4)]
+    known = run < 0
+    return [c[~known] for c in columns], [bucket[known], key[known], ~run[known]]
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +114,8 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None  # (bucket, ident) of the last row
     held = None  # the earliest run of a bucket's only ident so far: bucket, key, run
     for batch in batches:
-        bucket, ident, key, run = (batch.column(i).to_numpy() for i in range(4))
+        (bucket, ident, key, run), known = _split(batch)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in known), pa.array(np.zeros(len(known[0]), bool))], ["bucket", "key", "run", "open"])
         if not len(bucket):
             continue
         first = np.ones(len(bucket), bool)
@@ -134,16 +161,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             of = np.repeat(row, count)
             place = offsets[of] - offsets[a] + start
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(buckets[at[a] : at[b]], count)), pa.array(ident[place].view(np.int64)), pa.array(key[of]), pa.array(start * PACK + 1)], ["bucket", "ident", "key", "run"]
-            )
+            yield _combined(np.repeat(buckets[at[a] : at[b]], count), ident[place].view(np.int64), key[of], start * PACK + 1)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From windows sorted by (bucket, ident, key, run): all but the first of each ident."""
     last = None
     for batch in batches:
-        bucket, ident, key, run = (batch.column(i).to_numpy() for i in range(4))
+        (bucket, ident, key, run), known = _split(batch)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in known[1:]], ["key", "run"])
         if not len(bucket):
             continue
         first = np.ones(len(bucket), bool)
@@ -178,14 +204,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(texts: DataFrame) -> DataFrame:
     """(key, run): every run of windows that also starts earlier. texts: key, text."""
     columns = "bucket long, ident long, key long, run long"
-    order = ["bucket", "ident", "key", "run"]
     filed = texts.select("key", "text").mapInArrow(_file, columns)
-    solved = filed.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_resolve, "bucket long, key long, run long, open boolean")
+    solved = _dealt(filed, "bucket").mapInArrow(_resolve, "bucket long, key long, run long, open boolean")
     solved = scratch.table(solved)
     todo = solved.filter("open").groupBy("key").agg(F.collect_list(F.struct("bucket", "run")).alias("l")).select("key", F.col("l.bucket").alias("bucket"), F.col("l.run").alias("run"))
     near = scratch.maybe_in(texts.select("key", "text"), F.col("key"), solved.filter("open").select("key"), F.col("key"))
     windows = near.join(todo, "key").select("key", "text", "bucket", "run").mapInArrow(_windows, columns)
-    late = windows.repartition("bucket", "ident").sortWithinPartitions(*order).mapInArrow(_later, "key long, run long")
+    late = _dealt(windows, "bucket", "ident").mapInArrow(_later, "key long, run long")
     return solved.filter("not open").select("key", "run").unionByName(late)
 
 
