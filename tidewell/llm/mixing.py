@@ -141,8 +141,8 @@ def copies_by_cell(rows: DataFrame, weights: tuple[int, ...], cap: int, rounds:
     rated = cell.withColumnRenamed("source", "_s").join(solved, _same("_s", "source"), "left").drop("source")
     # rates in units of 2^-32 add up exactly in any order
     rated = rated.withColumn("_want", F.floor(F.coalesce(rate, F.lit(1.0)) * (1 << 32) * F.col("n")).cast("decimal(38,0)"))
-    # prefix sums along the sizes in two levels: 8 bands per doubling of the size, then cells inside a band
-    rated = rated.withColumn("_band", F.floor(F.log2(F.col("size") + 1) * 8).cast("int"))
+    # prefix sums along the sizes in two levels: 32 bands per doubling of the size, then cells inside a band
+    rated = rated.withColumn("_band", F.floor(F.log2(F.col("size") + 1) * 32).cast("int"))
     inside = Window.partitionBy("_s", "_band").orderBy("size", "_cell").rowsBetween(Window.unboundedPreceding, 0)
     bands = rated.groupBy("_s", "_band").agg(F.sum("_want").alias("_sum"))
     upto = Window.partitionBy("_s").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
