@@ -191,6 +191,31 @@ def test_line_dedup(spark, rows):
     assert Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["removed"]) for r in got.collect()) == slow_lines(rows)
 
 
+@pytest.mark.parametrize("rows", [NASTY, [(i, t.replace(" ", "\n", 1), a, b) for i, t, a, b in family(3, 40)]])
+def test_line_dedup_by_words(spark, rows):
+    """One changed word of 27 leaves a match; no shingle of five words could."""
+    line = [f"v{i}" for i in range(27)]
+    rows = [*rows, (3000, " ".join(line), "en", "s"), (3001, " ".join(["other" if i == 13 else w for i, w in enumerate(line)]), "en", "s"), (3002, "p q r s\nP q r s t", "en", "s")]
+    seen, want = [], Counter()
+    for i, t, _, _ in sorted(rows, key=lambda r: place(r[0])):
+        lines, gone = [] if t is None else t.split("\n"), []
+        for k, x in enumerate(lines):
+            s = frozenset(w for w in re.split(r"[\x20\x09\x0B-\x0D]+", x.lower()) if w)
+            gone += [k] if any(similar(s, o) for o in seen) else []
+            seen += [s] if s else []
+        want[(i, len(lines), len(gone), ",".join(map(str, gone)))] += 1
+    got = Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["removed"]) for r in linededup.dedup_lines(frame(spark, rows), shingle=1).collect())
+    assert got == want and got[(3001, 1, 1, "0")] and got[(3002, 2, 1, "1")]
+
+
+def test_line_dedup_query_compares_words(spark, tmp_path):
+    from tidewell.llm import queries
+
+    frame(spark, [(1, "a b c d e f g h i j", "en", "s"), (2, "a b c d x f g h i j", "en", "s"), (3, "a b c d e f g h i k", "en", "s")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n_removed"] for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 0, 2: 1, 3: 1}
+
+
 def test_line_dedup_empty(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 

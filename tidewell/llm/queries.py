@@ -34,7 +34,7 @@ def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(_docs(spark, sf_dir))
+    return linededup.dedup_lines(_docs(spark, sf_dir), shingle=1)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
