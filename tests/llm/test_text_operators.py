@@ -116,6 +116,16 @@ def test_licences(spark):
     assert license.scan(empty(spark)).count() == 0
 
 
+def test_licences_in_one_file(spark):
+    """Every passage votes, however many others stand in the file."""
+    some = ("bsd", "mit-text", "isc", "cc-by-sa", "apache-2.0")
+    rows = [(1, "\n\n".join(license.TEMPLATES[x][0] for x in some), "en", "s"), (2, " x ".join(t for t, _ in license.TEMPLATES.values()), "en", "s"), (3, "x " * 300 + "the of and to in " * 40, "en", "s")]
+    got = {r["doc_id"]: r for r in license.scan(frame(spark, rows + NASTY)).collect() if r["n_base"] or r["labels"] or r["doc_id"] == 3}
+    assert set(some) <= set(got[1]["labels"].split(","))
+    assert set(license.TEMPLATES) <= set(got[2]["labels"].split(","))
+    assert got[3]["labels"] == ""
+
+
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

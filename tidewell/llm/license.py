@@ -1,11 +1,10 @@
 """License scan with a positional rare-token index.
 
 Templates (short licence passages) are indexed by word: word -> (template, position). A first pass counts in how many
-documents each template word occurs, over all documents. Then each file looks up its template words in the order of their
-IDF, the `rarest` distinct ones: every occurrence votes for the (template, file position - template position) that it
-implies, so the postings are intersected by relative position. Alignments with two votes (or all words of a short template) are
-scored by the IDF-weighted share of template words at their places, and count if the template's mandatory phrases stand
-inside the aligned stretch. The base phrases are templates too: their rarest word alone proposes, the other words verify,
+documents each template word occurs, over all documents. Then every occurrence of a template word in a file votes, with the
+weight of its IDF, for the (template, file position - template position) that it implies, so the postings are intersected by
+relative position. Alignments with two votes are scored by the IDF-weighted share of template words at their places, which is
+the sum of their votes, and count if the template's mandatory phrases stand inside the aligned stretch. The base phrases are templates too: their rarest word alone proposes, the other words verify,
 so every place is found.
 """
 
@@ -46,7 +45,6 @@ TEMPLATES = {
 }
 #: Least IDF-weighted share of a template's words at their places.
 COVERAGE = 0.7
-RAREST = 16
 
 
 def _hash_words(text: str) -> np.ndarray:
@@ -65,10 +63,18 @@ class TemplateIndex:
         self.needs = [[w] for w in self.words[: self.base]] + [[_hash_words(p) for p in phrases] for _, phrases in TEMPLATES.values()]
         self.vocabulary = np.unique(np.concatenate(self.words))
         self.ids = [np.searchsorted(self.vocabulary, w) for w in self.words]
+        self.longest = max(map(len, self.ids))
+        self.owner, self.flat = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.ids]), np.concatenate(self.ids)
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[self.vocabulary >> np.uint64(48)] = True
         posting = [(v, t, p) for t, ids in enumerate(self.ids) for p, v in enumerate(ids)]
-        self.postings: list[np.ndarray] = [np.array([(t, p) for w, t, p in posting if w == v], np.int64).reshape(-1, 2) for v in range(len(self.vocabulary))]
+        # those of passages, sorted by word: (template, position) of word v at [lead[v], lead[v + 1])
+        word, self.template, self.position = np.array(sorted(x for x in posting if x[1] >= self.base), np.int64).T
+        self.lead = np.searchsorted(word, np.arange(len(self.vocabulary) + 1))
+
+    def weight(self, idf: np.ndarray) -> np.ndarray:
+        """The sum of each template's IDF."""
+        return np.bincount(self.owner, idf[self.flat])
 
     def locate(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of template words among the words of files, and their ids."""
@@ -83,7 +89,7 @@ def _has(words: np.ndarray, phrase: np.ndarray) -> bool:
     return n > 0 and bool(np.logical_and.reduce([words[j : j + n] == p for j, p in enumerate(phrase)]).any())
 
 
-def scan_file(index: TemplateIndex, idf: np.ndarray, words: np.ndarray, at: np.ndarray, ids: np.ndarray, coverage: float, rarest: int) -> tuple[list[int], list[int], set[str], float]:
+def scan_file(index: TemplateIndex, idf: np.ndarray, words: np.ndarray, at: np.ndarray, ids: np.ndarray, coverage: float) -> tuple[list[int], list[int], set[str], float]:
     """Starts of base phrases, their templates, labels of other templates, best score. words: hashes of the file's words."""
     starts, kinds, labels, best = [], [], set(), 0.0
     by_id = {int(v): at[ids == v] for v in np.unique(ids)}
@@ -99,23 +105,19 @@ def scan_file(index: TemplateIndex, idf: np.ndarray, words: np.ndarray, at: np.n
             begin = begin[words[begin + j] == w]
         starts += begin.tolist()
         kinds += [t] * len(begin)
-    chosen = sorted(by_id, key=lambda v: (-idf[v], v))[:rarest]
-    votes = [np.column_stack([np.full(len(by_id[v]), t), by_id[v] - p]) for v in chosen for t, p in index.postings[v] if t >= index.base]
-    if votes:
-        lines, n = np.unique(np.concatenate(votes), axis=0, return_counts=True)
-        for (t, begin), k in zip(lines.tolist(), n.tolist(), strict=True):
-            own = index.words[t]
-            if k < min(2, len(own)):
-                continue
-            places = begin + np.arange(len(own))
-            inside = (places >= 0) & (places < len(words))
-            met = np.zeros(len(own), bool)
-            met[inside] = words[places[inside]] == own[inside]
-            weight = idf[index.ids[t]]
-            share = float(weight[met].sum() / weight.sum())
-            best = max(best, share)
-            stretch = words[max(0, begin) : begin + len(own)]
-            if share >= coverage and all(_has(stretch, phrase) for phrase in index.needs[t]):
+    n = index.lead[ids + 1] - index.lead[ids]
+    if n.any():
+        post = np.repeat(index.lead[ids], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        span = len(words) + index.longest
+        key = index.template[post] * span + np.repeat(at, n) - index.position[post] + index.longest
+        lines, line, votes = np.unique(key, return_inverse=True, return_counts=True)
+        share = np.bincount(line, np.repeat(idf[ids], n)) / index.weight(idf)[lines // span]
+        share = np.where(votes >= 2, np.minimum(share, 1.0), 0.0)
+        best = float(share.max())
+        for k in np.flatnonzero(share >= coverage):
+            t, begin = int(lines[k] // span), int(lines[k] % span) - index.longest
+            stretch = words[max(0, begin) : begin + len(index.words[t])]
+            if index.labels[t] not in labels and all(_has(stretch, phrase) for phrase in index.needs[t]):
                 labels.add(index.labels[t])
     return starts, kinds, labels, 1.0 if starts else best
 
@@ -149,7 +151,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
     return int(out[0]), out[1:]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, rarest: int = RAREST) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null texts are empty: no words, no labels (empty strings), null places, score 0. score is 1 if a base phrase occurs,
@@ -174,7 +176,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", covera
                 cuts = np.flatnonzero(np.diff(row)) + 1
                 for group in np.split(np.arange(len(at)), cuts) if len(at) else ():
                     r = row[group[0]]
-                    starts, kinds, more, best = scan_file(index, idf, hashes[first[r] : first[r + 1]], at[group] - first[r], ids[group], coverage, rarest)
+                    starts, kinds, more, best = scan_file(index, idf, hashes[first[r] : first[r + 1]], at[group] - first[r], ids[group], coverage)
                     i = a + r
                     base = {index.labels[k] for k in kinds}
                     n_base[i], score[i] = len(starts), best
