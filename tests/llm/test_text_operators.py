@@ -208,3 +208,21 @@ def test_window_matches_are_complete():
                 if (code[i : i + 5] == index.code[j : j + 5]).all() and literal[i : i + 5].sum() >= 3:
                     want.add((i, j))
     assert set(zip(mine.tolist(), theirs.tolist(), strict=True)) == want
+
+
+def test_items_of_few_literal_words(spark):
+    paid = "John Smith paid 12 dollars and Mary Jones paid 15 dollars"
+    title = "What Is The Capital City Of France And Spain"
+    docs = [
+        (1, f"so we read that {paid} there", "en", "s"),
+        (2, "so we read that Ann Brown paid 7 dollars and Bob White paid 9 dollars there", "en", "s"),
+        (3, f"the title was {title} in it", "en", "s"),
+        (4, "the title was Who Ate Our Apples From Town In June And May in it", "en", "s"),
+        (5, "well seven plus four, he said", "en", "s"),
+        (6, "seven plus five four", "en", "s"),
+        (7, "so Ann Brown and Bob White and 7 dollars and 9 dollars", "en", "s"),
+    ]
+    some = items(spark, paid, title, "Seven plus four", "", "?!")
+    got = sorted((r["doc_id"], r["item_id"], r["verbatim"]) for r in decontam.find(frame(spark, docs), some).collect())
+    assert got == [(1, 0, True), (2, 0, False), (3, 1, True), (5, 2, True)]
+    assert {r["doc_id"] for r in decontam.keep_clean(frame(spark, docs), some).collect()} == {4, 6, 7}

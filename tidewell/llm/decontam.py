@@ -7,6 +7,10 @@ blocks of items). Matches that lie on one diagonal (document position - item pos
 contaminated by an item if the windows on its diagonals cover enough of the item's words, and if the values in the
 slots are consistent: equal values of the item's slots stand for equal values in the document's slots, so a
 re-parameterised question is caught and an accidental run of placeholders is not.
+
+Items whose windows cannot cover enough of them (dense in names, numbers and units) are also looked up by their windows of
+one or two literal words and by windows of the words' own values, and items shorter than a window by the hash of all their
+words. A match that has fewer than three literal words in all counts only if all its values are equal.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from tidewell.llm import bytekit, scratch
 
 WINDOW = 5
 LITERALS = 3
+COVERAGE = 0.6
 #: Words that are units when they follow a number.
 UNITS = (
     "mm cm m km in ft mi g kg mg lb oz s sec min h hr ms ml l kwh w kw v a hz khz mhz ghz pa bar usd eur gbp percent "
@@ -69,27 +74,30 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return code, ~(number | name | unit), value, first
 
 
-def windows(code: np.ndarray, literal: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, valid) of the window that starts at each word; valid: inside one row and with enough literal words."""
-    h = bytekit.ngrams(bytekit.mix64(code), WINDOW)
+def _grams(codes: np.ndarray, literal: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the window of that length that starts at each word, its literal words, and whether it is inside one row."""
+    if len(codes) < length:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool)
+    h = bytekit.ngrams(bytekit.mix64(codes), length)
     n = len(h)
     words = np.concatenate(([0], np.cumsum(literal)))
-    ok = (words[WINDOW : WINDOW + n] - words[:n]) >= LITERALS
-    for back in range(1, WINDOW):  # windows that would run into the next row
+    inside = np.ones(n, bool)
+    for back in range(1, length):  # windows that would run into the next row
         at = first[1:] - back
-        ok[at[(at >= 0) & (at < n)]] = False
-    return h, ok
+        inside[at[(at >= 0) & (at < n)]] = False
+    return h, words[length : length + n] - words[:n], inside
 
 
-class ItemIndex:
-    """Windows of a block of items, sorted by hash; codes and values of their words."""
+def windows(code: np.ndarray, literal: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, valid) of the window that starts at each word; valid: inside one row and with enough literal words."""
+    h, literals, inside = _grams(code, literal, first, WINDOW)
+    return h, inside & (literals >= LITERALS)
 
-    def __init__(self, ids: list, texts: list[str]):
-        data, offsets = bytekit.buffers(pa.array([t or "" for t in texts], pa.string()))
-        self.ids = ids
-        self.code, self.literal, self.value, self.first = canonical(data, offsets)
-        h, ok = windows(self.code, self.literal, self.first)
-        at = np.flatnonzero(ok)
+
+class _Lookup:
+    """Item windows sorted by hash."""
+
+    def __init__(self, h: np.ndarray, at: np.ndarray):
         order = np.argsort(h[at], kind="stable")
         self.hash, self.at = h[at][order], at[order]
         # a first look at 20 bits of the hash rules out nearly all windows of a document
@@ -97,7 +105,6 @@ class ItemIndex:
         self.sieve[self.hash >> np.uint64(44)] = True
 
     def probe(self, h: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (document window, item window) of equal hash."""
         at = np.flatnonzero(ok & self.sieve[h >> np.uint64(44)])
         lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
         n = hi - lo
@@ -106,6 +113,42 @@ class ItemIndex:
         return mine, self.at[theirs]
 
 
+class ItemIndex:
+    """Windows of a block of items, sorted by hash; codes and values of their words."""
+
+    def __init__(self, ids: list, texts: list[str], coverage: float = COVERAGE):
+        data, offsets = bytekit.buffers(pa.array([t or "" for t in texts], pa.string()))
+        self.ids = ids
+        self.code, self.literal, self.value, self.first = canonical(data, offsets)
+        h, ok = windows(self.code, self.literal, self.first)
+        at = np.flatnonzero(ok)
+        self.main = _Lookup(h, at)
+        # items that the windows with enough literal words cannot cover: (by value?, length, windows)
+        size = np.diff(self.first)
+        steps = np.bincount(at, minlength=len(self.code) + WINDOW) - np.bincount(at + WINDOW, minlength=len(self.code) + WINDOW)
+        owner = np.repeat(np.arange(len(size)), size)
+        met = np.bincount(owner, np.cumsum(steps)[: len(self.code)] > 0, minlength=len(size))
+        sparse = (met < coverage * size) & (size >= WINDOW)
+        self.extra: list[tuple[bool, int, _Lookup]] = []
+        for by_value, length, wanted in ((False, WINDOW, sparse), (True, WINDOW, sparse), *((True, k, size == k) for k in range(1, WINDOW))):
+            h, few, inside = _grams(self.value if by_value else self.code, self.literal, self.first, length)
+            ok = inside & wanted[owner[: len(h)]] & (by_value | (few > 0) & (few < LITERALS))
+            if ok.any():
+                self.extra.append((by_value, length, _Lookup(h, np.flatnonzero(ok))))
+
+    def probe(self, h: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (document window, item window) of equal hash."""
+        return self.main.probe(h, ok)
+
+    def search(self, code: np.ndarray, literal: np.ndarray, value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All matching windows: document word, item word, length."""
+        found = [(*self.probe(*windows(code, literal, first)), WINDOW)]
+        for by_value, length, lookup in self.extra:
+            h, few, inside = _grams(value if by_value else code, literal, first, length)
+            found.append((*lookup.probe(h, inside & (by_value | (few > 0) & (few < LITERALS))), length))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+
+
 def _consistent(item: np.ndarray, doc: np.ndarray) -> bool:
     """Slots of equal value in the item have equal values in the document."""
     order = np.argsort(item, kind="stable")
@@ -113,15 +156,20 @@ def _consistent(item: np.ndarray, doc: np.ndarray) -> bool:
     return bool((doc[order][1:] == doc[order][:-1])[same].all())
 
 
-def _judge(index: ItemIndex, code: np.ndarray, value: np.ndarray, literal: np.ndarray, mine: np.ndarray, theirs: np.ndarray, item: int, coverage: float) -> tuple[float, int, bool] | None:
+def _cells(at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The words of windows."""
+    return np.unique(np.repeat(at, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))
+
+
+def _judge(index: ItemIndex, code: np.ndarray, value: np.ndarray, literal: np.ndarray, mine: np.ndarray, theirs: np.ndarray, length: np.ndarray, item: int, coverage: float) -> tuple[float, int, bool] | None:
     """(covered share of the item's words, document word where it begins, all slots equal), or None if clean."""
     begin, end = index.first[item], index.first[item + 1]
     diagonal = mine - theirs
     covered = np.full(end - begin, -1)  # the document word of each covered item word
     for d, n in sorted(zip(*np.unique(diagonal, return_counts=True), strict=True), key=lambda x: (-x[1], x[0])):
         del n
-        at = theirs[diagonal == d]
-        cells = np.unique((at[:, None] + np.arange(WINDOW)).ravel())
+        on = diagonal == d
+        cells = _cells(theirs[on], length[on])
         cells = cells[covered[cells - begin] < 0]
         covered[cells - begin] = cells + d
     hit = np.flatnonzero(covered >= 0)
@@ -132,15 +180,17 @@ def _judge(index: ItemIndex, code: np.ndarray, value: np.ndarray, literal: np.nd
     a, b = index.value[begin + slots], value[covered[slots]]
     if len(slots) and not _consistent(a, b):
         return None
+    if len(hit) - len(slots) < LITERALS and not (a == b).all():
+        return None
     return share, int(covered[hit].min()), bool((a == b).all())
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", coverage: float = 0.6, block_items: int = 20_000) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, block_items: int = 20_000) -> DataFrame:
     """The contaminated documents: doc_id, item_id, covered (share of the item's canonical words), word (where it begins,
     in words from 0), verbatim (all slots keep their values). One row per (document row, item).
 
-    Items with fewer than WINDOW words or without a literal window match nothing, as do null texts. Items of equal text are
-    all reported. The items are a query set: they are read in blocks of block_items by their order, each held in memory
+    Null texts and texts without words match nothing. An item of fewer than WINDOW words, even of one, matches where all its
+    words stand in a row. Items of equal text are all reported. The items are a query set: they are read in blocks of block_items by their order, each held in memory
     by the executors and compared with all documents, so any number of them is handled. Empty tables give no rows. Whole texts
     are searched; other columns are ignored.
     """
@@ -174,7 +224,7 @@ def _searcher(shared, coverage: float, rows: DataFrame, queries: DataFrame):
     doc_type, item_type = to_arrow_type(rows.schema["doc_id"].dataType), to_arrow_type(queries.schema["item_id"].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(*shared.value)
+        index = ItemIndex(*shared.value, coverage)
         for batch in batches:
             found = _matches(index, batch.column("text"), coverage)
             cols = list(zip(*found, strict=True)) if found else [[]] * 5
@@ -192,7 +242,7 @@ def _matches(index: ItemIndex, texts: pa.Array, coverage: float) -> list[tuple[i
     found = []
     for a, b in bytekit.slices(offsets):
         code, literal, value, first = canonical(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        mine, theirs = index.probe(*windows(code, literal, first))
+        mine, theirs, length = index.search(code, literal, value, first)
         if not len(mine):
             continue
         row = np.searchsorted(first, mine, "right") - 1
@@ -201,19 +251,21 @@ def _matches(index: ItemIndex, texts: pa.Array, coverage: float) -> list[tuple[i
         order = np.argsort(key, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             g = group[0]
-            verdict = _judge(index, code, value, literal, mine[group], theirs[group], item[g], coverage)
+            if length[group].sum() < coverage * (index.first[item[g] + 1] - index.first[item[g]]):
+                continue
+            verdict = _judge(index, code, value, literal, mine[group], theirs[group], length[group], item[g], coverage)
             if verdict:
                 share, word, verbatim = verdict
                 found.append((int(a + row[g]), int(item[g]), share, word - int(first[row[g]]), verbatim))
     return found
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text", coverage: float = 0.6, block_items: int = 20_000) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text", coverage: float = COVERAGE, block_items: int = 20_000) -> DataFrame:
     """The rows of docs that no item contaminates, in docs' columns."""
 
     def cleaner(shared):
         def keep(texts: Iterator[pa.Array]) -> Iterator[np.ndarray]:
-            index = ItemIndex(*shared.value)
+            index = ItemIndex(*shared.value, coverage)
             for text in texts:
                 clean = np.ones(len(text), bool)
                 clean[[m[0] for m in _matches(index, text, coverage)]] = False
