@@ -226,3 +226,21 @@ def test_items_of_few_literal_words(spark):
     got = sorted((r["doc_id"], r["item_id"], r["verbatim"]) for r in decontam.find(frame(spark, docs), some).collect())
     assert got == [(1, 0, True), (2, 0, False), (3, 1, True), (5, 2, True)]
     assert {r["doc_id"] for r in decontam.keep_clean(frame(spark, docs), some).collect()} == {4, 6, 7}
+
+
+def test_every_copy_is_judged(spark):
+    item = "a box holds 12 red balls and 12 blue balls so how many balls does one box of 12 hold"
+    bad = item.replace("12", "15", 1)
+    stray = "far away a box holds 99 red balls and here"
+    edited = "the box holds 15 red balls and 15 blue balls so how many balls does one box of 15 hold"
+    docs = [
+        (1, f"x {bad} y z {item} end", "en", "s"),
+        (2, f"x {bad} {bad} {item.replace('12', '20')} end", "en", "s"),
+        (3, f"{stray} {'filler ' * 90} {edited}", "en", "s"),
+        (4, f"{edited} {'filler ' * 90} {stray}", "en", "s"),
+        (5, f"x {bad} {'filler ' * 40} {bad.replace('15', '7')}", "en", "s"),
+        (6, f"{stray} {'filler ' * 90}", "en", "s"),
+    ]
+    got = sorted((r["doc_id"], r["verbatim"]) for r in decontam.find(frame(spark, docs), items(spark, item)).collect())
+    assert got == [(1, True), (2, False), (3, False), (4, False)]
+    assert {r["doc_id"] for r in decontam.keep_clean(frame(spark, docs), items(spark, item)).collect()} == {5, 6}

@@ -4,8 +4,8 @@ Documents and benchmark items become sequences of canonical words: lower case, w
 capital inside a sentence) and units after a number become typed placeholders. Windows of five canonical words, with three
 literal words at least, are looked up in the items' windows (a hash join with the bounded item side held in memory, in
 blocks of items). Matches that lie on one diagonal (document position - item position) belong together: a document is
-contaminated by an item if the windows on its diagonals cover enough of the item's words, and if the values in the
-slots are consistent: equal values of the item's slots stand for equal values in the document's slots, so a
+contaminated by an item if the windows on its diagonals, all of them or those of one place in the document, cover enough of
+the item's words, and if the values in the slots are consistent: equal values of the item's slots stand for equal values in the document's slots, so a
 re-parameterised question is caught and an accidental run of placeholders is not.
 
 Items whose windows cannot cover enough of them (dense in names, numbers and units) are also looked up by their windows of
@@ -162,27 +162,70 @@ def _cells(at: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _judge(index: ItemIndex, code: np.ndarray, value: np.ndarray, literal: np.ndarray, mine: np.ndarray, theirs: np.ndarray, length: np.ndarray, item: int, coverage: float) -> tuple[float, int, bool] | None:
-    """(covered share of the item's words, document word where it begins, all slots equal), or None if clean."""
-    begin, end = index.first[item], index.first[item + 1]
-    diagonal = mine - theirs
-    covered = np.full(end - begin, -1)  # the document word of each covered item word
-    for d, n in sorted(zip(*np.unique(diagonal, return_counts=True), strict=True), key=lambda x: (-x[1], x[0])):
-        del n
-        on = diagonal == d
-        cells = _cells(theirs[on], length[on])
-        cells = cells[covered[cells - begin] < 0]
-        covered[cells - begin] = cells + d
-    hit = np.flatnonzero(covered >= 0)
-    share = len(hit) / (end - begin)
-    if share < coverage:
-        return None
-    slots = hit[~index.literal[begin + hit]]
-    a, b = index.value[begin + slots], value[covered[slots]]
-    if len(slots) and not _consistent(a, b):
-        return None
-    if len(hit) - len(slots) < LITERALS and not (a == b).all():
+    """(covered share of the item's words, document word where it begins, all slots equal), or None if clean.
+
+    All diagonals together are tried first. If their slots clash, each diagonal in turn stands for a copy: what else lies in
+    its stretch of the document belongs to it and must agree; what lies elsewhere is added, nearest first, where it agrees.
+    """
+    begin, size = index.first[item], index.first[item + 1] - index.first[item]
+    diagonals, which, n = np.unique(mine - theirs, return_inverse=True, return_counts=True)
+    order = np.argsort(which, kind="stable")
+    parts = np.split(order, np.cumsum(n)[:-1])
+    cells = [_cells(theirs[p], length[p]) - begin for p in parts]
+
+    def put(covered: np.ndarray, own: np.ndarray, diagonal: int) -> np.ndarray:
+        """covered (the document word of each item word, or -1) with the words of a diagonal that are still open."""
+        out = covered.copy()
+        free = own[covered[own] < 0]
+        out[free] = free + begin + diagonal
+        return out
+
+    def agrees(covered: np.ndarray) -> bool:
+        hit = np.flatnonzero(covered >= 0)
+        slots = hit[~index.literal[begin + hit]]
+        return not len(slots) or _consistent(index.value[begin + slots], value[covered[slots]])
+
+    def verdict(covered: np.ndarray) -> tuple[float, int, bool] | None:
+        hit = np.flatnonzero(covered >= 0)
+        slots = hit[~index.literal[begin + hit]]
+        same = bool((index.value[begin + slots] == value[covered[slots]]).all())
+        if len(hit) / size < coverage or not agrees(covered) or len(hit) - len(slots) < LITERALS and not same:
+            return None
+        return len(hit) / size, int(covered[hit].min()), same
+
+    none = np.full(size, -1)
+    ranked = sorted(range(len(diagonals)), key=lambda k: (-n[k], diagonals[k]))
+    covered = none
+    for k in ranked:
+        covered = put(covered, cells[k], diagonals[k])
+    if np.count_nonzero(covered >= 0) / size < coverage:
         return None
-    return share, int(covered[hit].min()), bool((a == b).all())
+    found = verdict(covered)
+    if found or len(diagonals) == 1:
+        return found
+    for seed in ranked:
+        start = diagonals[seed] + begin
+        covered = put(none, cells[seed], diagonals[seed])
+        if not agrees(covered):
+            continue
+        others = sorted((k for k in ranked if k != seed), key=lambda k: abs(diagonals[k] - diagonals[seed]))
+        rest = []
+        for k in others:
+            place = cells[k] + begin + diagonals[k]
+            near = (place >= start) & (place < start + size)
+            covered = put(covered, cells[k][near], diagonals[k])
+            rest.append((cells[k][~near], diagonals[k]))
+        if not agrees(covered):
+            continue
+        for own, diagonal in rest:
+            if np.count_nonzero(covered >= 0) / size >= coverage:
+                break
+            more = put(covered, own, diagonal)
+            covered = more if agrees(more) else covered
+        found = verdict(covered)
+        if found:
+            return found
+    return None
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE, block_items: int = 20_000) -> DataFrame:
