@@ -1,6 +1,7 @@
 """Sharding, mixing, exact and near deduplication against brute force."""
 
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -81,6 +82,12 @@ def test_mixing(spark, seed):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_precision():
+    for f in (mixing.mix, mixing._mix):
+        given = inspect.signature(f).parameters
+        assert (given["tolerance"].default, given["corrections"].default) == (1e-7, 4)
+
+
 def test_mixing_balances_by_exponential_tilting(spark):
     """The rates solve the dual: log rate is linear in the size, below the cap."""
     rng = random.Random(4)
