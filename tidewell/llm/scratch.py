@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,19 +13,74 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Shuffle files of a plan go as soon as its result is written; the result is a table, so nobody reads them again.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scopes: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset (tests on one machine) a folder of our own."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir of the session. Where it is unset a local session (tests on one machine) gets a folder of its own; a
+    cluster is refused, as its executors would not find each other's files in one."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="tidewell-")
         shared_folder.own = folder
         folder = "file://" + folder
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder)
     return folder
 
 
+def _tables(spark: SparkSession) -> str:
+    """The folder of this application's tables, which goes with the application."""
+    root = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+    if getattr(_tables, "known", None) != root:
+        fs, path = _fs(spark, root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _tables.known = root
+    return root
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables that no plan reads any more."""
+    for df in tables:
+        path = getattr(df, "_tw_path", None)
+        if path:
+            fs, p = _fs(df.sparkSession, path)
+            fs.delete(p, True)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables made inside go at the end, but for those passed to the function it gives (the outer scope, if any, has them then)."""
+    made: list[str] = []
+    _scopes.append(made)
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df._tw_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        if _scopes:
+            _scopes[-1].extend(kept)
+        for path in set(made) - set(kept):
+            fs, p = _fs(spark, path)
+            fs.delete(p, True)
+
+
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Arrow batches of about 4 MB in this session, unless it was told otherwise: an executor holds each batch a few times, in the
     JVM and in its Python workers, and the default of 64 MB leaves little room beside the heap."""
@@ -41,12 +97,22 @@ def cut(df: DataFrame) -> DataFrame:
     return table(df)
 
 
-def table(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
-    """df, computed once and kept as a compressed Parquet table in the shared folder."""
+def table(df: DataFrame, options: dict[str, str] | None = None, by: str | None = None) -> DataFrame:
+    """df, computed once and kept as a compressed Parquet table in the shared folder, in folders of the values of by."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        writer = df.write.options(**(options or {}))
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tw_path = path
+    return out
 
 
 def bitmap(keys: DataFrame, key: Column, bits: int) -> DataFrame:
@@ -76,18 +142,16 @@ def maybe_in(df: DataFrame, key: Column, keys: DataFrame, keys_key: Column, bits
 def keyed(docs: DataFrame, id_col: str) -> DataFrame:
     """docs with __tw_key, a unique long that orders the rows by id (null last; rows of one id as they are read).
 
-    That is the id itself where ids are whole, unique and never null. Otherwise docs are written once with a number: row numbers
-    of a plan that is run twice need not agree.
+    That is the id itself where ids are whole, unique and never null. Otherwise docs are written once, sorted, with a number:
+    row numbers of a plan that is run twice need not agree. One id of very many rows is sorted in several ranges.
     """
     id_ = F.col(f"`{id_col}`")
     if docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
         n, known, different = docs.agg(F.count(F.lit(1)), F.count(id_), F.count_distinct(id_)).first()
         if n == known == different:
             return docs.withColumn("__tw_key", id_.cast("long"))
-    rows = table(docs.withColumn("__tw_no", F.monotonically_increasing_id()))
-    order = rows.select(id_.alias("id"), "__tw_no").orderBy(F.col("id").asc_nulls_last(), "__tw_no")
-    keys = table(order.select("__tw_no", F.monotonically_increasing_id().alias("__tw_key")))
-    return table(rows.join(keys, "__tw_no").drop("__tw_no"))
+    rows = docs.withColumn("__tw_no", F.monotonically_increasing_id()).orderBy(id_.asc_nulls_last(), "__tw_no").drop("__tw_no")
+    return table(rows.withColumn("__tw_key", F.monotonically_increasing_id()))
 
 
 def without(docs: DataFrame, gone: DataFrame, columns: list[str], bits: int = 1 << 22) -> DataFrame:
@@ -128,6 +192,11 @@ def components(edges: DataFrame) -> DataFrame:
     Every round hooks each node to its smallest neighbour, shortens the chains and contracts the edges; states are written
     tables. Hubs are aggregated before the shuffle, and nothing but the number of open edges reaches the driver.
     """
+    with steps(edges.sparkSession) as keep:
+        return keep(_components(edges))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     edges = table(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     known = None
     while not edges.isEmpty():
@@ -136,17 +205,22 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
             jumped = table(parent.join(up, "comp").select("node", F.col("top").alias("comp"), (F.col("top") != F.col("comp")).alias("moved")))
-            parent = jumped.select("node", "comp")
+            drop(parent)
+            parent = jumped
             if jumped.filter("moved").isEmpty():
                 break
         if known is None:
-            known = parent
+            known = table(parent.select("node", "comp"))
         else:
             up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-            known = table(known.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
-        p, q = parent.toDF("a", "pa"), parent.toDF("b", "pb")
-        edges = edges.join(p, "a").join(q, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        edges = table(edges)
+            more = table(known.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+            drop(known)
+            known = more
+        p, q = parent.select(F.col("node").alias("a"), F.col("comp").alias("pa")), parent.select(F.col("node").alias("b"), F.col("comp").alias("pb"))
+        left = edges.join(p, "a").join(q, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        left = table(left)
+        drop(edges, parent)
+        edges = left
     if known is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        return table(edges.select(F.col("a").alias("node"), F.col("b").alias("comp")))
     return known

@@ -37,9 +37,10 @@ PACK = 128
 _REACH = LENGTH - GRAM + 1
 
 
-def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, doc_id, text; key orders rows by doc_id."""
-    return scratch.keyed(docs, id_col).select(F.col("__tw_key").alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def ordered(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = []) -> DataFrame:  # noqa: B006
+    """key, doc_id, text, and the carried columns as _0, _1, ...; key orders rows by doc_id."""
+    others = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)]
+    return scratch.keyed(docs, id_col).select(F.col("__tw_key").alias("key"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *others)
 
 
 def _sliding_min(x: np.ndarray) -> np.ndarray:
