@@ -89,6 +89,51 @@ def test_code_lengths_are_exact():
         assert got[i] == pytest.approx([slow_ppm(model, lg, t.encode()) for lg in (0, 1)], rel=1e-4, abs=1e-4)
 
 
+def test_code_lengths_of_long_rows():
+    """Rows longer than a slice, and rows around its edge, cost what their bytes cost one by one."""
+    rng = random.Random(8)
+    long = speech(rng, EN, 90_000)
+    texts = [speech(rng, FR, 3), long, "", "z", long[: langid.PIECE - 3], "é" * 50]
+    assert len(long) > langid.PIECE
+    data, offsets = bytekit.buffers(pa.array(texts))
+    codes = langid._grams(data, offsets)
+    key, n = np.unique(codes[:5000], return_counts=True)
+    order0, levels = langid.PpmModel(["x", "y"], np.arange(len(key)) % 2, key, n.astype(float)).tables()
+    each = langid.costs(codes, order0, levels)
+    want = [each[a:b].sum(0) for a, b in zip(offsets, offsets[1:], strict=False)]
+    assert langid.code_lengths(data, offsets, order0, levels) == pytest.approx(np.array(want), rel=1e-9)
+
+
+def test_many_languages():
+    """Every language keeps all its contexts: what 200 languages cost on a text is what each costs on its own."""
+    rng = random.Random(9)
+    texts = [words(rng, 40, 60 + i) for i in range(200)]
+    parts = []
+    for i, t in enumerate(texts):
+        data, offsets = bytekit.buffers(pa.array([t * 2]))
+        code, n = np.unique(langid._grams(data, offsets), return_counts=True)
+        parts.append((np.full(len(code), i), code, n.astype(float)))
+    lang, code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    names = [f"l{i:03}" for i in range(200)]
+    data, offsets = bytekit.buffers(pa.array(texts[:9]))
+    got = langid.code_lengths(data, offsets, *langid.PpmModel(names, lang, code, n).tables())
+    assert (got.argmin(1) == np.arange(9)).all()
+    for i in (0, 3, 8):
+        alone = langid.code_lengths(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), *langid.PpmModel(["x"], parts[i][0] * 0, *parts[i][1:]).tables())
+        assert got[i, i] == pytest.approx(alone[0, 0], rel=0.02)  # (contexts seen once there and once elsewhere enter as well)
+
+
+def test_language_stage_rejects_what_no_language_predicts(spark):
+    """All rows have letters, of the same alphabet; only the trees tell them apart."""
+    rng = random.Random(4)
+    noise = [(1000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(200)), None, "s") for i in range(20)]
+    rows = [*lingual(), *noise, noise[0], lingual()[5], (2000, None, "en", "s"), (2001, "", None, None), (2002, "12 34", "fr", "s")]
+    model_rows = frame(spark, rows)
+    kept = langid.keep_identified(model_rows)
+    assert kept.schema == SCHEMA and sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(200), 5])
+    assert langid.keep_identified(empty(spark)).count() == 0
+
+
 LICENCES = [
     (1, "Released under the MIT License. The mit-license!", "en", "s"),
     (2, "This work is licensed under the GNU General Public License, version 3.", "en", "s"),

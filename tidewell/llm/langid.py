@@ -3,9 +3,12 @@
 Per language a tree of byte contexts of order 0 to 3 is counted on a bounded sample of labelled rows and then frozen. The
 code length of a text under a language is the sum over its bytes of -log2 of the probability that the longest context of
 the tree gives: method C (escape weight = number of distinct bytes seen) with exclusion of the bytes already seen in the
-longer contexts, down to the uniform order -1. The trees of all languages are merged into one set of nodes, whose rows of
-256 code lengths per language are filled exactly from each language's own tree, so a text is scored by two table look-ups
-a byte. The shortest code wins.
+longer contexts, down to the uniform order -1. The shortest code wins.
+
+The trees are stored sparsely, by context and language, so all contexts of the sample are kept however many languages there
+are. With exclusion, the probability of a byte that a context has not seen is a factor of that context (escape / mass that the
+next shorter context gives to unseen bytes) times the probability in the next shorter context; so a node needs that factor
+and the exact costs of its own bytes. A slice of texts looks up each of its different four-byte strings once.
 """
 
 from __future__ import annotations
@@ -45,61 +48,65 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return code
 
 
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _level(code: np.ndarray, lang: np.ndarray, value: np.ndarray) -> Level:
+    """Rows (code, lang, value) sorted by code, as different codes, row ranges, languages and values."""
+    codes, begin = np.unique(code, return_index=True)
+    return codes, np.append(begin, len(code)), lang, value.astype(np.float32)
+
+
 class PpmModel:
-    """Frozen statistics: languages, and (language, four-byte code, count) rows sorted by code."""
+    """Frozen statistics: languages, and (language, four-byte code, count) rows sorted by code. max_contexts, if given, keeps the
+    most frequent contexts of each language and order only."""
 
-    def __init__(self, languages: list[str], lang: np.ndarray, code: np.ndarray, count: np.ndarray, max_contexts: int):
+    def __init__(self, languages: list[str], lang: np.ndarray, code: np.ndarray, count: np.ndarray, max_contexts: int | None = None):
         self.languages, self.lang, self.code, self.count, self.max_contexts = languages, lang, code, count, max_contexts
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """node of each three-byte context (2 ** 24), and code lengths [node * 256 + byte, language]."""
+    def tables(self) -> tuple[np.ndarray, list[tuple[Level, Level]]]:
+        """Costs in bits: [byte, language] of order 0; per longer order the escapes by context and the costs by context and byte."""
         langs = len(self.languages)
-        limit = min(self.max_contexts, 24_000 // langs + 1, 20_000)  # nodes * languages stay bounded, and nodes below 2 ** 16
-        plan = [(np.zeros(1, np.int64), np.zeros(len(self.code), np.int64))]  # order 0: one context
+        seen = np.zeros((256, langs))
+        np.add.at(seen, (self.code & 255, self.lang), self.count)
+        n, kinds = seen.sum(0), (seen > 0).sum(0)
+        unseen = np.where(kinds < 256, kinds / np.maximum(n + kinds, 1) / np.maximum(256 - kinds, 1), 0.0)
+        p = np.where(n == 0, 1 / 256, np.where(seen > 0, seen / np.maximum(np.where(kinds < 256, n + kinds, n), 1), unseen))
+        order0 = -np.log2(np.maximum(p, 1e-300))
+        key = (np.arange(256)[:, None] * langs + np.arange(langs)).ravel()  # (code of the shorter context and the byte, language)
+        lower = p.ravel()
+        levels = []
         for order in range(1, ORDER + 1):
-            context = (self.code >> np.uint32(8)).astype(np.int64) & (256**order - 1)
-            chosen, at = np.unique(context, return_inverse=True)
-            weight = np.bincount(at, weights=self.count)
-            # a context enters the tree if it was seen twice; the most frequent first, up to the bound
-            keep = np.argsort(-weight, kind="stable")[:limit]
-            keep = np.sort(keep[weight[keep] >= 2])
-            place = np.full(len(chosen), -1)
-            place[keep] = np.arange(len(keep))
-            plan.append((chosen[keep], place[at]))
-        p = np.empty((sum(len(c) for c, _ in plan), 256, langs), np.float32)
-        node = np.zeros(1, np.uint16)  # node of each context of the previous order
-        first = 0
-        for order, (contexts, place) in enumerate(plan):
-            if order:
-                node = np.tile(node, 256)  # a longer context falls back to its own suffix
-            by_place = np.argsort(place, kind="stable")
-            edge = np.searchsorted(place[by_place], np.arange(len(contexts) + 1))
-            for a in range(0, len(contexts), 256):  # in pieces, to bound the memory
-                b = min(a + 256, len(contexts))
-                rows = by_place[edge[a] : edge[b]]
-                seen = np.zeros((b - a, 256, langs))
-                np.add.at(seen, (place[rows] - a, self.code[rows] & 255, self.lang[rows]), self.count[rows])
-                lower = p[node[contexts[a:b]]].astype(np.float64) if order else np.full((1, 256, langs), 1 / 256)
-                p[first + a : first + b] = self._node(seen, lower)
-            if order:
-                node[contexts] = first + np.arange(len(contexts))
-            first += len(contexts)
-        cost = np.negative(np.log2(p, out=p), out=p)
-        return node, cost.reshape(-1, langs)
-
-    @staticmethod
-    def _node(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """Probabilities [.., byte, language] from counts and the distribution of the next shorter context."""
-        n, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        rest = np.where(count > 0, 0.0, lower)
-        left = rest.sum(1, keepdims=True)
-        escape = np.where(left > 0, kinds / np.maximum(n + kinds, 1), 0.0)
-        unseen = escape * rest / np.maximum(left, 1e-300)
-        seen = np.where(left > 0, count / np.maximum(n + kinds, 1), count / np.maximum(n, 1))
-        return np.where(n > 0, seen + unseen, lower)
-
-
-def _loaded(blob: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+            gram = (self.code.astype(np.int64) & (256 ** (order + 1) - 1)) * langs + self.lang
+            grams, at = np.unique(gram, return_inverse=True)
+            count = np.bincount(at, weights=self.count)
+            lang, code = grams % langs, grams // langs
+            node, of = np.unique((code >> 8) * langs + lang, return_inverse=True)
+            n = np.bincount(of, weights=count)
+            # a context enters the trees if it was seen twice
+            context, group = np.unique(node // langs, return_inverse=True)
+            ok = np.bincount(group, weights=n)[group] >= 2
+            if self.max_contexts is not None:
+                rank = np.empty(len(node), np.int64)
+                by_lang = np.lexsort((-n, node % langs))
+                rank[by_lang] = np.arange(len(node)) - np.searchsorted((node % langs)[by_lang], (node % langs)[by_lang])
+                ok &= rank < self.max_contexts
+            kinds = np.bincount(of)
+            short = np.searchsorted(key, (code & (256**order - 1)) * langs + lang)
+            # its bytes were all seen in the shorter context, unless that one is not in the tree of the language
+            short = np.minimum(short, len(key) - 1)
+            ok &= np.bincount(of, key[short] == (code & (256**order - 1)) * langs + lang) == kinds
+            left = 1 - np.bincount(of, weights=lower[short])
+            all_ = left <= 1e-12
+            p = count / np.where(all_, n, n + kinds)[of]
+            escape = np.where(all_, 1e-300, kinds / (n + kinds) / np.where(all_, 1, left))
+            use = ok[of]
+            key, lower = grams[use], p[use]
+            levels.append((_level((node // langs)[ok], (node % langs)[ok], -np.log2(escape[ok])), _level(code[use], lang[use], -np.log2(lower))))
+        return order0, levels
+
+
+def _loaded(blob: bytes) -> tuple[list[str], np.ndarray, list[tuple[Level, Level]]]:
     """The tables of a model, built once in each Python worker."""
     key = zlib.crc32(blob)
     if key not in _models:
@@ -109,28 +116,57 @@ def _loaded(blob: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
     return _models[key]
 
 
-def code_lengths(data: np.ndarray, offsets: np.ndarray, node: np.ndarray, cost: np.ndarray) -> np.ndarray:
+def _found(level: Level, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a level for each code: place in code, language, value."""
+    codes, begin, lang, value = level
+    if not len(codes):
+        return np.empty(0, np.int64), lang, value
+    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    hit = np.flatnonzero(codes[at] == code)
+    first = begin[at[hit]]
+    n = begin[at[hit] + 1] - first
+    row = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(hit, n), lang[row], value[row]
+
+
+def costs(code: np.ndarray, order0: np.ndarray, levels: list[tuple[Level, Level]]) -> np.ndarray:
+    """[code, language]: bits of the last byte of four-byte codes after the three before it."""
+    out = order0[code & 255]
+    for order, (escapes, grams) in enumerate(levels, 1):
+        at, lang, bits = _found(escapes, (code >> np.uint32(8)).astype(np.int64) & (256**order - 1))
+        out[at, lang] += bits
+        at, lang, bits = _found(grams, code.astype(np.int64) & (256 ** (order + 1) - 1))
+        out[at, lang] = bits
+    return out
+
+
+def code_lengths(data: np.ndarray, offsets: np.ndarray, order0: np.ndarray, levels: list[tuple[Level, Level]]) -> np.ndarray:
     """[row, language]: bits of each row's bytes."""
-    out = np.zeros((len(offsets) - 1, cost.shape[1]))
+    out = np.zeros((len(offsets) - 1, order0.shape[1]))
     for a, b in bytekit.slices(offsets, PIECE):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         if not len(part):
             continue
-        index = node[_grams(part, at) >> np.uint32(8)].astype(np.int64) * 256 + part
-        if b == a + 1:  # perhaps a long row: in pieces
-            out[a] = sum(cost[index[i : i + PIECE]].sum(0, dtype=np.float64) for i in range(0, len(index), PIECE))
-        else:
-            bits = np.zeros((len(part) + 1, cost.shape[1]))
-            np.cumsum(cost[index], axis=0, out=bits[1:], dtype=np.float64)
-            out[a:b] = bits[at[1:]] - bits[at[:-1]]
+        code = _grams(part, at)
+        for i in range(0, len(code), 4 * PIECE):  # a long row in pieces
+            different, place = np.unique(code[i : i + 4 * PIECE], return_inverse=True)
+            bits = costs(different, order0, levels)
+            if b == a + 1:
+                out[a] += np.bincount(place, minlength=len(different)) @ bits
+            else:
+                row = np.repeat(np.arange(b - a), np.diff(at))
+                for lang in range(bits.shape[1]):
+                    out[a:b, lang] = np.bincount(row, bits[place, lang], minlength=b - a)
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, max_contexts: int = 6000, max_languages: int = 512) -> bytes | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, max_languages: int = 512) -> bytes | None:
     """Learns from the labelled rows of docs; returns the packed model, or None if no row has a language.
 
-    The bound of the sample: about sample_docs rows per language, chosen by the hash of their id, in whole. Every language of the table is learned; more than max_languages are an error. The counts
-    are summed on the executors; what reaches the driver is bounded by the sample.
+    The bound of the sample: about sample_docs rows per language, chosen by the hash of their id, in whole; all their contexts
+    seen twice are kept, however many languages there are. Every language of the table is learned;
+    more than max_languages are an error. The counts are summed on the executors; what reaches the driver is bounded by the
+    sample. An empty table, and one without labelled text, gives None.
     """
     scratch.small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -158,7 +194,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     key, n = counts["key"].to_numpy(), counts["n"].to_numpy()
     order = np.argsort(key)
     key, n = key[order], n[order].astype(np.float64)
-    model = PpmModel(languages, key >> 32, (key & 0xFFFFFFFF).astype(np.uint32), n, max_contexts)
+    model = PpmModel(languages, key >> 32, (key & 0xFFFFFFFF).astype(np.uint32), n)
     return zlib.compress(pickle.dumps(model), 1)
 
 
@@ -167,7 +203,8 @@ def identify(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_
 
     lang_pred is `und` with score 0 for a null text, a text without a letter, or without a model; else the language with
     the shortest code (ties: the first by name), and the score is its share of 2 ** -(bits) over all languages, 1 / languages at least.
-    Whole texts are scored; other columns are ignored.
+    Whole texts are scored; other columns are ignored, whatever their names. Repeated rows have equal results; an empty table
+    gives an empty result.
     """
     scratch.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))
@@ -176,11 +213,11 @@ def identify(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, node, cost = _loaded(shared.value)
+        languages, *tables = _loaded(shared.value)
         names = np.array([*languages, "und"], object)
         for batch in batches:
             text = batch.column("text")
-            bits = code_lengths(*bytekit.buffers(text), node, cost)
+            bits = code_lengths(*bytekit.buffers(text), *tables)
             best = bits.argmin(1)
             p = 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1)
             none = np.asarray(text.is_null())
@@ -197,17 +234,24 @@ def train_and_identify(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
-    """The rows of docs for which a language is found, in docs' columns; `und` rows go."""
+    """The rows of docs whose language is identified, in docs' columns.
+
+    Rejected are null texts, texts without a letter, and texts that no language's contexts predict: the byte frequencies of all
+    languages together (order 0 of the merged tree) code them in no more bits than the best language's tree does. So noise
+    goes, whatever its letters, and there is no threshold to fit. Repeated rows stay or go together; without a labelled row
+    nothing can be identified, and the result, like that of an empty table, is empty. Columns of any name are kept.
+    """
     model = fit(docs.filter(~held_out(id_col)), id_col, text_col, lang_col, **bounds)
     if model is None:
         return docs.limit(0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts: Iterator[pa.Array]) -> Iterator[np.ndarray]:
-        _, node, cost = _loaded(shared.value)
+        _, order0, levels = _loaded(shared.value)
+        plain = -np.log2(np.exp2(-order0).mean(1))[:, None]
         for text in texts:
-            bits = code_lengths(*bytekit.buffers(text), node, cost).min(1)
-            yield np.isfinite(bits) & (bits > 0)
+            data, offsets = bytekit.buffers(text)
+            yield code_lengths(data, offsets, order0, levels).min(1) < code_lengths(data, offsets, plain, [])[:, 0]
 
     # texts without a letter are `und` whatever their code lengths
-    return scratch.keep_rows(docs.filter(F.col(text_col).rlike(r"\p{L}")), text_col, keep)
+    return scratch.keep_rows(docs.filter(F.col(f"`{text_col}`").rlike(r"\p{L}")), text_col, keep)
