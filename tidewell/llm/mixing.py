@@ -79,7 +79,8 @@ def multipliers(histogram: DataFrame, goals: DataFrame, cap: float, rounds: int,
         step = step.withColumn("off2", off).select(
             "source", "target", "mean", F.when(done, F.col("lam")).otherwise(new).alias("lam"), "lo", "hi", "full", F.col("off2").alias("off")
         )
-        state = scratch.cut(step)
+        last, state = state, scratch.cut(step)
+        scratch.drop(last)
         if state.filter(F.col("off") > tolerance).isEmpty():
             break
     return state.select("source", "mean", "lam", "full")
@@ -101,7 +102,7 @@ def mix(
     """One row per input row: doc_id, size, source_size, target, taken, copies, source, _no (a key).
 
     Null texts and ids are allowed, null is a source of its own (the last). A document without words has one copy and takes
-    nothing. Rows of one id differ by their text's hash; wholly equal rows are interchangeable, so reruns agree. An empty
+    nothing. Columns other than the three are ignored, whatever their names. Rows of one id differ by their text's hash; wholly equal rows are interchangeable, so reruns agree. An empty
     table gives an empty result. Documents of one source and size are dealt over `cells` cells by hash, so even a third of
     all rows with one text is ranked in pieces. `corrections` documents per source at most change by one copy at the end.
     """
@@ -109,6 +110,11 @@ def mix(
 
 
 def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, cells: int = 256, rounds: int = 40, tolerance: float = 1e-7, corrections: int = 4) -> DataFrame:
+    with scratch.steps(docs.sparkSession) as keep:
+        return keep(scratch.table(_dealt(docs, id_col, text_col, source_col, weights, cap, seed, cells, rounds, tolerance, corrections)))
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: int, seed: int, cells: int, rounds: int, tolerance: float, corrections: int) -> DataFrame:
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         word_count(F.col(text_col)).alias("size"),
@@ -175,7 +181,8 @@ def _corrected(rounded: DataFrame, goals: DataFrame, cap: int, corrections: int)
 
 
 def expand(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed corpus itself: every row of docs as often as its copies say, in docs' columns."""
+    """The mixed corpus itself: every row of docs as often as its copies say, in docs' columns, whatever their names. A row without
+    words stays once, whatever its source; repeated rows have copies of their own. Empty in, empty out."""
     rows = scratch.keyed(docs, id_col)
     plan = _mix(rows, id_col, text_col, source_col, **options).select(F.col("_no").alias("__tw_key"), F.col("copies").alias("__tw_copies"))
     repeated = rows.join(plan, "__tw_key").filter("__tw_copies > 0").withColumn("__tw_i", F.explode(F.expr("sequence(1, cast(__tw_copies as int))")))

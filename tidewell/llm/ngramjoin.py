@@ -164,7 +164,7 @@ def _enough(shared, na: str, nb: str, percent: int):
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of rows whose sets are similar enough: the count filter on the stored prefixes first; the whole sets only
+    """The pairs (a, b) of rows whose sets are similar enough, as a table: the count filter on the stored prefixes first; the whole sets only
     of the pairs that are left, from their texts."""
 
     def fetch(some: DataFrame, source: DataFrame, load=None) -> DataFrame:
@@ -175,10 +175,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, percent: int)
         near = scratch.table(near)  # read twice, for both ends
         return some.join(near.toDF("b", "nb", "sb"), "b").join(near.toDF("a", "na", "sa"), "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
 
-    near = fetch(pairs, rows.select("_row", "n", "prefix"))
-    near = scratch.table(near.filter(_enough(F.col("common"), "na", "nb", percent)).select("a", "b"))
-    both = fetch(near, texts.select("_row", "text"), lambda t: _sets(t).select("_row", F.size("s").alias("n"), "s"))
-    return both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    with scratch.steps(rows.sparkSession) as keep:
+        near = fetch(pairs, rows.select("_row", "n", "prefix"))
+        near = scratch.table(near.filter(_enough(F.col("common"), "na", "nb", percent)).select("a", "b"))
+        both = fetch(near, texts.select("_row", "text"), lambda t: _sets(t).select("_row", F.size("s").alias("n"), "s"))
+        return keep(scratch.table(both.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")))
 
 
 def _passes(percent: int, na: str, pos_a: str, nb: str, pos_b: str):
@@ -201,6 +202,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
 
 
 def _join(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, segments: int = 64, rounds: int = 8) -> DataFrame:
+    with scratch.steps(docs.sparkSession) as keep:
+        return keep(scratch.table(_linked(docs, id_col, text_col, percent, segments, rounds)))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, segments: int, rounds: int) -> DataFrame:
     texts = docs.select(F.col("__tw_key").alias("_row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = scratch.table(profiles(texts, rarity_sketch(texts), percent))
 
@@ -234,10 +240,12 @@ def _join(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, s
         tried = star.count()
         if not tried:
             break
-        found = scratch.table(_verified(star, rows, texts, percent))
+        found = _verified(star, rows, texts, percent)
+        scratch.drop(spread, star)
         new = found.count()
         if new:
             links = found if links is None else links.unionByName(found)
+            scratch.drop(comp)
             comp = scratch.components(links)
         if turn and new * 50 < tried:
             break
@@ -251,8 +259,9 @@ def _join(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, s
     b = spread.select("token", F.col("cid").alias("b"), F.col("comp").alias("bc"), F.col("n").alias("bn"), F.col("pos").alias("bp"), (F.col("comp") != F.col("main")).alias("minor"))
     more = a.join(b, "token").filter((F.col("ac") != F.col("bc")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & _passes(percent, "an", "ap", "bn", "bp"))
     more = scratch.table(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch.drop(spread)
     if not more.isEmpty():
-        late = scratch.table(_verified(more, rows, texts, percent))
+        late = _verified(more, rows, texts, percent)
         if not late.isEmpty():
             comp = scratch.components(late if links is None else links.unionByName(late))
     if comp is None:
@@ -273,9 +282,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     empty set stay."""
     scratch.small_batches(docs.sparkSession)
     rows = scratch.keyed(docs, id_col)
-    found = scratch.table(_join(rows, id_col, text_col, **options).filter("_comp is not null").select("_row", "_comp"))
-    kept = found.groupBy("_comp").agg(F.min("_row").alias("_row")).select("_row")  # keys are in the order of ids
-    gone = scratch.table(found.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias("key")))
+    with scratch.steps(docs.sparkSession) as keep:
+        found = _join(rows, id_col, text_col, **options).filter("_comp is not null").select("_row", "_comp")
+        kept = found.groupBy("_comp").agg(F.min("_row").alias("_row")).select("_row")  # keys are in the order of ids
+        gone = keep(scratch.table(found.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias("key"))))
     return scratch.without(rows, gone, docs.columns)
 
 
@@ -286,5 +296,6 @@ def _open_buckets(index: DataFrame, expand: DataFrame, comp: DataFrame | None) -
         return scratch.table(index.join(grown, "gid").select("token", "cid", "comp", "n", "pos"))
     grown = expand.select("gid", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left").select("gid", "cid", F.coalesce("comp", "cid").alias("comp"))
     spread = index.join(grown, "gid").select("token", "cid", "comp", "n", "pos")
+    # (spread is read twice here; the small side of the semi-join has one row a bucket)
     split = spread.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
     return scratch.table(spread.join(split, "token"))

@@ -33,8 +33,8 @@ def interleave(
 
     Shards differ by one row at most; slots are gapless from 0 in each shard. Null ids, texts and sources are values like
     others (a null text counts no bytes and has the CRC of no bytes; null is a source of its own). Rows with one id are
-    ordered by CRC, size and source; wholly equal rows are interchangeable, so reruns agree. An empty table gives an empty
-    result. A range of keys holds about 1 / 16 ** hex_digits of a source, a band about 1 / bands of all rows.
+    ordered by CRC, size and source; wholly equal rows are interchangeable, so reruns agree. Columns other than the three are
+    ignored, whatever their names. An empty table gives an empty result. A range of keys holds about 1 / 16 ** hex_digits of a source, a band about 1 / bands of all rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -62,6 +62,7 @@ def interleave(
     fraction = (F.col("_before") + F.col("_rank") - F.lit(0.5)) / F.col("_of")
     ranked = ranked.withColumn("_at", fraction).withColumn("_band", F.floor(F.col("_at") * bands).cast("int"))
     ranked = scratch.table(ranked.select("doc_id", "size", "text_crc32", "source", "_key", "_at", "_band"))
+    scratch.drop(rows)
 
     # level 2: rows before each band (one row per band, so one small task), then the row number inside the band
     counted = ranked.groupBy("_band").agg(F.count("*").alias("n"))

@@ -224,7 +224,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch.small_batches(docs.sparkSession)
     texts = ordered(docs, id_col, text_col)
-    found = scratch.table(repeats(texts).groupBy("key").agg(F.collect_list("run").alias("run")))
+    with scratch.steps(docs.sparkSession) as keep:
+        found = keep(scratch.table(repeats(texts).groupBy("key").agg(F.collect_list("run").alias("run"))))
     kind = texts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     # rows without repeats are hashed where they are read; only the others (and what the bitmap lets through) are shuffled
