@@ -5,12 +5,20 @@ capital inside a sentence) and units after a number become typed placeholders. W
 literal words at least, are looked up in the items' windows (a hash join with the bounded item side held in memory, in
 blocks of items). Matches that lie on one diagonal (document position - item position) belong together: a document is
 contaminated by an item if the windows on its diagonals, all of them or those of one place in the document, cover enough of
-the item's words, and if the values in the slots are consistent: equal values of the item's slots stand for equal values in the document's slots, so a
-re-parameterised question is caught and an accidental run of placeholders is not.
+the item's words, and if the values in the slots are consistent: equal values of the item's slots stand for equal values in
+the document's slots, and different names for different names (numbers may coincide). So a re-parameterised question is
+caught and an accidental run of placeholders is not.
+
+Capitals are not always there to tell names: windows are looked up in three forms. Form 0 is the one above; form 1 has no
+names, so copies in lower case or in title case match; in form 2 a capital at the beginning of a sentence makes a name too.
 
 Items whose windows cannot cover enough of them (dense in names, numbers and units) are also looked up by their windows of
 one or two literal words and by windows of the words' own values, and items shorter than a window by the hash of all their
 words. A match that has fewer than three literal words in all counts only if all its values are equal.
+
+Items of one text are one entry. A window that many items share does not pair a document with all of them: per item the most
+shared windows stay passive as long as they cannot reach the coverage by themselves, so one of the others must match; the
+passive ones are then looked up for the (document, item) pairs that these found.
 """
 
 from __future__ import annotations
@@ -27,6 +35,10 @@ from tidewell.llm import bytekit, scratch
 WINDOW = 5
 LITERALS = 3
 COVERAGE = 0.6
+#: Windows of more items than this may be passive.
+SHARED = 16
+#: A block of items, which executors hold, has this many characters at most, or one item.
+BLOCK_CHARACTERS = 1 << 24
 #: Words that are units when they follow a number.
 UNITS = (
     "mm cm m km in ft mi g kg mg lb oz s sec min h hr ms ml l kwh w kw v a hz khz mhz ghz pa bar usd eur gbp percent "
@@ -47,11 +59,15 @@ def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 _UNIT_HASHES = np.sort(np.array([_hashes(np.frombuffer(u.encode(), np.uint8), np.array([0]), np.array([len(u)]))[0] for u in UNITS], np.uint64))
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: canonical hash, literal?, hash of the value itself; and the first word of each row."""
+Form = tuple[np.ndarray, np.ndarray]
+
+
+def _read(data: np.ndarray, offsets: np.ndarray) -> tuple[list[Form], np.ndarray, np.ndarray, np.ndarray]:
+    """(canonical hash, literal?) per word in each form, hash of the value itself, capital at the beginning of a sentence?, and
+    the first word of each row."""
     begin, end, first = bytekit.words(data, offsets, _TABLE)
     if not len(begin):
-        return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.uint64), first
+        return [(np.empty(0, np.uint64), np.empty(0, bool))] * 3, np.empty(0, np.uint64), np.empty(0, bool), first
     value = _hashes(data, begin, end)
     lead = data[begin]
     number = (lead >= 48) & (lead <= 57)
@@ -64,14 +80,23 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     opens[1:] = stops[begin[1:]] > stops[end[:-1]]
     starts = first[:-1]
     opens[starts[starts < len(begin)]] = True
-    name = upper & ~opens & ~shout
     after_number = np.zeros(len(begin), bool)
     after_number[1:] = number[:-1]
     after_number[starts[starts < len(begin)]] = False
     unit = after_number & ~number & np.isin(value, _UNIT_HASHES)
-    code = value.copy()
-    code[number], code[name], code[unit] = _NUMBER, _NAME, _UNIT
-    return code, ~(number | name | unit), value, first
+    capital = upper & ~shout
+    forms = []
+    for name in (capital & ~opens, np.zeros(len(begin), bool), capital):
+        code = value.copy()
+        code[number], code[name], code[unit] = _NUMBER, _NAME, _UNIT
+        forms.append((code, ~(number | name | unit)))
+    return forms, value, capital & opens, first
+
+
+def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: canonical hash, literal?, hash of the value itself; and the first word of each row (form 0)."""
+    forms, value, _, first = _read(data, offsets)
+    return *forms[0], value, first
 
 
 def _grams(codes: np.ndarray, literal: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,40 +138,118 @@ class _Lookup:
         return mine, self.at[theirs]
 
 
+    def meet(self, h: np.ndarray, ok: np.ndarray, row: np.ndarray, first: np.ndarray, pair_row: np.ndarray, pair_item: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the given pairs (row, item) only. row: of each document word; begin: first word of each item."""
+        by_item = np.argsort(self.at, kind="stable")
+        at = self.at[by_item]
+        lo, hi = np.searchsorted(at, begin[pair_item]), np.searchsorted(at, begin[pair_item + 1])
+        n = hi - lo
+        which = by_item[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        of = np.repeat(pair_row, n)
+        kinds, kind = np.unique(self.hash, return_inverse=True)
+        place = np.flatnonzero(ok & self.sieve[h >> np.uint64(44)])
+        mine = np.minimum(np.searchsorted(kinds, h[place]), len(kinds) - 1)
+        hit = kinds[mine] == h[place]
+        place, mine = place[hit], mine[hit]
+        key = row[place] * len(kinds) + mine
+        order = np.argsort(key, kind="stable")
+        want = of * len(kinds) + kind[which]
+        lo, hi = np.searchsorted(key[order], want, "left"), np.searchsorted(key[order], want, "right")
+        n = hi - lo
+        return place[order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]], self.at[np.repeat(which, n)]
+
+
 class ItemIndex:
-    """Windows of a block of items, sorted by hash; codes and values of their words."""
+    """Windows of a block of items, sorted by hash; codes and values of their words. ids: those of each different text."""
 
     def __init__(self, ids: list, texts: list[str], coverage: float = COVERAGE):
-        data, offsets = bytekit.buffers(pa.array([t or "" for t in texts], pa.string()))
-        self.ids = ids
-        self.code, self.literal, self.value, self.first = canonical(data, offsets)
-        h, ok = windows(self.code, self.literal, self.first)
-        at = np.flatnonzero(ok)
-        self.main = _Lookup(h, at)
-        # items that the windows with enough literal words cannot cover: (by value?, length, windows)
+        groups: dict[str, list] = {}
+        for i, t in zip(ids, texts, strict=True):
+            groups.setdefault(t or "", []).append(i)
+        self.ids = list(groups.values())
+        data, offsets = bytekit.buffers(pa.array(list(groups), pa.string()))
+        forms, self.value, opening, self.first = _read(data, offsets)
+        self.code, self.literal = forms[0]
         size = np.diff(self.first)
-        steps = np.bincount(at, minlength=len(self.code) + WINDOW) - np.bincount(at + WINDOW, minlength=len(self.code) + WINDOW)
         owner = np.repeat(np.arange(len(size)), size)
+        # slots: placeholders, and names at the beginning of a sentence that are names elsewhere in the item as well
+        named = np.unique(np.stack((owner[self.code == _NAME], self.value[self.code == _NAME].view(np.int64)), 1), axis=0)
+        again = {(int(a), int(b)) for a, b in named}
+        self.name = self.code == _NAME
+        for w in np.flatnonzero(opening):
+            self.name[w] |= (int(owner[w]), int(self.value[w : w + 1].view(np.int64)[0])) in again
+        self.slot = ~self.literal | self.name
+
+        listed = [windows(code, literal, self.first) for code, literal in forms]
+        shares = np.zeros(len(self.code), np.int64)  # the items that share the window at each word, in the form that most do
+        for h, ok in listed:
+            at = np.flatnonzero(ok)
+            pairs = np.unique(np.stack((h[at].view(np.int64), owner[at]), 1), axis=0)
+            kinds, n = np.unique(pairs[:, 0], return_counts=True)
+            shares[at] = np.maximum(shares[at], n[np.searchsorted(kinds, h[at].view(np.int64))]) if len(at) else 0
+        passive = self._passive(shares, owner, size, coverage)
+        self.main = _Lookup(listed[0][0], np.flatnonzero(listed[0][1]))
+        #: (form or None for the values, length, windows that find items, passive windows or None)
+        self.lookups: list[tuple[int | None, int, _Lookup, _Lookup | None]] = []
+        for form, (h, ok) in enumerate(listed):
+            idle = ok & passive[: len(h)]
+            self.lookups.append((form, WINDOW, _Lookup(h, np.flatnonzero(ok & ~idle)), _Lookup(h, np.flatnonzero(idle)) if idle.any() else None))
+        # items that the windows with enough literal words cannot cover
+        at = np.flatnonzero(listed[0][1])
+        steps = np.bincount(at, minlength=len(self.code) + WINDOW) - np.bincount(at + WINDOW, minlength=len(self.code) + WINDOW)
         met = np.bincount(owner, np.cumsum(steps)[: len(self.code)] > 0, minlength=len(size))
         sparse = (met < coverage * size) & (size >= WINDOW)
-        self.extra: list[tuple[bool, int, _Lookup]] = []
         for by_value, length, wanted in ((False, WINDOW, sparse), (True, WINDOW, sparse), *((True, k, size == k) for k in range(1, WINDOW))):
             h, few, inside = _grams(self.value if by_value else self.code, self.literal, self.first, length)
             ok = inside & wanted[owner[: len(h)]] & (by_value | (few > 0) & (few < LITERALS))
             if ok.any():
-                self.extra.append((by_value, length, _Lookup(h, np.flatnonzero(ok))))
+                self.lookups.append((None if by_value else -1, length, _Lookup(h, np.flatnonzero(ok)), None))
+
+    @staticmethod
+    def _passive(shares: np.ndarray, owner: np.ndarray, size: np.ndarray, coverage: float) -> np.ndarray:
+        """Per word whether its window is passive: the most shared ones of each item, while they cover less than coverage."""
+        out = np.zeros(len(shares), bool)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        for item in np.unique(owner[shares > SHARED]):
+            own = shares[begin[item] : begin[item + 1]]
+            covered = np.zeros(len(own) + WINDOW, bool)
+            for w in np.argsort(-own, kind="stable"):
+                fresh = covered.copy()
+                fresh[w : w + WINDOW] = True
+                if own[w] <= SHARED or fresh[: len(own)].sum() >= coverage * len(own):
+                    break
+                covered = fresh
+                out[begin[item] + w] = True
+        return out
 
     def probe(self, h: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (document window, item window) of equal hash."""
         return self.main.probe(h, ok)
 
-    def search(self, code: np.ndarray, literal: np.ndarray, value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All matching windows: document word, item word, length."""
-        found = [(*self.probe(*windows(code, literal, first)), WINDOW)]
-        for by_value, length, lookup in self.extra:
-            h, few, inside = _grams(value if by_value else code, literal, first, length)
-            found.append((*lookup.probe(h, inside & (by_value | (few > 0) & (few < LITERALS))), length))
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+    def search(self, forms: list[Form], value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The matching windows: document word, item word, length. All of them for every (row, item) that can be covered enough."""
+        found, idle = [], []
+        made = [windows(code, literal, first) for code, literal in forms]
+        code, literal = forms[0]
+        for form, length, active, passive in self.lookups:
+            if form is not None and form >= 0:
+                h, ok = made[form]
+            else:
+                h, few, inside = _grams(value if form is None else code, literal, first, length)
+                ok = inside & ((few > 0) & (few < LITERALS) if form is not None else np.True_)
+            found.append((*active.probe(h, ok), length))
+            if passive:
+                idle.append((h, ok, passive))
+        if idle and any(len(f[0]) for f in found):
+            row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            mine, theirs = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            pairs = np.unique(row[mine] * len(self.ids) + np.searchsorted(self.first, theirs, "right") - 1)
+            for h, ok, passive in idle:
+                found.append((*passive.meet(h, ok, row, first, pairs // len(self.ids), pairs % len(self.ids), self.first), WINDOW))
+        mine, theirs = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        length = np.repeat([f[2] for f in found], [len(f[0]) for f in found])
+        _, once = np.unique((mine * (len(self.code) + 1) + theirs) * 8 + length, return_index=True)  # forms that agree
+        return mine[once], theirs[once], length[once]
 
 
 def _consistent(item: np.ndarray, doc: np.ndarray) -> bool:
@@ -156,12 +259,18 @@ def _consistent(item: np.ndarray, doc: np.ndarray) -> bool:
     return bool((doc[order][1:] == doc[order][:-1])[same].all())
 
 
+def _agreeing(index: ItemIndex, words: np.ndarray, doc: np.ndarray) -> bool:
+    """Slots (item words) hold consistent values in the document: equal ones for equal ones, different names for different names."""
+    item, name = index.value[words], index.name[words]
+    return not len(words) or _consistent(item, doc) and _consistent(doc[name], item[name])
+
+
 def _cells(at: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The words of windows."""
     return np.unique(np.repeat(at, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))
 
 
-def _judge(index: ItemIndex, code: np.ndarray, value: np.ndarray, literal: np.ndarray, mine: np.ndarray, theirs: np.ndarray, length: np.ndarray, item: int, coverage: float) -> tuple[float, int, bool] | None:
+def _judge(index: ItemIndex, value: np.ndarray, mine: np.ndarray, theirs: np.ndarray, length: np.ndarray, item: int, coverage: float) -> tuple[float, int, bool] | None:
     """(covered share of the item's words, document word where it begins, all slots equal), or None if clean.
 
     All diagonals together are tried first. If their slots clash, each diagonal in turn stands for a copy: what else lies in
@@ -182,12 +291,12 @@ def _judge(index: ItemIndex, code: np.ndarray, value: np.ndarray, literal: np.nd
 
     def agrees(covered: np.ndarray) -> bool:
         hit = np.flatnonzero(covered >= 0)
-        slots = hit[~index.literal[begin + hit]]
-        return not len(slots) or _consistent(index.value[begin + slots], value[covered[slots]])
+        slots = hit[index.slot[begin + hit]]
+        return _agreeing(index, begin + slots, value[covered[slots]])
 
     def verdict(covered: np.ndarray) -> tuple[float, int, bool] | None:
         hit = np.flatnonzero(covered >= 0)
-        slots = hit[~index.literal[begin + hit]]
+        slots = hit[index.slot[begin + hit]]
         same = bool((index.value[begin + slots] == value[covered[slots]]).all())
         if len(hit) / size < coverage or not agrees(covered) or len(hit) - len(slots) < LITERALS and not same:
             return None
@@ -250,13 +359,14 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, list[str]]]:
-    ids, texts = [], []
+    ids, texts, held = [], [], 0
     for r in queries.toLocalIterator():
+        if ids and (len(ids) == size or held + len(r["text"]) > BLOCK_CHARACTERS):
+            yield ids, texts
+            ids, texts, held = [], [], 0
         ids.append(r["item_id"])
         texts.append(r["text"])
-        if len(ids) == size:
-            yield ids, texts
-            ids, texts = [], []
+        held += len(r["text"])
     if ids:
         yield ids, texts
 
@@ -269,10 +379,10 @@ def _searcher(shared, coverage: float, rows: DataFrame, queries: DataFrame):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(*shared.value, coverage)
         for batch in batches:
-            found = _matches(index, batch.column("text"), coverage)
+            found = [(row, i, *rest) for row, item, *rest in _matches(index, batch.column("text"), coverage) for i in index.ids[item]]
             cols = list(zip(*found, strict=True)) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(cols[0], pa.int64())).cast(doc_type), pa.array([index.ids[i] for i in cols[1]], item_type), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_())],
+                [batch.column("doc_id").take(pa.array(cols[0], pa.int64())).cast(doc_type), pa.array(list(cols[1]), item_type), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_())],
                 ["doc_id", "item_id", "covered", "word", "verbatim"],
             )
 
@@ -284,8 +394,8 @@ def _matches(index: ItemIndex, texts: pa.Array, coverage: float) -> list[tuple[i
     data, offsets = bytekit.buffers(texts)
     found = []
     for a, b in bytekit.slices(offsets):
-        code, literal, value, first = canonical(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        mine, theirs, length = index.search(code, literal, value, first)
+        forms, value, _, first = _read(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        mine, theirs, length = index.search(forms, value, first)
         if not len(mine):
             continue
         row = np.searchsorted(first, mine, "right") - 1
@@ -296,7 +406,7 @@ def _matches(index: ItemIndex, texts: pa.Array, coverage: float) -> list[tuple[i
             g = group[0]
             if length[group].sum() < coverage * (index.first[item[g] + 1] - index.first[item[g]]):
                 continue
-            verdict = _judge(index, code, value, literal, mine[group], theirs[group], length[group], item[g], coverage)
+            verdict = _judge(index, value, mine[group], theirs[group], length[group], item[g], coverage)
             if verdict:
                 share, word, verbatim = verdict
                 found.append((int(a + row[g]), int(item[g]), share, word - int(first[row[g]]), verbatim))
@@ -304,7 +414,8 @@ def _matches(index: ItemIndex, texts: pa.Array, coverage: float) -> list[tuple[i
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text_col: str = "text", coverage: float = COVERAGE, block_items: int = 20_000) -> DataFrame:
-    """The rows of docs that no item contaminates, in docs' columns."""
+    """The rows of docs that no item contaminates, in docs' columns, whatever their names. Null and empty texts stay, repeated rows
+    stay or go together; without items all rows stay, and an empty table stays empty."""
 
     def cleaner(shared):
         def keep(texts: Iterator[pa.Array]) -> Iterator[np.ndarray]:
