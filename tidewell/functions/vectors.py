@@ -14,12 +14,3 @@ def normalize(v: Column) -> Column:
     """Unit length; a zero vector stays. The sum is in double precision, the division in single."""
     n = norm(v).cast("float")
     return F.when(n == 0, v.cast("array<float>")).otherwise(F.transform(v, lambda x: F.try_divide(x.cast("float"), n).cast("float")))
-
-
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, d: s + d * d)
-
-
-def cosine_of(distance: Column) -> Column:
-    """Cosine of unit vectors from their squared distance."""
-    return 1 - distance / 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from tidewell.functions import text as T
 RRF_K = 60
 #: Queries that one pass over the vectors compares at once; the block is what executors hold.
 QUERY_BLOCK = 4096
+#: Numbers in a matrix of distances, or of vectors, in a task.
+BLOCK_NUMBERS = 1 << 22
 #: A query side larger than this is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -24,29 +27,50 @@ def _top(df: DataFrame, k: Column | int, *order: Column) -> DataFrame:
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def text_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Lexical search: query_id, path, section, text, ordinal, score, rank.
+def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Lexical search: query_id, path, ordinal, score, rank.
 
-    chunks: path, section, text, ordinal; queries: query_id, query. The score is the share of the query's words whose singular
-    is a word of the chunk; a chunk must also hold a raw query word as a substring. Works as an inverted index: words of chunks
-    and queries meet in an equi-join, and texts are touched again only where a match rests on plurals alone and for the results.
+    chunks: path, text, ordinal; queries: query_id, query. The score is the share of the query's words whose singular is a word of
+    the chunk; a chunk must also hold a raw query word as a substring. Works as an inverted index: distinct words of chunks and
+    queries meet in an equi-join, the words met are counted as bits, so a task sends one row per query and chunk; texts
+    are touched again only where a match rests on plurals alone.
     """
     words = queries.select("query_id", T.query_words("query").alias("words")).filter(F.size("words") > 0)
-    terms = words.select("query_id", F.size("words").alias("of"), F.explode("words").alias("raw")).withColumn("word", T.singular(F.col("raw")))
-    terms = terms.withColumn("sure", F.col("raw") == F.col("word"))
+    terms = words.select("query_id", F.size("words").alias("of"), F.posexplode("words").alias("no", "raw")).withColumn("word", T.singular(F.col("raw")))
     # a chunk word matches if its singular is the term's: the term itself or with one s more, as far as those fold to it. So it is
     # the few query terms that are varied, and chunk words are compared as they stand
     forms = terms.withColumn("form", F.explode(F.array("word", F.concat("word", F.lit("s"))))).filter(T.singular(F.col("form")) == F.col("word"))
-    postings = chunks.select("path", "ordinal", F.explode_outer(T.words("text")).alias("form"))
-    met = postings.join(_small(forms), "form").groupBy("query_id", "path", "ordinal", "raw").agg(F.first("of").alias("of"), F.first("sure").alias("sure"))
-    hits = met.groupBy("query_id", "path", "ordinal").agg(F.count("*").alias("n"), F.first("of").alias("of"), F.max("sure").alias("sure"))
-    # a word that is its own singular stands in the text as it is; others are looked up
-    doubt = hits.filter("not sure").join(words, "query_id").join(chunks.select("path", "ordinal", "text"), ["path", "ordinal"])
-    hits = hits.filter("sure").select("query_id", "path", "ordinal", "n", "of").unionByName(
-        doubt.filter(T.like_any(F.col("text"), F.col("words"))).select("query_id", "path", "ordinal", "n", "of")
-    )
-    best = _top(hits.withColumn("score", F.col("n") / F.col("of")), k, F.desc("score"))
-    return best.join(chunks.select("path", "ordinal", "section", "text"), ["path", "ordinal"]).select("query_id", "path", "section", "text", "ordinal", "score", "rank")
+    # a word that is its own singular, or that is met as it is, stands in the text
+    sure = (F.col("raw") == F.col("word")) | (F.col("raw") == F.col("form"))
+    forms = forms.select("query_id", "of", "no", "form", sure.alias("sure"), (F.col("raw") != F.col("word")).alias("plural"))
+    longest, plural = forms.agg(F.max("no"), F.max("plural")).first()
+    if longest is None:
+        return queries.select("query_id", F.lit("").alias("path"), F.lit(0).alias("ordinal"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).filter("false")
+    postings = chunks.select("path", "ordinal", F.explode(F.array_distinct(T.words("text"))).alias("form"))
+    met = postings.join(_small(forms), "form")
+    bits = {f"b{i}": F.bit_or(F.when((F.col("no") >= 63 * i) & (F.col("no") < 63 * (i + 1)), F.expr(f"shiftleft(1L, no - {63 * i})")).otherwise(F.lit(0).cast("long"))) for i in range(longest // 63 + 1)}
+    hits = met.groupBy("query_id", "path", "ordinal").agg(F.first("of").alias("of"), F.max("sure").alias("sure"), *[b.alias(n) for n, b in bits.items()])
+    hits = hits.select("query_id", "path", "ordinal", "of", "sure", sum((F.bit_count(n) for n in bits), F.lit(0)).alias("n"))
+    if plural:
+        doubt = _kept(hits.filter("not sure").drop("sure"))
+        held = doubt.join(chunks.select("path", "ordinal", "text"), ["path", "ordinal"]).join(_small(words), "query_id")
+        held = held.filter(T.like_any(F.col("text"), F.col("words"))).select("query_id", "path", "ordinal", "of", "n")
+        hits = hits.filter("sure").drop("sure").unionByName(held)
+    return _top(hits.withColumn("score", F.col("n") / F.col("of")), k, F.desc("score")).select("query_id", "path", "ordinal", "score", "rank")
+
+
+def text_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """text_hits with section and text: query_id, path, section, text, ordinal, score, rank."""
+    return fetched(text_hits(chunks, queries, k), chunks, queries, k)
+
+
+def fetched(hits: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """hits, k of each query at most, with section and text. That many are broadcast, so the texts are scanned and not shuffled; it
+    is the number of queries that is counted."""
+    most = BROADCAST_ROWS // max(k, 1)
+    if queries.limit(most + 1).count() <= most:
+        hits = F.broadcast(hits)
+    return chunks.select("path", "ordinal", "section", "text").join(hits, ["path", "ordinal"]).select("query_id", "path", "section", "text", "ordinal", "score", "rank")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -54,22 +78,33 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact nearest neighbours: query_id, path, section, text, ordinal, score (cosine of unit vectors), rank.
+def _kept(df: DataFrame) -> DataFrame:
+    """df, if it is small, with its rows at hand, so that they are not computed again, and broadcast; else as it is."""
+    rows = df.limit(BROADCAST_ROWS + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= BROADCAST_ROWS else df
 
-    chunks: also vector; queries: query_id, vector. Each Arrow batch is compared with a block of queries by one matrix product and
-    keeps k candidates a query, so what is shuffled is k rows per query and batch, without texts.
+
+def vector_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Exact nearest neighbours: query_id, path, ordinal, score (cosine of unit vectors), rank.
+
+    chunks: path, ordinal, vector; queries: query_id, vector. Each task compares its vectors with a block of queries by matrix
+    products of a bounded size and keeps k candidates a query, so what is shuffled is k rows per query and task.
     """
     slim = chunks.select("path", "ordinal", "vector").filter("vector is not null and path is not null")
+    kind = queries.schema["query_id"].dataType.simpleString()
     out = None
     for ids, vectors in _query_blocks(queries):
         shared = chunks.sparkSession.sparkContext.broadcast((ids, vectors))
-        part = slim.mapInArrow(_nearest(shared, k, queries.schema["query_id"].dataType), f"query_id {queries.schema['query_id'].dataType.simpleString()}, path string, ordinal int, d double")
+        part = slim.mapInArrow(_nearest(shared, k, queries.schema["query_id"].dataType), f"query_id {kind}, path string, ordinal int, d double")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return chunks.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, path string, section string, text string, ordinal int, score double, rank int")
-    best = _top(out, k, F.col("d")).withColumn("score", 1 - F.col("d") / 2)
-    return best.join(chunks.select("path", "ordinal", "section", "text"), ["path", "ordinal"]).select("query_id", "path", "section", "text", "ordinal", "score", "rank")
+        return chunks.sparkSession.createDataFrame([], f"query_id {kind}, path string, ordinal int, score double, rank int")
+    return _top(out, k, F.col("d")).select("query_id", "path", "ordinal", (1 - F.col("d") / 2).alias("score"), "rank")
+
+
+def vector_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """vector_hits with section and text: query_id, path, section, text, ordinal, score, rank."""
+    return fetched(vector_hits(chunks, queries, k), chunks, queries, k)
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
@@ -89,25 +124,45 @@ def _nearest(shared, k: int, id_type):
 
     kind = to_arrow_type(id_type)
 
+    def best(*parts: pd.DataFrame) -> pd.DataFrame:
+        """The first k rows of each query by (d, path, ordinal)."""
+        rows = pd.concat(parts, ignore_index=True)
+        return rows.sort_values(["q", "d", "path", "ordinal"], kind="stable").groupby("q").head(k)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        square = (q**2).sum(1)[:, None]
+        held = pd.DataFrame({"q": np.empty(0, np.int64), "d": np.empty(0), "path": np.empty(0, object), "ordinal": np.empty(0, np.int64)})
+        fresh, waiting = [], 0
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            # rounded far below the precision of single floats, so that equal vectors tie whatever their place in a batch
-            d = np.round((v**2).sum(1)[None, :] + (q**2).sum(1)[:, None] - 2 * (q @ v.T), 12)
-            keep = min(k, n)
-            if keep < n:
-                # everything at or below the k-th distance, so that ties are broken by path and ordinal later
-                edge = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-                row, col = np.nonzero(d <= edge)
-            else:
-                row, col = np.divmod(np.arange(len(ids) * n), n)
-            at = pa.array(col)
+            width = len(batch.column("vector")[0]) if batch.num_rows else 1
+            step = max(1, BLOCK_NUMBERS // max(len(ids), width))
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                n = part.num_rows
+                v = part.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+                # rounded far below the precision of single floats, so that equal vectors tie whatever their place in a batch
+                d = np.round((v**2).sum(1)[None, :] + square - 2 * (q @ v.T), 12)
+                path, ordinal = part.column("path").to_numpy(zero_copy_only=False), part.column("ordinal").to_numpy()
+                keep = min(k, n)
+                row, col = np.nonzero(d <= np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep])
+                if len(row) > keep * len(ids):  # ties: the first by path and ordinal
+                    place = np.empty(n, np.int64)
+                    place[np.lexsort((ordinal, path))] = np.arange(n)
+                    order = np.lexsort((place[col], d[row, col], row))
+                    row, col = row[order], col[order]
+                    nth = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, col = row[nth < keep], col[nth < keep]
+                fresh.append(pd.DataFrame({"q": row, "d": np.maximum(d[row, col], 0.0), "path": path[col], "ordinal": ordinal[col]}))
+                waiting += len(row)
+                if waiting > max(4 * k * len(ids), 1 << 16):
+                    held, fresh, waiting = best(held, *fresh), [], 0
+        held = best(held, *fresh)
+        for a in range(0, len(held), 1 << 16):
+            part = held.iloc[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, kind).take(pa.array(row)), batch.column("path").take(at), batch.column("ordinal").take(at).cast(pa.int32()), pa.array(np.maximum(d[row, col], 0.0))], ["query_id", "path", "ordinal", "d"]
+                [pa.array(ids, kind).take(pa.array(part["q"].to_numpy())), pa.array(part["path"], pa.string()), pa.array(part["ordinal"].to_numpy().astype(np.int32)), pa.array(part["d"].to_numpy())],
+                ["query_id", "path", "ordinal", "d"],
             )
 
     return run

@@ -32,10 +32,9 @@ dist AS (SELECT qv.query_id, c.path, c.ordinal, c.section, c.text,
 vec AS (SELECT *, 1 - d / 2 AS score, row_number() OVER (PARTITION BY query_id ORDER BY d, path, ordinal) AS rank FROM dist)"""
 
 
-def _hybrid(fetch: int, where: str = "true") -> str:
-    text = _TEXT.replace("tok AS (SELECT DISTINCT path, ordinal", "tok AS (SELECT DISTINCT path, ordinal")
-    only = text.replace("lang AS section, text, 0 AS ordinal, mtime, doc_id FROM f)", "lang AS section, text, 0 AS ordinal, mtime, doc_id FROM f WHERE doc_id IN (SELECT vec_id FROM embeddings))")
-    return f"""WITH {only}, {_VEC},
+def _hybrid(fetch: str, where: str = "true") -> str:
+    """fetch and where may use query_id; the documents of the text half need no vector."""
+    return f"""WITH {_TEXT}, {_VEC},
 v2 AS (SELECT query_id, path, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM vec WHERE rank <= {fetch} AND {where}),
 t2 AS (SELECT query_id, path, ordinal, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM txt WHERE rank <= {fetch} AND {where}),
 u AS (SELECT query_id, path, ordinal, sum(1 / (60 + rank)) / (2.0::DOUBLE / 61) AS score
@@ -116,8 +115,11 @@ ORACLES = {
         u AS (SELECT query_id, path, sum(1 / (60 + rank)) / (2.0::DOUBLE / 61) AS score, min(list) AS list FROM l GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, path) AS rank FROM u)
         SELECT query_id, path, round(score, 9) AS score, rank, CASE WHEN list = 0 THEN 'a' ELSE 'b' END AS text FROM r WHERE rank <= 5""",
-    "hybrid_search": _hybrid(15),
-    "hybrid_search_filtered": _hybrid(60, "NOT contains(lower(text || chr(10) || section), 'idiot') AND NOT contains(path, '/src1/')"),
+    "hybrid_search": _hybrid("15"),
+    "hybrid_search_mixed": _hybrid("CASE WHEN query_id % 3 = 0 THEN 60 ELSE 15 END", "NOT (query_id % 3 = 0 AND contains(lower(text || chr(10) || section), 'the'))"),
+    "search_mode_text": f"WITH {_TEXT} SELECT query_id, path, section, md5(text) AS md5, round(score, 6) AS score, rank FROM txt WHERE rank <= 4",
+    "search_mode_vector": f"WITH {_CHUNKS}, {_VEC} SELECT query_id, path, section, md5(text) AS md5, round(score, 5) AS score, rank FROM vec WHERE rank <= 5",
+    "hybrid_search_filtered": _hybrid("60", "NOT contains(lower(text || chr(10) || section), 'idiot') AND NOT contains(path, '/src1/')"),
     "first_expected_rank": f'{_RANKS} SELECT query_id, "set", rank FROM ranks',
     "eval_recall_mrr": f'{_RANKS} SELECT "set", {_METRICS} FROM ranks GROUP BY "set"',
     "eval_overall": f"{_RANKS} SELECT {_METRICS} FROM ranks",

@@ -40,9 +40,9 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("path", F.col("lang").alias("section"), "text", F.lit(0).alias("ordinal"), "mtime", "doc_id")
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
+def _vectors(spark: SparkSession, d: str, how: str = "inner") -> DataFrame:
     v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return _chunks(spark, d).join(v, "doc_id")
+    return _chunks(spark, d).join(v, "doc_id", how)
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -206,15 +206,32 @@ def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    found = search_batch(_vectors(spark, d), _queries(spark, d), Options(limit=5))
+    found = search_batch(_vectors(spark, d, "left"), _queries(spark, d), Options(limit=5))
     return found.select("query_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
 def hybrid_search_filtered(spark: SparkSession, d: str) -> DataFrame:
-    found = search_batch(_vectors(spark, d), _queries(spark, d), Options(limit=5, exclude=("idiot",), exclude_path=("/src1/",)))
+    found = search_batch(_vectors(spark, d, "left"), _queries(spark, d), Options(limit=5, exclude=("idiot",), exclude_path=("/src1/",)))
     return found.select("query_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
+def hybrid_search_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Every third query excludes something, the others nothing: each fetches as it would alone."""
+    asked = _queries(spark, d).withColumn("query", F.when(F.col("query_id") % 3 == 0, F.concat("query", F.lit(" -the"))).otherwise(F.col("query")))
+    found = search_batch(_vectors(spark, d, "left"), asked, Options(limit=5))
+    return found.select("query_id", "path", F.round("score", 6).alias("score"), "rank")
+
+
+def search_mode_text(spark: SparkSession, d: str) -> DataFrame:
+    found = search_batch(_chunks(spark, d), _queries(spark, d).drop("vector"), Options("text", limit=4))
+    return found.select("query_id", "path", "section", F.md5("text").alias("md5"), F.round("score", 6).alias("score"), "rank")
+
+
+def search_mode_vector(spark: SparkSession, d: str) -> DataFrame:
+    found = search_batch(_vectors(spark, d, "left"), _queries(spark, d), Options("vector", limit=0))
+    return found.select("query_id", "path", "section", F.md5("text").alias("md5"), F.round("score", 5).alias("score"), "rank")
+
+
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
     """Golden cases: each item expects the documents of source src0 to src4 or of its own number."""
     golden = _queries(spark, d).select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("set"), F.array(F.concat(F.lit("/"), F.col("query_id").cast("string"), F.lit(".md")), F.lit("0.md"), F.lit("5.md")).alias("expect"))
@@ -255,7 +272,7 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("path", embedding(HashEmbedder(), F.col("text")).alias("vector")).select("path", F.round(V.norm(F.col("vector")), 3).alias("norm"))
 
 
-ALL = (discover_dispatch, chunk_hard_split, chunk_pack_paragraphs, chunk_markdown_sections, chunk_pdf_pages, chunk_csv_rows, chunk_csv_files, chunk_xml_catalog, failed_files_dead_letter, path_words, embedding_text, incremental_skip, incremental_work, vanished_files, upsert_replace_by_path, delete_paths, count_chunks, paths_latest, list_files, query_words, word_set_size, parse_exclusions, text_search, normalize_vectors, vector_search, filter_excluded, rrf_merge, hybrid_search, hybrid_search_filtered, first_expected_rank, eval_recall_mrr, eval_overall, snippets, score_bands, search_results_json, hash_embed)
+ALL = (discover_dispatch, chunk_hard_split, chunk_pack_paragraphs, chunk_markdown_sections, chunk_pdf_pages, chunk_csv_rows, chunk_csv_files, chunk_xml_catalog, failed_files_dead_letter, path_words, embedding_text, incremental_skip, incremental_work, vanished_files, upsert_replace_by_path, delete_paths, count_chunks, paths_latest, list_files, query_words, word_set_size, parse_exclusions, text_search, normalize_vectors, vector_search, filter_excluded, rrf_merge, hybrid_search, hybrid_search_filtered, hybrid_search_mixed, search_mode_text, search_mode_vector, first_expected_rank, eval_recall_mrr, eval_overall, snippets, score_bands, search_results_json, hash_embed)
 
 
 def queries() -> dict[str, Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
@@ -31,8 +31,9 @@ class SearchError(ValueError):
 def search_batch(chunks: DataFrame, queries: DataFrame, options: Options = Options(), embedder: Embedder | None = None) -> DataFrame:  # noqa: B008
     """queries: query_id, query, and vector unless an embedder makes it. -> query_id, path, section, text, ordinal, score, rank.
 
-    Each half fetches limit rows, three times as many in hybrid mode, four times as many where anything is excluded; exclusions
-    apply to the fetched rows, so fewer than limit may come back.
+    Each half fetches limit rows, three times as many in hybrid mode, four times as many for a query that excludes anything;
+    exclusions apply to the fetched rows, so fewer than limit may come back. A query's results do not depend on the others.
+    Texts are fetched once: after the fusion, or before the exclusions that need them.
     """
     if options.mode not in MODES:
         raise SearchError(f"unknown mode {options.mode!r}: hybrid, vector or text")
@@ -40,8 +41,10 @@ def search_batch(chunks: DataFrame, queries: DataFrame, options: Options = Optio
     positive, terms = T.parse_exclusions("query")
     asked = queries.withColumns({"query": positive, "_terms": F.concat(terms, F.array(*[F.lit(t) for t in options.exclude]).cast("array<string>"))})
     fragments = F.array(*[F.lit(p) for p in options.exclude_path]).cast("array<string>")
-    filtered = bool(options.exclude or options.exclude_path) or not asked.filter(F.size("_terms") > 0).isEmpty()
-    fetch = limit * (3 if options.mode == "hybrid" else 1) * (4 if filtered else 1)
+    always = bool(options.exclude or options.exclude_path)
+    filtered = always or not asked.filter(F.size("_terms") > 0).isEmpty()
+    plain = limit * (3 if options.mode == "hybrid" else 1)
+    fetch = plain * (4 if filtered else 1)
 
     halves = []
     if options.mode != "text":
@@ -50,15 +53,18 @@ def search_batch(chunks: DataFrame, queries: DataFrame, options: Options = Optio
             vectors = asked.withColumn("vector", embedding(embedder, F.col("query")))
         elif "vector" not in asked.columns:
             raise SearchError(f"{options.mode} mode needs an embedder")
-        halves.append(ops.vector_topk(chunks, vectors.select("query_id", "vector"), fetch))
+        halves.append(ops.vector_hits(chunks, vectors.select("query_id", "vector"), fetch))
     if options.mode != "vector":
-        halves.append(ops.text_topk(chunks, asked.select("query_id", "query"), fetch))
+        halves.append(ops.text_hits(chunks, asked.select("query_id", "query"), fetch))
     if filtered:
-        out = [h.join(asked.select("query_id", "_terms"), "query_id") for h in halves]
-        halves = [ops.rerank(ops.filter_excluded(h, F.col("_terms"), fragments).drop("_terms")) for h in out]
-    if options.mode == "hybrid":
-        return ops.rrf_merge(halves, limit)
-    return halves[0].filter(F.col("rank") <= limit)
+        own = asked.select("query_id", "_terms", F.when(F.lit(always) | (F.size("_terms") > 0), F.lit(fetch)).otherwise(F.lit(plain)).alias("_fetch"))
+        halves = [ops.fetched(h, chunks, asked, fetch).join(own, "query_id").filter(F.col("rank") <= F.col("_fetch")) for h in halves]
+        halves = [ops.rerank(ops.filter_excluded(h, F.col("_terms"), fragments).drop("_terms", "_fetch")) for h in halves]
+    elif options.mode == "hybrid":
+        later = F.lit(None).cast("string")
+        halves = [h.withColumns({"section": later, "text": later}) for h in halves]
+    found = ops.rrf_merge(halves, limit) if options.mode == "hybrid" else halves[0].filter(F.col("rank") <= limit)
+    return found if filtered else ops.fetched(found.select("query_id", "path", "ordinal", "score", "rank"), chunks, asked, limit)
 
 
 def search(store: ChunkStore, query: str, options: Options = Options(), embedder: Embedder | None = None) -> DataFrame:  # noqa: B008
@@ -90,7 +96,3 @@ def to_json(results: DataFrame) -> str:
     """The results of one query as an indented array. The rows are limited by the query."""
     rows = [json.loads(r["json"]) for r in results_json(results).orderBy("rank").collect()]
     return json.dumps(rows, ensure_ascii=False, indent=2)
-
-
-def queries_frame(spark: SparkSession, queries: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
