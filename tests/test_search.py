@@ -177,6 +177,88 @@ def test_ingest_and_cli(spark, tmp_path, capsys):
     assert cli.main(["--db", db, "flush", "--force"], spark) == 0 and store.count() == 0
 
 
+class CountingEmbedder:
+    """Notes every text that it is asked for in a folder, as it runs in worker processes."""
+
+    id = "counting/2"
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def embed(self, texts):
+        import uuid
+
+        for t in texts:
+            with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(t)
+        return np.ones((len(texts), 2), np.float32)
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    for name in ("docs", "seen"):
+        (tmp_path / name).mkdir()
+    for i in range(10):
+        (tmp_path / "docs" / f"{i}.md").write_text(f"harbour {i}")
+    store = ChunkStore(spark, str(tmp_path / "db"))
+    stats, _ = ingest.ingest(store, [str(tmp_path / "docs")], CountingEmbedder(str(tmp_path / "seen")))
+    assert (stats.written, stats.chunks, store.count()) == (10, 10, 10)
+    assert len(list((tmp_path / "seen").iterdir())) == 10
+    assert stats.line() == "10 chunks indexed, 10 in the database"
+
+
+def test_a_query_does_not_depend_on_its_neighbours(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    c = chunks(spark, *[(f"p{i:03}", "", " ".join(rng.choice(["alpha", "beta", "gamma", "zebra", "delta"], 3)), unit(rng.normal(size=4))) for i in range(200)])
+    rows = [(1, "alpha beta", unit(rng.normal(size=4))), (2, "gamma delta -zebra", unit(rng.normal(size=4))), (3, "beta", unit(rng.normal(size=4)))]
+    frame = lambda some: spark.createDataFrame(some, "query_id int, query string, vector array<float>")
+    for mode in ("hybrid", "text", "vector"):
+        out = lambda q: sorted(map(tuple, search_batch(c, q, Options(mode, 5)).collect()))  # noqa: B023, E731
+        assert out(frame(rows)) == sorted(r for one in rows for r in out(frame([one]))), mode
+
+
+def test_text_half_finds_documents_without_vectors(spark):
+    c = chunks(spark, ("a", "", "lighthouse keeper", None), ("b", "", "harbour", [1.0, 0]))
+    assert {r["path"] for r in search_batch(c, asked(spark, "lighthouse", [1.0, 0])).collect()} == {"a", "b"}
+
+
+def test_ties_and_blocks_of_vectors(spark, monkeypatch):
+    """Many equal vectors: the first by path, whatever the size of the blocks."""
+    c = chunks(spark, *[(f"p{(i * 37) % 100:03}", "", "t", [1.0, 0]) for i in range(100)])
+    for numbers in (1 << 22, 14):
+        monkeypatch.setattr(S, "BLOCK_NUMBERS", numbers)
+        got = S.vector_hits(c, asked(spark, "q", [1.0, 0]), 7).orderBy("rank").collect()
+        assert [r["path"] for r in got] == [f"p{i:03}" for i in range(7)]
+
+
+def test_long_queries_count_every_word(spark):
+    words = [f"w{i}x" for i in range(150)]
+    c = chunks(spark, ("a", "", " ".join(words[:130]), None), ("b", "", " ".join(words[60:70] * 3), None))
+    got = S.text_topk(c, asked(spark, " ".join(words)), 5).orderBy("rank").collect()
+    assert [(r["path"], round(r["score"], 9)) for r in got] == [("a", round(130 / 150, 9)), ("b", round(10 / 150, 9))]
+
+
+def test_terminal_output(spark, tmp_path, capsys):
+    db = str(tmp_path / "db")
+    assert cli.main(["--db", db, "list"], spark) == 0 and capsys.readouterr().out == "index is empty\n"
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.md").write_text("# Harbour\n" + "pilot boat " * 30)
+    assert cli.main(["--db", db, "index", str(tmp_path / "docs")], spark) == 0
+    assert capsys.readouterr().out == "1 chunks indexed, 1 in the database\n"
+    assert cli.main(["--db", db, "list"], spark) == 0
+    assert capsys.readouterr().out.splitlines()[1] == "1 files"
+    assert cli.main(["--db", db, "search", "pilot", "--mode", "text"], spark) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith("1  1.00  ") and lines[0].endswith("a.md") and lines[1].strip() == "Harbour" and lines[2].endswith("…")
+    assert cli.main(["--db", db, "search", "nowhere", "--mode", "text"], spark) == 0 and capsys.readouterr().out == "nothing found\n"
+    for name, expect in (("g", "a.md"), ("h", "b.md")):
+        (tmp_path / f"{name}.yaml").write_text(f"- query: pilot\n  expect: [{expect}]\n")
+    assert cli.main(["--db", db, "eval", str(tmp_path / "g.yaml"), str(tmp_path / "h.yaml"), "--mode", "text"], spark) == 0
+    out = capsys.readouterr().out
+    assert "1  hit@1  pilot" in out and "1  miss   pilot" in out and "want b.md" in out
+    assert out.rstrip().endswith("overall: recall@5 0.50 (1/2)   MRR 0.500")
+
+
 def test_server(spark, tmp_path):
     import io
 
@@ -227,6 +309,23 @@ def test_landing_stream(spark, tmp_path):
     assert [r["text"] for r in store.chunks().collect()] == ["hello"]
 
 
+def test_landing_stream_lists_failures_and_drops_empty_files(spark, tmp_path):
+    import os
+
+    from tidewell.streaming.landing import dead_letters, ingest_stream
+
+    (tmp_path / "in").mkdir()
+    store = ChunkStore(spark, str(tmp_path / "db"))
+    assert dead_letters(store).count() == 0
+    for text, when in (("# T\nhello", 1_700_000_000), ("\n", 1_700_000_100)):
+        (tmp_path / "in" / "a.md").write_text(text)
+        os.utime(tmp_path / "in" / "a.md", (when, when))
+        (tmp_path / "in" / "x.docx").write_text("broken")
+        ingest_stream(store, str(tmp_path / "in"), HashEmbedder(), str(tmp_path / f"cp{when}")).awaitTermination(60)
+        assert [r["text"] for r in store.chunks().collect()] == (["hello"] if text.strip() else [])
+        assert [r["path"].rsplit("/", 1)[1] for r in dead_letters(store).collect()] == ["x.docx"]
+
+
 def test_core_queries_match_their_sql(spark, sf_dir):
     import os
 
@@ -260,4 +359,8 @@ def test_plans_prune_and_broadcast(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan.split("ReadSchema")[1]
     top = S.vector_topk(queries._vectors(spark, sf_dir), queries._queries(spark, sf_dir), 3)
+    found = queries.queries()["text_search"](spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+    assert all("text#" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()

@@ -43,6 +43,8 @@ def pack_paragraphs(text: Column) -> Column:
 def _pieces(sections: DataFrame, order: list[str]) -> DataFrame:
     """path, section, body -> chunks with contiguous ordinals."""
     pieces = sections.select("path", "section", *order, F.posexplode(pack_paragraphs(F.col("body"))).alias("_piece", "text"))
+    if not order:  # one section a file: the piece's number is the ordinal, and no text is shuffled
+        return pieces.select("path", "section", "text", F.col("_piece").alias("ordinal"))
     number = F.row_number().over(Window.partitionBy("path").orderBy(*order, "_piece")) - 1
     return pieces.select("path", "section", "text", number.alias("ordinal"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import glob
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,16 @@ def metrics_overall(ranks: DataFrame) -> DataFrame:
     return ranks.agg(*_metrics())
 
 
-def report(metrics: DataFrame, limit: int, mode: str) -> DataFrame:
-    """line: one line per row of metrics."""
-    return metrics.withColumn("line", F.format_string(f"recall@{limit} %.2f (%d/%d)   MRR %.3f   mode={mode}", "recall", "hits", "cases", "mrr"))
+def report(metrics: DataFrame, limit: int, mode: str = "") -> DataFrame:
+    """line: one line per row of metrics; without a mode, as for all sets together."""
+    # fixed value: the format of the line
+    form = f"recall@{limit} %.2f (%d/%d)   MRR %.3f" + (f"   mode={mode}" if mode else "")
+    return metrics.withColumn("line", F.format_string(form, "recall", "hits", "cases", "mrr"))
+
+
+def case_report(results: DataFrame, golden: DataFrame) -> DataFrame:
+    """query_id, set, no (from 1 in its set), rank, query, found (the first expected path, or null), expect of every case."""
+    met = results.join(golden.select("query_id", "expect"), "query_id").filter(F.exists("expect", lambda e: F.endswith(F.col("path"), e)))
+    best = met.groupBy("query_id").agg(F.min("rank").alias("rank"), F.min_by("path", "rank").alias("found"))
+    no = F.row_number().over(Window.partitionBy("set").orderBy("query_id"))
+    return golden.withColumn("no", no).join(best, "query_id", "left").select("query_id", "set", "no", F.coalesce("rank", F.lit(0)).alias("rank"), "query", "found", "expect")

@@ -27,9 +27,12 @@ class Stats:
     skipped: int
     removed: int
     chunks: int
+    written: int = 0
 
     def line(self) -> str:
-        return f"{self.total - self.failed} files indexed, {self.chunks} chunks in the database ({self.skipped} unchanged, {self.removed} removed, {self.failed} failed)"
+        # fixed value: the wording of the summary
+        tail = f" ({self.skipped} unchanged skipped, {self.removed} stale removed)" if self.skipped or self.removed else ""
+        return f"{self.written} chunks indexed, {self.chunks} in the database{tail}"
 
 
 def guard_embedder(store: ChunkStore, embedder: Embedder) -> None:
@@ -48,6 +51,22 @@ def embed_chunks(chunks: DataFrame, files: DataFrame, embedder: Embedder, home:
     return chunks.join(files.select("path", "mtime"), "path").withColumn("vector", vector)
 
 
+def apply_files(store: ChunkStore, read: DataFrame, embedder: Embedder, home: str = "", parsers: dict | None = None) -> tuple[int, DataFrame]:
+    """Chunks, embeds and stores files (path, mtime, content, maybe error) -> chunks written, and the failures (path, error).
+
+    A file without chunks loses those it had; one that fails keeps them.
+    """
+    chunks, failures = chunk(read, parsers)
+    chunks, failures = chunks.cache(), failures.cache()
+    store.upsert(embed_chunks(chunks, read, embedder, home))
+    empty = read.select("path").join(chunks.select("path").distinct(), "path", "left_anti").join(failures, "path", "left_anti")
+    if not empty.isEmpty():
+        store.delete(empty)
+    written = chunks.count()
+    chunks.unpersist()
+    return written, failures
+
+
 def ingest(store: ChunkStore, roots: list[str], embedder: Embedder, force: bool = False, reset: bool = False, parsers: dict | None = None, strict: bool = False) -> tuple[Stats, DataFrame]:
     """-> statistics and the failures (path, error). reset drops everything first; force reads unchanged files again.
 
@@ -72,19 +91,9 @@ def ingest(store: ChunkStore, roots: list[str], embedder: Embedder, force: bool
         return Stats(0, 0, unchanged, removed, store.count()), spark.createDataFrame([], "path string, error string")
     # few large files make few rows: one file a task at most
     read = read_files(work.repartition(min(total, 4 * spark.sparkContext.defaultParallelism), "path")).cache()
-    chunks, failures = chunk(read, parsers)
-    chunks, failures = chunks.cache(), failures.cache()
-    store.upsert(embed_chunks(chunks, read, embedder, os.path.expanduser("~")))
-    empty = read.select("path").join(chunks.select("path").distinct(), "path", "left_anti").join(failures, "path", "left_anti")
-    if not empty.isEmpty():
-        store.delete(empty)
+    written, failures = apply_files(store, read, embedder, os.path.expanduser("~"), parsers)
     failed = failures.count()
-    stats = Stats(total, failed, unchanged, removed, store.count())
+    stats = Stats(total, failed, unchanged, removed, store.count(), written)
     if failed and strict:
         raise IngestError(f"{failed} of {total} files failed")
     return stats, failures
-
-
-def status_counts(total: DataFrame) -> DataFrame:
-    """path, status -> files of each status."""
-    return total.groupBy("status").agg(F.count("*").alias("files"))

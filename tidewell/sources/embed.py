@@ -12,7 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -107,8 +107,8 @@ def same_model(a: str, b: str) -> bool:
     return a.removesuffix(":latest") == b.removesuffix(":latest")
 
 
-#: Factories by name; add your own.
-EMBEDDERS: dict[str, Callable[..., Embedder]] = {"fake": HashEmbedder, "ollama": HttpEmbedder}
+#: Factories by name, of a server's URL and a model; add your own.
+EMBEDDERS: dict[str, Callable[[str, str], Embedder]] = {"fake": lambda url, model: HashEmbedder(), "ollama": HttpEmbedder}
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -127,7 +127,3 @@ def embedding(embedder: Embedder, text: Column) -> Column:
             yield pd.Series(list(unit(embedder.embed(texts.fillna("").tolist()))) if len(texts) else [], dtype=object)
 
     return run(text)
-
-
-def with_vectors(chunks: DataFrame, embedder: Embedder, text: Column, name: str = "vector") -> DataFrame:
-    return chunks.withColumn(name, embedding(embedder, text))

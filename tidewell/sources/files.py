@@ -1,4 +1,4 @@
-"""Files: discovery, format dispatch and the chunkers that need a parser (CSV, XML, DOCX), run on the executors."""
+"""Files: discovery, format dispatch and the chunkers that need a parser (CSV, XML, DOCX, PDF), run on the executors."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import csv
 import io
 import os
 import re
+import subprocess
+import sys
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
@@ -105,6 +107,7 @@ def sniff_delimiter(head: str, ext: str) -> str:
 
 def chunk_csv(content: bytes, ext: str) -> list[Chunk]:
     """Rows as `header: value` lines, packed to MAX_CHUNK characters; sections name the records, the header being 1."""
+    csv.field_size_limit(sys.maxsize)  # a field may be of any length
     text = content.decode("utf-8", "replace")
     records = [r for r in csv.reader(io.StringIO(text), delimiter=sniff_delimiter(text, ext)) if r]
     if not records:
@@ -230,6 +233,37 @@ def chunk_docx(content: bytes) -> list[Chunk]:
     return chunks
 
 
+#: Fixed value: the extractor of the text layer of a PDF; it reads the file from its input and writes pages that end in form feeds.
+PDF_COMMAND = ("pdftotext", "-enc", "UTF-8", "-", "-")
+
+
+def pdf_text(content: bytes, command: tuple[str, ...] = PDF_COMMAND) -> str:
+    """The pages of a PDF, separated by form feeds, from a program that every executor must have."""
+    try:
+        done = subprocess.run(command, input=content, capture_output=True, check=False)
+    except FileNotFoundError as e:
+        raise RuntimeError(f"{command[0]} not found: install Poppler on the executors") from e
+    if done.returncode:
+        raise RuntimeError(f"{command[0]}: {done.stderr.decode(errors='replace').strip()}")
+    return done.stdout.decode("utf-8", "replace")
+
+
+def extract_pages(files: DataFrame, command: tuple[str, ...] = PDF_COMMAND) -> DataFrame:
+    """files: path, content (PDF) -> path, text (null if it fails), error (null, or why there is no text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for f in batch.itertuples(index=False):
+                try:
+                    rows.append((f.path, pdf_text(bytes(f.content), command), None))
+                except Exception as e:  # noqa: BLE001 - one broken file must not end the run
+                    rows.append((f.path, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
+
+
 PARSERS: dict[str, Callable[[bytes, str], list[Chunk]]] = {"csv": chunk_csv, "xml": lambda b, _: chunk_xml(b), "docx": lambda b, _: chunk_docx(b)}
 
 #: A markdown line longer than this fails its file.
@@ -281,23 +315,20 @@ def chunk_files(files: DataFrame, parsers: dict[str, Callable[[bytes, str], list
     if "error" not in typed.columns:
         typed = typed.withColumn("error", F.lit(None).cast("string"))
     text = F.decode("content", "UTF-8")
-    is_pdf = F.col("content").startswith(F.lit(b"%PDF"))
     long_line = F.exists(F.split(text, "\n"), lambda x: F.octet_length(x) >= MAX_LINE)
-    bad = (
-        F.when(F.col("error").isNotNull(), F.col("error"))
-        .when((F.col("format") == "markdown") & long_line, F.lit("line too long"))
-        .when((F.col("format") == "pages") & is_pdf, F.lit("no PDF text extractor: pass page text with form feeds"))
-    )
+    bad = F.when(F.col("error").isNotNull(), F.col("error")).when((F.col("format") == "markdown") & long_line, F.lit("line too long"))
     typed = typed.withColumn("error", bad)
     good = typed.filter("error is null")
-    plain = good.withColumn("text", text).select("path", "format", "text")
+    is_pdf = (F.col("format") == "pages") & F.col("content").startswith(F.lit(b"%PDF"))
+    plain = good.filter(~is_pdf).withColumn("text", text).select("path", "format", "text")
+    pages = extract_pages(good.filter(is_pdf))
     parsed = chunk_parsed(good.filter(~F.col("format").isin("markdown", "pages")), parsers)
     chunks = (
         chunking.chunk_markdown(plain.filter("format = 'markdown'"))
-        .unionByName(chunking.chunk_pages(plain.filter("format = 'pages'")))
+        .unionByName(chunking.chunk_pages(plain.filter("format = 'pages'").select("path", "text").unionByName(pages.filter("error is null").drop("error"))))
         .unionByName(parsed.filter("error is null").drop("error"))
     )
-    failures = typed.filter("error is not null").select("path", "error").unionByName(parsed.filter("error is not null").select("path", "error"))
+    failures = typed.select("path", "error").unionByName(parsed.select("path", "error")).unionByName(pages.select("path", "error")).filter("error is not null")
     return chunks, failures
 
 

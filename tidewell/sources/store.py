@@ -7,6 +7,7 @@ readers keep the version they opened. Paths may be on any store that Spark write
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,36 +89,53 @@ class ChunkStore:
     def _bucket(self, path="path"):
         return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
 
-    def _commit(self, touched: list[int], rows: DataFrame, dim: int | None) -> None:
-        self._pinned = None
-        last = self.version()
+    def _write(self, rows: DataFrame, version: int, mode: str) -> None:
+        # several tasks share a bucket where there are more tasks than buckets
+        spread = int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets + 1
+        rows = rows.withColumn("bucket", self._bucket()).repartition("bucket", F.pmod(F.xxhash64("path", "ordinal"), F.lit(spread)))
+        rows.write.mode(mode).partitionBy("bucket").parquet(f"{self.root}/data/v={version}")
+
+    def _written(self, version: int) -> list[int]:
+        fs, p = self._fs(f"{self.root}/data/v={version}")
+        return sorted(int(s.getPath().getName()[7:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")) if fs.exists(p) else []
+
+    def _commit(self, last: int, touched: list[int], dim: int | None) -> None:
         new, manifest = last + 1, {b: v for b, v in self._manifest(last).items() if b not in touched}
-        target = f"{self.root}/data/v={new}"
-        rows.withColumn("bucket", self._bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
-        fs, p = self._fs(target)
-        written = [int(s.getPath().getName()[7:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("bucket=")]
-        listed = [(b, v, dim) for b, v in {**manifest, **dict.fromkeys(written, new)}.items()]
+        listed = [(b, v, dim) for b, v in {**manifest, **dict.fromkeys(self._written(new), new)}.items()]
         self.spark.createDataFrame(listed, "bucket int, v int, dim int").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v={new}")
         self._pinned = new
 
     def upsert(self, chunks: DataFrame) -> None:
         """Replaces all chunks of the paths in chunks (path, section, text, vector, mtime, ordinal). Without rows nothing
-        happens. All vectors must be as long as the table's."""
+        happens. All vectors must be as long as the table's. The rows are written first, which computes their vectors once;
+        what is checked, and joined with the old rows of their buckets, is what was written."""
         chunks = chunks.select(F.concat("path", F.lit("#"), F.col("ordinal").cast("string")).alias("id"), "path", F.coalesce("section", F.lit("")).alias("section"), "text", "vector", F.col("mtime").cast("long").alias("mtime"), F.col("ordinal").cast("int").alias("ordinal"))
-        facts = chunks.agg(F.min(F.size("vector")).alias("a"), F.max(F.size("vector")).alias("b"), F.collect_set(self._bucket()).alias("t")).first()
-        if facts["a"] is None:
+        self._pinned = None
+        last = self.version()
+        known, target = self.dimension(), f"{self.root}/data/v={last + 1}"
+        self._write(chunks, last + 1, "overwrite")
+        touched = self._written(last + 1)
+        if not touched:
             return
-        known = self.dimension()
-        if facts["a"] != facts["b"] or facts["a"] < 1 or known not in (None, facts["a"]):
-            raise DimensionError(f"vectors of {facts['a']} to {facts['b']} numbers; the table has {known}")
-        old = self.chunks(facts["t"])
-        self._commit(facts["t"], replace_by_path(old, chunks), facts["a"])
+        new = self.spark.read.schema(CHUNK_SCHEMA).parquet(*[f"{target}/bucket={b}" for b in touched])
+        shortest, longest = new.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+        if shortest != longest or shortest < 1 or known not in (None, shortest):
+            fs, p = self._fs(target)
+            fs.delete(p, True)
+            raise DimensionError(f"vectors of {shortest} to {longest} numbers; the table has {known}")
+        old = self.chunks(touched)
+        self._write(old.join(new.select("path").distinct(), "path", "left_anti").select(*old.columns), last + 1, "append")
+        self._commit(last, touched, shortest)
 
     def delete(self, paths: DataFrame) -> None:
         """Removes all chunks of the paths (a DataFrame with path)."""
         touched = [r["b"] for r in paths.select(self._bucket().alias("b")).distinct().collect()]
-        if touched and self.version():
-            self._commit(touched, delete_by_path(self.chunks(touched), paths), self.dimension())
+        self._pinned = None
+        last = self.version()
+        if touched and last:
+            dim = self.dimension()
+            self._write(delete_by_path(self.chunks(touched), paths), last + 1, "overwrite")
+            self._commit(last, touched, dim)
 
     def set_meta(self, values: dict[str, str]) -> None:
         new = max(self._versions("meta"), default=0) + 1
@@ -131,6 +149,10 @@ class ChunkStore:
         self._pinned = None
 
 
+#: Stores by name; add your own with the same methods.
+STORES: dict[str, Callable[[SparkSession, str], ChunkStore]] = {"parquet": ChunkStore}
+
+
 def latest_paths(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("path").agg(F.max("mtime").alias("mtime"))
 

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewell.plans.ingest import embed_chunks, guard_embedder
+from tidewell.plans.ingest import apply_files, guard_embedder
 from tidewell.sources.embed import Embedder
-from tidewell.sources.files import chunk_files
 from tidewell.sources.store import ChunkStore
 
 
@@ -22,13 +21,23 @@ def stream_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest_stream(store: ChunkStore, folder: str, embedder: Embedder, checkpoint: str) -> StreamingQuery:
-    """Replays of a batch are harmless: the write replaces by path."""
+    """Each batch goes the way of ingest: files that became empty lose their chunks, broken ones keep them and are listed in
+    dead_letters (Spark's file source never reports a file of no bytes). Replays of a batch are harmless: both writes replace what the batch wrote."""
     guard_embedder(store, embedder)
 
-    def batch(files: DataFrame, _: int) -> None:
+    def batch(files: DataFrame, number: int) -> None:
         files = files.persist()
-        chunks, _ = chunk_files(files)
-        store.upsert(embed_chunks(chunks, files, embedder))
+        _, failures = apply_files(store, files, embedder)
+        if not failures.isEmpty():
+            failures.write.mode("overwrite").parquet(f"{store.root}/dead_letters/batch={number}")
+        failures.unpersist()
         files.unpersist()
 
     return stream_files(store.spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def dead_letters(store: ChunkStore) -> DataFrame:
+    """path, error, batch of the files that failed; empty if none did."""
+    schema = "path string, error string, batch long"
+    fs, p = store._fs(f"{store.root}/dead_letters")
+    return store.spark.read.schema(schema).parquet(f"{store.root}/dead_letters") if fs.exists(p) else store.spark.createDataFrame([], schema)
