@@ -44,6 +44,20 @@ SELECT query_id, path, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
 
 
 _PACK = """turns AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations)"""
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(13)"
+
+
+def _pieces(rows: str, order: str) -> str:
+    """SQL for the chunks of one-paragraph bodies: rows has path, section, body and the order column. A body above 1500 bytes is cut
+    after every 1500 characters."""
+    return f"""b AS ({rows}),
+      cut AS (SELECT path, section, {order} AS o, body, unnest(range(CASE WHEN strlen(body) > 1500 THEN ceil(length(body) / 1500)::BIGINT ELSE 1 END)) AS i FROM b WHERE body <> ''),
+      c AS (SELECT path, section, o, i, CASE WHEN strlen(body) > 1500 THEN trim(substr(body, i * 1500 + 1, 1500), {_BLANK}) ELSE body END AS text FROM cut)
+      SELECT path, section, (row_number() OVER (PARTITION BY path ORDER BY o, i) - 1)::INT AS ordinal, strlen(text)::BIGINT AS bytes, md5(text) AS md5 FROM c"""
+
+
+_NUMBERS = """round(v[1]::DOUBLE, 4) + 0.0::DOUBLE AS "first", round(list_sum(list_transform(v, lambda x, i: x::DOUBLE * i)), 3) + 0.0::DOUBLE AS weight, len(v)::INT AS dim,
+  round(sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))), 3) AS norm"""
 _RANKS = f"""WITH {_TEXT},
 g AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS "set",
   ['/' || query_id || '.md', '0.md', '5.md'] AS expect FROM q),
@@ -62,14 +76,20 @@ _LISTS = """n AS (SELECT n_regionkey AS query_id, 'n' || n_nationkey AS path,
 ORACLES = {
     "discover_dispatch": f"""WITH {_FILES}, p AS (SELECT CASE WHEN doc_id % 3 = 0 THEN regexp_replace(path, 'md$', 'CSV') WHEN doc_id % 3 = 1 THEN regexp_replace(path, 'md$', 'txt') ELSE path END AS path FROM f)
         SELECT path, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS ext, CASE WHEN path LIKE '%.CSV' THEN 'csv' WHEN path LIKE '%.md' THEN 'markdown' END AS format FROM p""",
-    "chunk_hard_split": f"""WITH {_FILES},
-        s AS (SELECT path, text, strlen(text) > 1500 AS long FROM (SELECT path, trim(text, ' \t\n\r') AS text FROM f)),
-        pieces AS (SELECT path, unnest(range(greatest(1, CASE WHEN long THEN ceil(length(text) / 1500) ELSE 1 END::BIGINT))) AS i, text FROM s)
-        SELECT path, count(*) AS chunks, sum(length(CASE WHEN strlen(text) > 1500 THEN trim(substr(text, i * 1500 + 1, 1500), ' ' || chr(10) || chr(9) || chr(13)) ELSE text END) * (i + 1))::BIGINT AS weight FROM pieces GROUP BY path""",
-    "chunk_pdf_pages": f"""WITH {_PACK}, p AS (SELECT conv_id, i, CASE WHEN strlen(text) > 1500 THEN ceil(length(text) / 1500) ELSE 1 END AS n FROM turns)
-        SELECT 'talk/' || conv_id || '.md' AS path, 'p. ' || i AS section, n::BIGINT AS chunks FROM p""",
-    "chunk_markdown_sections": f"""WITH {_PACK}, p AS (SELECT conv_id, turn, role, CASE WHEN strlen(text) > 1500 THEN ceil(length(text) / 1500) ELSE 1 END AS n FROM turns)
-        SELECT 'talk/' || conv_id || '.md' AS path, role || ' > ' || turn AS section, n::BIGINT AS chunks FROM p""",
+    "chunk_hard_split": f"WITH {_FILES}, " + _pieces(f"SELECT path, '' AS section, trim(text, {_BLANK}) AS body, 0 AS k FROM f", "k"),
+    "chunk_pdf_pages": f"WITH {_PACK}, " + _pieces(f"SELECT 'talk/' || conv_id || '.md' AS path, 'p. ' || i AS section, trim(text, {_BLANK}) AS body, i AS k FROM turns", "k"),
+    "chunk_markdown_sections": f"WITH {_PACK}, " + _pieces(f"SELECT 'talk/' || conv_id || '.md' AS path, role || ' > ' || turn AS section, trim(text, {_BLANK}) AS body, i AS k FROM turns", "k"),
+    "chunk_markdown_fences": f"WITH {_PACK}, " + _pieces("SELECT 'talk/' || conv_id || '.md' AS path, 'talk > turns > ' || role AS section, '```' || chr(10) || '# ' || text || chr(10) || '## no' || chr(10) || '~~~' AS body, i AS k FROM turns", "k"),
+    "chunk_docx_files": f"WITH {_PACK}, " + _pieces(f"SELECT 'talk/' || conv_id || '.docx' AS path, role AS section, trim(text, {_BLANK}) AS body, i AS k FROM turns", "k"),
+    "chunk_xml_subtrees": f"""WITH {_PACK}, t AS (SELECT 'talk/' || conv_id || '.xml' AS path, i, turn, role, trim(text, {_BLANK}) AS text,
+        'no: ' || turn || chr(10) || 'who: ' || role || chr(10) || 'said: ' || trim(text, {_BLANK}) AS whole FROM turns),
+      parts AS (SELECT path, 0 AS k, 0 AS sub, 'talk' AS section, 'at: x' AS body FROM t GROUP BY path
+        UNION ALL SELECT path, i, 0, 'talk > turn', whole FROM t WHERE length(whole) <= 1500
+        UNION ALL SELECT path, i, 0, 'talk > turn', 'no: ' || turn FROM t WHERE length(whole) > 1500
+        UNION ALL SELECT path, i, 1, 'talk > turn > who', role FROM t WHERE length(whole) > 1500
+        UNION ALL SELECT path, i, 2, 'talk > turn > said', text FROM t WHERE length(whole) > 1500
+        UNION ALL SELECT path, max(i) + 1, 0, 'talk > pad > p', repeat('y', 1600) FROM t GROUP BY path),
+      """ + _pieces("SELECT path, section, body, k * 4 + sub AS k FROM parts", "k"),
     "chunk_pack_paragraphs": f"""WITH RECURSIVE {_PACK},
         step AS (SELECT conv_id, i, CASE WHEN strlen(text) > 1500 THEN '' ELSE text END AS cur, CASE WHEN strlen(text) > 1500 THEN text END AS big, NULL::VARCHAR AS done FROM turns WHERE i = 1
           UNION ALL
@@ -89,7 +109,7 @@ ORACLES = {
             CASE WHEN s.used + r.n + 2 > 1500 THEN r.n ELSE s.size + 2 + r.n END FROM s JOIN r ON r.line = s.line + 1)
         SELECT 'nation.csv' AS path, 'rows ' || first || '-' || max(line) AS section, max(size)::BIGINT AS characters, (row_number() OVER (ORDER BY first) - 1)::INT AS ordinal FROM s GROUP BY first""",
     "chunk_xml_catalog": "SELECT n_nationkey || '.xml' AS path, 'nation' AS section, 'id: ' || n_nationkey || chr(10) || 'name: ' || n_name || chr(10) || 'region: ' || n_regionkey AS text, 0 AS ordinal FROM nation",
-    "failed_files_dead_letter": "SELECT n_nationkey || '.docx' AS path, true AS failed FROM nation",
+    "failed_files_dead_letter": "SELECT n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.docx' ELSE '.md' END AS path, n_nationkey % 2 = 0 AS failed, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE n_name END AS text FROM nation",
     "path_words": f"WITH {_FILES} SELECT path, 'docs ' || source || ' ' || lang || ' ' || doc_id AS words FROM f",
     "embedding_text": f"WITH {_FILES} SELECT path, md5('docs ' || source || ' ' || lang || ' ' || doc_id || chr(10) || lang || chr(10) || text) AS md5 FROM f",
     "incremental_skip": f"WITH {_KNOWN} SELECT f.path, f.mtime FROM f JOIN k USING (path, mtime)",
@@ -107,7 +127,9 @@ ORACLES = {
         "|| ' in-word - tail -'", "|| ' in-word' || coalesce(nullif(' ' || trim(regexp_replace(lower(n_name), '^\\S+', '')), ' '), '') || ' tail -'"
     ),
     "text_search": f"WITH {_TEXT} SELECT query_id, path, round(score, 6) AS score, rank FROM txt WHERE rank <= 10",
-    "normalize_vectors": "SELECT vec_id, 1.0::DOUBLE AS norm FROM embeddings",
+    "normalize_vectors": f"""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: (x * 3)::FLOAT) AS e FROM embeddings),
+        n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM s),
+        u AS (SELECT vec_id, list_transform(e, lambda x: (x::DOUBLE / n::FLOAT::DOUBLE)::FLOAT) AS v FROM n) SELECT vec_id, {_NUMBERS} FROM u""",
     "vector_search": f"WITH {_CHUNKS}, {_VEC} SELECT query_id, path, round(score, 5) AS score, rank FROM vec WHERE rank <= 10",
     "filter_excluded": f"""WITH {_TEXT} SELECT query_id, path FROM txt WHERE rank <= 10
         AND NOT contains(lower(text || chr(10) || section), 'the and') AND NOT contains(lower(path), 'src1/')""",
@@ -126,7 +148,17 @@ ORACLES = {
     "snippets": rf"""WITH {_FILES}, s AS (SELECT path, trim(regexp_replace(text, '{_S}+', ' ', 'g')) AS t FROM f)
         SELECT path, CASE WHEN length(t) > 60 THEN left(t, 60) || '…' ELSE t END AS snippet FROM s""",
     "score_bands": f"""WITH {_TEXT} SELECT CASE WHEN score >= 0.7 THEN 'green' WHEN score >= 0.5 THEN 'yellow' ELSE 'grey' END AS band, count(*) AS results FROM txt WHERE rank <= 5 GROUP BY 1""",
-    "search_results_json": f"""WITH {_FILES}, r AS (SELECT path, row_number() OVER (ORDER BY path) AS rank FROM f WHERE lang = 'en')
-        SELECT rank, '{{"path":"' || path || '","section":"en","text":"the en","ordinal":0,"score":1.0}}' AS json FROM r WHERE rank <= 5""",
-    "hash_embed": f"WITH {_FILES} SELECT path, 1.0::DOUBLE AS norm FROM f",
+    "search_results_json": f"""WITH {_TEXT} SELECT query_id, rank, '{{"path":"' || path || '","section":"' || section || '","text":"' || md5(text) || '","ordinal":0,"score":'
+        || round(score, 4)::DOUBLE::VARCHAR || '}}' AS json FROM txt WHERE rank <= 5""",
+    # FNV-1a over the bytes, then three xorshifts for each number; 64-bit arithmetic in 128 bits, vectors in single precision
+    "hash_embed": f"""WITH RECURSIVE {_FILES},
+        h AS (SELECT path, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::HUGEINT)),
+            lambda a, x: (xor(a, x) * 1099511628211) % 18446744073709551616) AS s FROM f),
+        step AS (SELECT path, s, 0 AS i FROM h
+          UNION ALL SELECT path, xor(s, (s * 131072) % 18446744073709551616), i + 1 FROM (SELECT path, xor(s, s // 128) AS s, i FROM
+            (SELECT path, xor(s, (s * 8192) % 18446744073709551616) AS s, i FROM step WHERE i < 32))),
+        r AS (SELECT path, list((CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END)::BIGINT::FLOAT / 9223372036854775808::FLOAT ORDER BY i) AS r FROM step WHERE i > 0 GROUP BY path),
+        u AS (SELECT path, list_transform(r, lambda x: (x / sqrt(list_sum(list_transform(r, lambda y: y::DOUBLE * y::DOUBLE)))::FLOAT)::FLOAT) AS w FROM r),
+        e AS (SELECT path, list_transform(w, lambda x: (x / sqrt(list_sum(list_transform(w, lambda y: y::DOUBLE * y::DOUBLE)))::FLOAT)::FLOAT) AS v FROM u)
+        SELECT path, {_NUMBERS} FROM e""",
 }

@@ -64,8 +64,12 @@ def discover_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return files_source.with_format(p)
 
 
+def _digest(chunks: DataFrame) -> DataFrame:
+    return chunks.select("path", "section", "ordinal", F.octet_length("text").cast("long").alias("bytes"), F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
 def chunk_hard_split(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_plain(_files(spark, d)).groupBy("path").agg(F.count("*").alias("chunks"), F.sum(F.length("text") * (F.col("ordinal") + 1)).alias("weight"))
+    return _digest(chunking.chunk_plain(_files(spark, d)))
 
 
 def chunk_pack_paragraphs(spark: SparkSession, d: str) -> DataFrame:
@@ -76,12 +80,49 @@ def chunk_pack_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 def chunk_markdown_sections(spark: SparkSession, d: str) -> DataFrame:
     turn = F.transform("t", lambda t: F.concat(F.lit("# "), t["role"], F.lit("\n## "), t["turn"].cast("string"), F.lit("\n"), t["text"]))
     files = _conversations(spark, d).select("path", F.array_join(turn, "\n").alias("text"))
-    return chunking.chunk_markdown(files).groupBy("path", "section").agg(F.count("*").alias("chunks"))
+    return _digest(chunking.chunk_markdown(files))
+
+
+def chunk_markdown_fences(spark: SparkSession, d: str) -> DataFrame:
+    """Headings of three levels, and fences whose lines look like headings."""
+    turn = F.transform("t", lambda t: F.concat(F.lit("### "), t["role"], F.lit("\n```\n# "), t["text"], F.lit("\n## no\n~~~\n")))
+    files = _conversations(spark, d).select("path", F.concat(F.lit("# talk\n## turns\n"), F.array_join(turn, "")).alias("text"))
+    return _digest(chunking.chunk_markdown(files))
 
 
 def chunk_pdf_pages(spark: SparkSession, d: str) -> DataFrame:
     files = _conversations(spark, d).select("path", F.array_join(F.col("t.text"), "\f").alias("text"))
-    return chunking.chunk_pages(files).groupBy("path", "section").agg(F.count("*").alias("chunks"))
+    return _digest(chunking.chunk_pages(files))
+
+
+def chunk_docx_files(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as DOCX files: roles are headings, turns paragraphs."""
+
+    def pack(batches):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        for batch in batches:
+            out = []
+            for turns in batch["t"]:
+                body = "".join(f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>{escape(t["role"])}</w:t></w:r></w:p><w:p><w:r><w:t>{escape(t["text"])}</w:t></w:r></w:p>' for t in turns)
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+                out.append(held.getvalue())
+            yield batch[["path"]].assign(content=out)
+
+    files = _conversations(spark, d).withColumn("path", F.replace("path", F.lit(".md"), F.lit(".docx"))).mapInPandas(pack, "path string, content binary")
+    return _digest(files_source.chunk_files(files)[0])
+
+
+def chunk_xml_subtrees(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as XML files above the limit: own lines, then the children."""
+    turn = F.transform("t", lambda t: F.concat(F.lit("<turn no='"), t["turn"].cast("string"), F.lit("'><who>"), t["role"], F.lit("</who><said>"), F.replace(F.replace(t["text"], F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</said></turn>")))
+    body = F.concat(F.lit("<talk at='x'>"), F.array_join(turn, ""), F.lit("<pad><p>"), F.repeat(F.lit("y"), 1600), F.lit("</p></pad></talk>"))
+    files = _conversations(spark, d).select(F.replace("path", F.lit(".md"), F.lit(".xml")).alias("path"), body.cast("binary").alias("content"))
+    return _digest(files_source.chunk_files(files)[0])
 
 
 def chunk_csv_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -106,8 +147,12 @@ def chunk_xml_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def failed_files_dead_letter(spark: SparkSession, d: str) -> DataFrame:
-    files = _table(spark, d, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".docx")).alias("path"), F.col("n_name").cast("binary").alias("content"))
-    return files_source.chunk_files(files)[1].select("path", F.lit(True).alias("failed"))
+    """Good and broken files together: which give chunks, which fail."""
+    broken = F.col("n_nationkey") % 2 == 0
+    path = F.concat(F.col("n_nationkey").cast("string"), F.when(broken, ".docx").otherwise(".md"))
+    files = _table(spark, d, "nation").select(path.alias("path"), F.col("n_name").cast("binary").alias("content"))
+    chunks, failures = files_source.chunk_files(files)
+    return chunks.select("path", F.lit(False).alias("failed"), "text").unionByName(failures.select("path", F.col("error").isNotNull().alias("failed"), F.lit("").alias("text")))
 
 
 def path_words(spark: SparkSession, d: str) -> DataFrame:
@@ -177,9 +222,16 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
     return S.text_topk(_chunks(spark, d), _queries(spark, d), 10).select("query_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
+def _numbers(v: F.Column) -> list[F.Column]:
+    """Values that all numbers of a vector decide."""
+    weight = F.aggregate(F.transform(v, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    whole = lambda x, n: F.round(x, n) + F.lit(0.0)  # no negative zeros
+    return [whole(F.get(v, F.lit(0)).cast("double"), 4).alias("first"), whole(weight, 3).alias("weight"), F.size(v).alias("dim"), F.round(V.norm(v), 3).alias("norm")]
+
+
 def normalize_vectors(spark: SparkSession, d: str) -> DataFrame:
     scaled = F.transform("embedding", lambda x: x * 3)
-    return _table(spark, d, "embeddings").select("vec_id", F.round(V.norm(V.normalize(scaled)), 4).alias("norm"))
+    return _table(spark, d, "embeddings").select("vec_id", V.normalize(scaled).alias("v")).select("vec_id", *_numbers(F.col("v")))
 
 
 def vector_search(spark: SparkSession, d: str) -> DataFrame:
@@ -264,15 +316,15 @@ def score_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_results_json(spark: SparkSession, d: str) -> DataFrame:
-    found = S.text_topk(_chunks(spark, d).withColumn("text", F.lit("t")).withColumn("text", F.concat(F.lit("the "), F.col("section"))), spark.createDataFrame([(1, "en")], "query_id int, query string"), 5)
-    return results_json(found).select("rank", "json")
+    found = S.text_topk(_chunks(spark, d), _queries(spark, d), 5).withColumn("text", F.md5("text"))
+    return results_json(found).select("query_id", "rank", "json")
 
 
 def hash_embed(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).select("path", embedding(HashEmbedder(), F.col("text")).alias("vector")).select("path", F.round(V.norm(F.col("vector")), 3).alias("norm"))
+    return _files(spark, d).select("path", embedding(HashEmbedder(), F.col("text")).alias("v")).select("path", *_numbers(F.col("v")))
 
 
-ALL = (discover_dispatch, chunk_hard_split, chunk_pack_paragraphs, chunk_markdown_sections, chunk_pdf_pages, chunk_csv_rows, chunk_csv_files, chunk_xml_catalog, failed_files_dead_letter, path_words, embedding_text, incremental_skip, incremental_work, vanished_files, upsert_replace_by_path, delete_paths, count_chunks, paths_latest, list_files, query_words, word_set_size, parse_exclusions, text_search, normalize_vectors, vector_search, filter_excluded, rrf_merge, hybrid_search, hybrid_search_filtered, hybrid_search_mixed, search_mode_text, search_mode_vector, first_expected_rank, eval_recall_mrr, eval_overall, snippets, score_bands, search_results_json, hash_embed)
+ALL = (discover_dispatch, chunk_hard_split, chunk_pack_paragraphs, chunk_markdown_sections, chunk_markdown_fences, chunk_pdf_pages, chunk_docx_files, chunk_xml_subtrees, chunk_csv_rows, chunk_csv_files, chunk_xml_catalog, failed_files_dead_letter, path_words, embedding_text, incremental_skip, incremental_work, vanished_files, upsert_replace_by_path, delete_paths, count_chunks, paths_latest, list_files, query_words, word_set_size, parse_exclusions, text_search, normalize_vectors, vector_search, filter_excluded, rrf_merge, hybrid_search, hybrid_search_filtered, hybrid_search_mixed, search_mode_text, search_mode_vector, first_expected_rank, eval_recall_mrr, eval_overall, snippets, score_bands, search_results_json, hash_embed)
 
 
 def queries() -> dict[str, Query]:
