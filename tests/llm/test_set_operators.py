@@ -121,6 +121,18 @@ def test_exact_dedup(spark, digest):
     assert exactdedup.exact_dedup(empty(spark)).count() == 0
 
 
+def test_exact_dedup_merges_levels(spark):
+    """An index of earlier documents and new runs give the level that all of them give at once; a full filter changes nothing."""
+    rows = [(i, f"text {i % 7}" if i % 3 else f"one{i}", "en", "s") for i in range(80)]
+    docs = scratch.keyed(scratch.table(frame(spark, rows)), "doc_id")
+    runs = [exactdedup.flush(d, "doc_id", "text", exactdedup.sha256) for d in (docs, docs.filter("doc_id < 30"), docs.filter("doc_id >= 30"))]
+    whole = exactdedup.merge(runs[0], 4)
+    parts = exactdedup.merge(runs[2], 4, exactdedup.merge(runs[1], 4))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    one = lambda **o: sorted(map(str, exactdedup.exact_dedup(frame(spark, rows), **o).collect()))
+    assert one() == one(filter_bits=64) == one(segments=3)
+
+
 def shingle_set(text, lower=str.lower):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
