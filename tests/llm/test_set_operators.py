@@ -263,6 +263,46 @@ def test_suffix_repeats(spark, rows):
     assert key == slow_repeats(rows)
 
 
+def test_suffix_repeats_texts_and_spans(spark):
+    """The operator's own output: the bytes that are left, and the spans that put back give the text."""
+    rows = [*NASTY, *((i + 1000, *r) for i, *r in REPEATS)]
+    texts = {i: (t or "").encode() for i, t, _, _ in rows if i is not None and i != rows[3][0]}
+    for r in suffixdedup.cut_repeats(frame(spark, rows)).collect():
+        if r["doc_id"] in texts:
+            text, left, last = texts[r["doc_id"]], b"", 0
+            for a, b in zip(r["begins"], r["ends"], strict=True):
+                assert last <= a < b and (a > last or not last)
+                left, last = left + text[last:a], b
+            assert left + text[last:] == bytes(r["kept"]) and r["n_bytes"] == len(text)
+
+
+def test_text_ids_have_the_same_results(spark):
+    """Ids that are no numbers are put in order first; one of them may repeat."""
+    rows = [r for r in NASTY if r[0] is not None]
+    numbered = frame(spark, rows)
+    lettered = numbered.withColumn("doc_id", F.format_string("d%05d", "doc_id"))
+    for op in (suffixdedup.remove_repeats, ngramjoin.join, exactdedup.exact_dedup):
+        drop = lambda d: d.drop("doc_id", "component_id", "keep_id", "_row", "_comp")
+        assert Counter(map(tuple, drop(op(numbered)).collect())) == Counter(map(tuple, drop(op(lettered)).collect())), op
+
+
+def test_lines_are_cut_out(spark):
+    rows = [(1, "a b c d e\nf g h i j\nA b c d e", "en", "s"), (2, "f g h i j", "en", "s"), (3, None, "en", "s"), (4, "k", "en", "s")]
+    out = linededup.drop_lines(frame(spark, rows))
+    assert out.schema == SCHEMA and {r["doc_id"]: r["text"] for r in out.collect()} == {1: "a b c d e\nf g h i j", 2: "", 3: None, 4: "k"}
+
+
+def test_ngram_join_sql(spark, sf_dir):
+    import duckdb
+
+    from tidewell.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got = queries.op6_ngram_jaccard_join(spark, sf_dir).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ngramjoin.ORACLE).fetchall())
+
+
 def test_suffix_repeats_empty(spark):
     assert suffixdedup.remove_repeats(empty(spark)).count() == 0
 

@@ -171,6 +171,43 @@ def test_licences_in_one_file(spark):
     assert got[3]["labels"] == ""
 
 
+def slow_labels(texts):
+    """Every template at every place of every file: the share of its IDF at its places, and its mandatory phrases."""
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    files = [find(t) for t in texts]
+    idf = lambda w: np.log((len(files) + 1) / (sum(w in f for f in files) + 1)) + 1e-3
+    out = []
+    for f in files:
+        labels, best = {x for p, x in license.PHRASES.items() if p in " ".join(f) and any(f[i : i + len(p.split())] == p.split() for i in range(len(f)))}, 0.0
+        base = bool(labels)
+        for label, (passage, phrases) in license.TEMPLATES.items():
+            t = passage.split()
+            weights = [idf(w) for w in t]
+            for begin in range(-len(t) + 1, len(f)):
+                hits = [j for j in range(len(t)) if 0 <= begin + j < len(f) and f[begin + j] == t[j]]
+                share = min(1.0, sum(weights[j] for j in hits) / sum(weights)) if len(hits) >= 2 else 0.0
+                best = max(best, share)
+                stretch = f[max(0, begin) : max(0, begin + len(t))]
+                if share >= license.COVERAGE and all(any(stretch[i : i + len(p.split())] == p.split() for i in range(len(stretch))) for p in phrases):
+                    labels.add(label)
+        out.append((",".join(sorted(labels)), 1.0 if base else best))
+    return out
+
+
+def test_licence_labels_against_brute_force(spark):
+    rng = random.Random(10)
+    rows = [*LICENCES, (7, None, None, None), (8, "", "en", "s")]
+    for i in range(40):
+        parts = [rng.choice(list(license.TEMPLATES.values()))[0].split() for _ in range(rng.randrange(3))]
+        for p in parts:
+            for _ in range(rng.randrange(4)):
+                p[rng.randrange(len(p))] = rng.choice(("the", "license", "x", "y"))
+        rows.append((100 + i, words(rng, 12) + " " + " z ".join(" ".join(p[rng.randrange(3) :]) for p in parts), "en", "s"))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license.scan(frame(spark, rows)).collect()}
+    for (i, *_), (labels, best) in zip(rows, slow_labels([r[1] for r in rows]), strict=True):
+        assert got[i][0] == labels and got[i][1] == pytest.approx(best, abs=1e-9), rows[[r[0] for r in rows].index(i)]
+
+
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -211,6 +248,36 @@ def test_pii_rows(spark):
     assert pii.scan(empty(spark)).count() == 0
 
 
+def slow_iban(text):
+    """All maximal runs of letters and digits that have the form of an IBAN and the remainder 1."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9]+", text):
+        if re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", m[0]):
+            number = 0
+            for c in m[0][4:] + m[0][:4]:
+                v = ord(c) - 48 if c.isdigit() else ord(c) - 55
+                number = (number * (10 if v < 10 else 100) + v) % 97
+            if number == 1:
+                out.append((m.start(), m.end()))
+    return out
+
+
+def test_ibans_and_scores_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        body = "".join(rng.choice("ABCXYZ0123456789") for _ in range(rng.randrange(9, 32)))
+        country = rng.choice(("DE", "GB", "fr", "X1"))
+        rest = "".join(str(int(c, 36)) for c in body + country.upper() + "00")
+        check = f"{98 - int(rest) % 97:02d}" if rng.random() < 0.7 else "11"
+        context = rng.choice(("account", "IBAN", "nothing", "xbank"))
+        text = f"{context} {'f ' * rng.choice((1, 40))}é {rng.choice(('', '_', 'a'))}{country}{check}{body}{rng.choice((' ', '.', 'z'))} end"
+        found = [(a, b) for a, k, b in pii.spans(text) if k == 4]
+        assert found == slow_iban(text)
+        for a, b in found:
+            near = {w.lower() for w in re.findall("[A-Za-z]+", text[max(0, a - 60) : a] + " " + text[b : b + 60])}
+            assert pii.score(text, a, b, "iban") == pytest.approx(0.95 if near & set(pii.CONTEXT["iban"]) else 0.9)
+
+
 def items(spark, *texts):
     return spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "item_id long, text string, doc_id string")
 

@@ -156,6 +156,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", covera
 
     Null texts are empty: no words, no labels (empty strings), null places, score 0. score is 1 if a base phrase occurs,
     else the best weighted share of an alignment, accepted or not. Whole texts are scanned; equal rows have equal results.
+    An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     scratch.small_batches(docs.sparkSession)
     rows, n = document_frequencies(docs, text_col)

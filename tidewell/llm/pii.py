@@ -101,7 +101,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, scores.
 
     spans and scores are comma-joined in the same order; offsets are code points, ends exclusive. Null texts are empty; a
-    text without spans has the hash of the empty text and empty lists. Whole texts are scanned. Only texts with a digit or
+    text without spans has the hash of the empty text and empty lists. Repeated rows have equal results, an empty table gives an
+    empty result, and other columns are ignored, whatever their names. Whole texts are scanned. Only texts with a digit or
     an @ are decoded: every pattern needs one of them.
     """
 

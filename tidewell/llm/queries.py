@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_stratified_shards": sharding.ORACLE, "op9_exact_dedup": exactdedup.ORACLE}
+    return {"op2_stratified_shards": sharding.ORACLE, "op6_ngram_jaccard_join": ngramjoin.ORACLE, "op9_exact_dedup": exactdedup.ORACLE}

@@ -19,7 +19,6 @@ stream with one row of memory.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -181,25 +180,23 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Removes the bytes under the repeated windows of each row."""
+    """Removes the bytes under the repeated windows of each row: what is left, and where the removed spans begin and end."""
     for batch in batches:
         data, offsets = bytekit.buffers(batch.column("text"))
         listed = batch.column("run")
         listed = listed.fill_null([]) if listed.null_count else listed
         at, packed = listed.offsets.to_numpy().astype(np.int64), listed.values.to_numpy()
-        size = len(offsets) - 1
-        removed, spans, sums = np.zeros(size, np.int64), np.zeros(size, np.int64), []
-        for i in range(size):
+        kept, begins, ends = [], [], []
+        for i in range(len(offsets) - 1):
             part = data[offsets[i] : offsets[i + 1]]
-            if at[i] < at[i + 1]:
-                begin, count = packed[at[i] : at[i + 1]] // PACK, packed[at[i] : at[i + 1]] % PACK
-                depth = np.bincount(begin, minlength=len(part) + 1) - np.bincount(begin + count + LENGTH - 1, minlength=len(part) + 1)
-                gone = np.cumsum(depth[:-1]) > 0
-                removed[i] = gone.sum()
-                spans[i] = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                part = part[~gone]
-            sums.append(hashlib.sha256(part.tobytes()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed), pa.array(spans), pa.array(sums)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            begin, count = packed[at[i] : at[i + 1]] // PACK, packed[at[i] : at[i + 1]] % PACK
+            depth = np.bincount(begin, minlength=len(part) + 1) - np.bincount(begin + count + LENGTH - 1, minlength=len(part) + 1)
+            edge = np.diff((np.cumsum(depth) > 0).astype(np.int8), prepend=0, append=0)
+            begins.append(np.flatnonzero(edge > 0))
+            ends.append(np.flatnonzero(edge < 0))
+            kept.append(part[np.cumsum(edge[: len(part)]) == 0].tobytes())
+        spans = [pa.array(x, pa.list_(pa.int64())) for x in (begins, ends)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()), *spans], ["doc_id", "n_bytes", "kept", "begins", "ends"])
 
 
 def repeats(texts: DataFrame) -> DataFrame:
@@ -215,25 +212,31 @@ def repeats(texts: DataFrame) -> DataFrame:
     return solved.filter("not open").select("key", "run").unionByName(late)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_bytes, kept (the remaining bytes), begins and ends (of the removed spans, in bytes).
 
     A byte goes if a 100-byte string over it also starts earlier: in a row of smaller doc_id (null last; rows of one id in
     the order of the table), or earlier in the same row. Null texts are empty; texts below 100 bytes stay whole. Matches
-    never cross rows, and all are judged on the input. Empty tables give an empty result; other columns are ignored.
+    never cross rows, and all are judged on the input, so of repeated rows the first stays whole. What is left may end inside a
+    character, so it is binary. Empty tables give an empty result; other columns are ignored, whatever their names.
     """
     scratch.small_batches(docs.sparkSession)
     texts = ordered(docs, id_col, text_col)
     with scratch.steps(docs.sparkSession) as keep:
         found = keep(scratch.table(repeats(texts).groupBy("key").agg(F.collect_list("run").alias("run"))))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    # rows without repeats are hashed where they are read; only the others (and what the bitmap lets through) are shuffled
+    schema = f"doc_id {kind}, n_bytes long, kept binary, begins array<long>, ends array<long>"
+    # rows without repeats stay where they are read; only the others (and what the bitmap lets through) are shuffled
     bits = 1 << 22
     marks = scratch.bitmap(found.select("key"), F.col("key"), bits)
     marked = scratch.mark(texts, F.col("key"), marks, bits, "_maybe")
-    clean = marked.filter("not _maybe").select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
-    )
+    none = F.array().cast("array<bigint>")
+    clean = marked.filter("not _maybe").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce("text", F.lit("")).cast("binary").alias("kept"), none.alias("begins"), none.alias("ends"))
     dirty = marked.filter("_maybe").select("key", "doc_id", "text").join(found, "key", "left").select("doc_id", "text", "run").mapInArrow(_cut, schema)
     return clean.unionByName(dirty)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """cut_repeats as numbers and a digest: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    cut = cut_repeats(docs, id_col, text_col)
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("begins").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
