@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import collocations, decontam, exactdedup, langid, license, linededup, mixing, ngramjoin, pii, sharding, suffixdedup
+from tidewell.llm import collocations, decontam, exactdedup, langid, license, linededup, mixing, neardup, ngramjoin, pii, sharding, suffixdedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +53,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_docs(spark, sf_dir))
 
 
+def op11_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("ball")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_decontamination, op2_stratified_shards, op3_ppm_language, op4_line_dedup, op5_license_scan, op6_ngram_jaccard_join, op7_entropy_mix, op8_suffix_repeats, op9_exact_dedup, op10_personal_data, op12_collocations)}
+    return {f.__name__: f for f in (op1_template_decontamination, op2_stratified_shards, op3_ppm_language, op4_line_dedup, op5_license_scan, op6_ngram_jaccard_join, op7_entropy_mix, op8_suffix_repeats, op9_exact_dedup, op10_personal_data, op11_near_duplicate_vectors, op12_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_collocations": collocations.ORACLE, "op2_stratified_shards": sharding.ORACLE, "op6_ngram_jaccard_join": ngramjoin.ORACLE, "op9_exact_dedup": exactdedup.ORACLE}
+    return {"op11_near_duplicate_vectors": neardup.ORACLE, "op12_collocations": collocations.ORACLE, "op2_stratified_shards": sharding.ORACLE, "op6_ngram_jaccard_join": ngramjoin.ORACLE, "op9_exact_dedup": exactdedup.ORACLE}
