@@ -49,31 +49,75 @@ def _pieces(sections: DataFrame, order: list[str]) -> DataFrame:
     return pieces.select("path", "section", "text", number.alias("ordinal"))
 
 
+#: Events that one inner fold takes: appending to an array copies it, so long files are folded in stretches.
+_STRETCH = 256
+_HEADING = r"^(#{1,6})[\t\n\f\r ]+(.*)\z"
+_MARK = "struct<no:int,level:int,title:string>"
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _sections(lines: Column) -> Column:
+    """array<struct<section, body>> of a file's lines: one fold over its fence and heading lines.
+
+    The state is whether a fence is open and the titles of the six levels; a heading outside a fence closes a section and opens the
+    next. Bodies are then slices of the lines.
+    """
+    mark = F.transform(lines, lambda x, i: F.struct(i.cast("int").alias("no"), x.alias("line"), trim(x).alias("bare")))
+    mark = F.filter(mark, lambda m: m["line"].startswith("#") | m["bare"].startswith("```") | m["bare"].startswith("~~~"))
+
+    def event(m: Column) -> Column:
+        fence = m["bare"].startswith("```") | m["bare"].startswith("~~~")
+        return F.struct(m["no"].alias("no"), F.when(fence, 0).otherwise(F.length(F.regexp_extract(m["line"], _HEADING, 1))).alias("level"), trim(F.regexp_extract(m["line"], _HEADING, 2)).alias("title"), fence.alias("fence"))
+
+    # a line of # without a blank and a title is no heading
+    events = F.filter(F.transform(mark, event), lambda e: e["fence"] | (e["level"] > 0))
+    events = F.transform(events, lambda e: F.struct(e["no"].alias("no"), e["level"].cast("int").alias("level"), e["title"].alias("title")).cast(_MARK))
+    open_ = F.array(F.struct(F.lit(-1).alias("no"), F.lit("").alias("section")))
+    state = F.struct(F.lit(False).alias("inside"), F.array_repeat(F.lit(""), 6).alias("trail"), F.array().cast("array<struct<no:int,section:string>>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        trail = F.transform(acc["trail"], lambda t, i: F.when(i + 1 < e["level"], t).when(i + 1 == e["level"], e["title"]).otherwise(F.lit("")))
+        name = lambda t: F.array_join(F.filter(t, lambda x: x != ""), " > ")
+        heading = _let(trail, lambda t: F.struct(acc["inside"].alias("inside"), t.alias("trail"), F.array_append(acc["out"], F.struct(e["no"].alias("no"), name(t).alias("section"))).alias("out")))
+        fence = F.struct((~acc["inside"]).alias("inside"), acc["trail"].alias("trail"), acc["out"].alias("out"))
+        return F.when(e["level"] == 0, fence).when(acc["inside"], acc).otherwise(heading)
+
+    def stretch(acc: Column, events: Column) -> Column:
+        begin = F.struct(acc["inside"].alias("inside"), acc["trail"].alias("trail"), F.array().cast("array<struct<no:int,section:string>>").alias("out"))
+        return _let(F.aggregate(events, begin, step), lambda x: F.struct(x["inside"].alias("inside"), x["trail"].alias("trail"), F.array_append(acc["out"], x["out"]).alias("out")))
+
+    def fold(events: Column) -> Column:
+        count = F.ceil(F.size(events) / F.lit(_STRETCH)).cast("int")
+        parts = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda i: F.slice(events, i * _STRETCH + 1, F.lit(_STRETCH)))).otherwise(F.array().cast(f"array<array<{_MARK}>>"))
+        outer = F.struct(state["inside"].alias("inside"), state["trail"].alias("trail"), F.array().cast("array<array<struct<no:int,section:string>>>").alias("out"))
+        return F.aggregate(parts, outer, stretch, lambda acc: F.flatten(acc["out"]))
+
+    starts = _let(events, lambda e: F.concat(open_, fold(e)))
+    return _let(
+        F.struct(lines.alias("lines"), starts.alias("starts")),
+        lambda f: F.transform(
+            f["starts"],
+            lambda s, i: F.struct(
+                s["section"].alias("section"),
+                trim(F.array_join(F.slice(f["lines"], s["no"] + 2, F.coalesce(F.get(f["starts"], i + 1)["no"], F.size(f["lines"])) - s["no"] - 1), "\n")).alias("body"),
+            ),
+        ),
+    )
+
+
 def chunk_markdown(files: DataFrame) -> DataFrame:
     """files: path, text. Fenced lines are body; # headings outside fences start sections, whose name is the trail of the
-    headings above, `A > B`. A section without body gives no chunk."""
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    lines = lines.withColumn("line", F.regexp_replace("raw", r"\r\z", "")).drop("raw")
-    bare = trim("line")
-    upto = Window.partitionBy("path").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("fence", (bare.startswith("```") | bare.startswith("~~~")).cast("int"))
-    lines = lines.withColumn("inside", (F.sum("fence").over(upto) - F.col("fence")) % 2 == 1)
-    pattern = r"^(#{1,6})[\t\n\f\r ]+(.*)\z"
-    level = F.when((F.col("fence") == 0) & ~F.col("inside"), F.length(F.regexp_extract("line", pattern, 1)))
-    lines = lines.withColumn("level", F.when(level > 0, level)).withColumn("title", trim(F.regexp_extract("line", pattern, 2)))
-    lines = lines.withColumn("part", F.count("level").over(upto))
-    trail, above = [], F.lit(-1)
-    for n in range(1, 7):
-        mine = F.col("level") == n
-        at = F.coalesce(F.max(F.when(mine, F.col("no"))).over(upto), F.lit(-1))
-        name = F.last(F.when(mine, F.col("title")), ignorenulls=True).over(upto)
-        trail.append(F.when(at > above, name).otherwise(F.lit("")))
-        above = F.greatest(above, at)
-    lines = lines.withColumn("section", F.array_join(F.filter(F.array(*trail), lambda t: t != ""), " > "))
-    body = F.array_sort(F.collect_list(F.when(F.col("level").isNull(), F.struct("no", "line"))))
-    sections = lines.groupBy("path", "part").agg(F.first("section").alias("section"), body.alias("lines"))
-    sections = sections.select("path", "part", "section", trim(F.array_join(F.col("lines.line"), "\n")).alias("body")).filter("body <> ''")
-    return _pieces(sections, ["part"])
+    headings above, `A > B`. A section without body gives no chunk. A file stays one row until its chunks are cut: nothing is
+    shuffled."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    sections = files.select("path", F.explode(F.array(_sections(lines))).alias("sections"))
+    pieces = F.flatten(F.transform(F.filter("sections", lambda s: s["body"] != ""), lambda s: F.transform(pack_paragraphs(s["body"]), lambda t: F.struct(s["section"].alias("section"), t.alias("text")))))
+    pieces = sections.select("path", F.posexplode(pieces).alias("ordinal", "piece"))
+    return pieces.select("path", "piece.section", "piece.text", "ordinal")
 
 
 def chunk_pages(files: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
+from tidewell.operators import postings as P
+from tidewell.sources.shared import stored
 
 #: Fixed value: the constant of reciprocal rank fusion.
 RRF_K = 60
@@ -27,13 +29,14 @@ def _top(df: DataFrame, k: Column | int, *order: Column) -> DataFrame:
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def text_hits(chunks: DataFrame, queries: DataFrame, k: int, postings: DataFrame | None = None, buckets: int = P.BUCKETS) -> DataFrame:
     """Lexical search: query_id, path, ordinal, score, rank.
 
     chunks: path, text, ordinal; queries: query_id, query. The score is the share of the query's words whose singular is a word of
-    the chunk; a chunk must also hold a raw query word as a substring. Works as an inverted index: distinct words of chunks and
-    queries meet in an equi-join, the words met are counted as bits, so a task sends one row per query and chunk; texts
-    are touched again only where a match rests on plurals alone.
+    the chunk; a chunk must also hold a raw query word as a substring. Works as an inverted index: words of chunks and queries
+    meet in an equi-join, the words met are counted as bits, so a task sends one row per query and chunk. postings (of
+    operators.postings, with their bucket if they are stored by it) save reading and splitting the texts; these are touched only where
+    a match rests on plurals alone. The hits are written once, as they are counted and then read.
     """
     words = queries.select("query_id", T.query_words("query").alias("words")).filter(F.size("words") > 0)
     terms = words.select("query_id", F.size("words").alias("of"), F.posexplode("words").alias("no", "raw")).withColumn("word", T.singular(F.col("raw")))
@@ -46,22 +49,25 @@ def text_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     longest, plural = forms.agg(F.max("no"), F.max("plural")).first()
     if longest is None:
         return queries.select("query_id", F.lit("").alias("path"), F.lit(0).alias("ordinal"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).filter("false")
-    postings = chunks.select("path", "ordinal", F.explode(F.array_distinct(T.words("text"))).alias("form"))
-    met = postings.join(_small(forms), "form")
+    words_of = P.postings(chunks) if postings is None else postings
+    if "bucket" in words_of.columns:
+        words_of = P.of_words(words_of, forms.select(F.col("form").alias("word")), buckets)
+    met = words_of.select(F.col("word").alias("form"), "path", "ordinal").join(_small(forms), "form")
     bits = {f"b{i}": F.bit_or(F.when((F.col("no") >= 63 * i) & (F.col("no") < 63 * (i + 1)), F.expr(f"shiftleft(1L, no - {63 * i})")).otherwise(F.lit(0).cast("long"))) for i in range(longest // 63 + 1)}
     hits = met.groupBy("query_id", "path", "ordinal").agg(F.first("of").alias("of"), F.max("sure").alias("sure"), *[b.alias(n) for n, b in bits.items()])
     hits = hits.select("query_id", "path", "ordinal", "of", "sure", sum((F.bit_count(n) for n in bits), F.lit(0)).alias("n"))
     if plural:
-        doubt = _kept(hits.filter("not sure").drop("sure"))
+        hits = stored(hits)
+        doubt = _small(hits.filter("not sure").drop("sure"))
         held = doubt.join(chunks.select("path", "ordinal", "text"), ["path", "ordinal"]).join(_small(words), "query_id")
         held = held.filter(T.like_any(F.col("text"), F.col("words"))).select("query_id", "path", "ordinal", "of", "n")
         hits = hits.filter("sure").drop("sure").unionByName(held)
     return _top(hits.withColumn("score", F.col("n") / F.col("of")), k, F.desc("score")).select("query_id", "path", "ordinal", "score", "rank")
 
 
-def text_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def text_topk(chunks: DataFrame, queries: DataFrame, k: int, postings: DataFrame | None = None, buckets: int = P.BUCKETS) -> DataFrame:
     """text_hits with section and text: query_id, path, section, text, ordinal, score, rank."""
-    return fetched(text_hits(chunks, queries, k), chunks, queries, k)
+    return fetched(text_hits(chunks, queries, k, postings, buckets), chunks, queries, k)
 
 
 def fetched(hits: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -78,12 +84,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df, if it is small, with its rows at hand, so that they are not computed again, and broadcast; else as it is."""
-    rows = df.limit(BROADCAST_ROWS + 1).collect()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= BROADCAST_ROWS else df
-
-
 def vector_hits(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact nearest neighbours: query_id, path, ordinal, score (cosine of unit vectors), rank.
 

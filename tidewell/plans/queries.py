@@ -19,6 +19,7 @@ from tidewell.plans import evaluate
 from tidewell.plans.search import Options, results_json, search_batch
 from tidewell.sources import files as files_source
 from tidewell.sources.embed import HashEmbedder, embedding
+from tidewell.sources.shared import spread
 from tidewell.sources.store import delete_by_path, latest_paths, replace_by_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,7 @@ def _path() -> F.Column:
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select("doc_id", _path().alias("path"), (F.col("doc_id") + 1700000000).alias("mtime"), "source", "lang", "text")
+    return spread(_table(spark, d, "documents")).select("doc_id", _path().alias("path"), (F.col("doc_id") + 1700000000).alias("mtime"), "source", "lang", "text")
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
