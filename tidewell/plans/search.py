@@ -28,8 +28,8 @@ class SearchError(ValueError):
     """The query cannot be answered as it stands."""
 
 
-def search_batch(chunks: DataFrame, queries: DataFrame, options: Options = Options(), embedder: Embedder | None = None) -> DataFrame:  # noqa: B008
-    """queries: query_id, query, and vector unless an embedder makes it. -> query_id, path, section, text, ordinal, score, rank.
+def search_batch(chunks: DataFrame, queries: DataFrame, options: Options = Options(), embedder: Embedder | None = None, postings: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """queries: query_id, query, and vector unless an embedder makes it; postings: those of the chunks, if they are at hand. -> query_id, path, section, text, ordinal, score, rank.
 
     Each half fetches limit rows, three times as many in hybrid mode, four times as many for a query that excludes anything;
     exclusions apply to the fetched rows, so fewer than limit may come back. A query's results do not depend on the others.
@@ -55,7 +55,7 @@ def search_batch(chunks: DataFrame, queries: DataFrame, options: Options = Optio
             raise SearchError(f"{options.mode} mode needs an embedder")
         halves.append(ops.vector_hits(chunks, vectors.select("query_id", "vector"), fetch))
     if options.mode != "vector":
-        halves.append(ops.text_hits(chunks, asked.select("query_id", "query"), fetch))
+        halves.append(ops.text_hits(chunks, asked.select("query_id", "query"), fetch, postings))
     if filtered:
         own = asked.select("query_id", "_terms", F.when(F.lit(always) | (F.size("_terms") > 0), F.lit(fetch)).otherwise(F.lit(plain)).alias("_fetch"))
         halves = [ops.fetched(h, chunks, asked, fetch).join(own, "query_id").filter(F.col("rank") <= F.col("_fetch")) for h in halves]
