@@ -2,6 +2,7 @@
 
 import http.server
 import json
+import os
 import threading
 
 import duckdb
@@ -25,14 +26,14 @@ def asked(spark, query, vector=None):
 
 
 def test_text_half(spark):
-    c = chunks(spark, ("a", "", "prepare the approach and draft", None), ("b", "", "my draft PRs", None), ("c", "", "…Лениво", None))
-    assert [r["path"] for r in S.text_topk(c, asked(spark, "PR"), 5).collect()] == ["b"]
-    assert [r["path"] for r in S.text_topk(c, asked(spark, "лениво"), 5).collect()] == ["c"]
+    c = chunks(spark, ("a", "", "the boathouse has a keel", None), ("b", "", "keel of two BOAs", None), ("c", "", "…Маяк", None))
+    assert [r["path"] for r in S.text_topk(c, asked(spark, "BOA"), 5).collect()] == ["b"]
+    assert [r["path"] for r in S.text_topk(c, asked(spark, "маяк"), 5).collect()] == ["c"]
     assert S.text_topk(c, asked(spark, "the and"), 5).count() == 0
-    both = S.text_topk(c, asked(spark, "draft prs"), 5).orderBy("rank").collect()
+    both = S.text_topk(c, asked(spark, "keel boas"), 5).orderBy("rank").collect()
     assert [(r["path"], r["score"]) for r in both] == [("b", 1.0), ("a", 0.5)]
     # plural query words need their raw form in the text, or another word that has it
-    assert S.text_topk(chunks(spark, ("x", "", "one pr", None)), asked(spark, "prs"), 5).count() == 0
+    assert S.text_topk(chunks(spark, ("x", "", "one boa", None)), asked(spark, "boas"), 5).count() == 0
 
 
 def test_vector_half(spark):
@@ -148,9 +149,9 @@ def test_store(spark, tmp_path):
 def test_ingest_and_cli(spark, tmp_path, capsys):
     root = tmp_path / "docs"
     root.mkdir()
-    (root / "go.md").write_text("# Go\nchannels and goroutines")
+    (root / "sea.md").write_text("# Sea\ncurrents and sandbanks")
     (root / "bad.docx").write_text("broken")
-    (root / "t.csv").write_text("name,role\nann,dev\n")
+    (root / "t.csv").write_text("port,depth\nLindau,4\n")
     db = str(tmp_path / "db")
     store = ChunkStore(spark, db)
     stats, failures = ingest.ingest(store, [str(root)], HashEmbedder())
@@ -165,15 +166,15 @@ def test_ingest_and_cli(spark, tmp_path, capsys):
         ingest.ingest(store, [str(root)], HashEmbedder(8))
     with pytest.raises(SearchError):
         search(store, "-only", Options(), HashEmbedder())
-    found = json.loads(api.search_notes(store, "goroutines", HashEmbedder()))
-    assert found[0]["path"].endswith("go.md") and found[0]["score"] == 1.0 and found[0]["section"] == "Go"
+    found = json.loads(api.search_notes(store, "sandbanks", HashEmbedder()))
+    assert found[0]["path"].endswith("sea.md") and found[0]["score"] == 1.0 and found[0]["section"] == "Sea"
     assert json.loads(api.index_status(store)) == {"chunks": 1, "embedder": "fake/32"}
     assert len(json.loads(api.list_files(store))) == 1
     golden = tmp_path / "g.yaml"
-    golden.write_text("- query: goroutines\n  expect: [go.md]\n- query: nothing here\n  expect: [x.md]\n")
+    golden.write_text("- query: sandbanks\n  expect: [sea.md]\n- query: nothing here\n  expect: [x.md]\n")
     assert cli.main(["--db", db, "eval", str(golden), "--mode", "text"], spark) == 0
     assert "recall@5 0.50 (1/2)   MRR 0.500   mode=text" in capsys.readouterr().out
-    assert cli.main(["--db", db, "search", "channels", "--json"], spark) == 0
+    assert cli.main(["--db", db, "search", "currents", "--json"], spark) == 0
     assert cli.main(["--db", db, "flush", "--force"], spark) == 0 and store.count() == 0
 
 
@@ -206,6 +207,59 @@ def test_each_text_is_embedded_once(spark, tmp_path):
     assert stats.line() == "10 chunks indexed, 10 in the database"
 
 
+def test_unchanged_text_is_not_embedded_again(spark, tmp_path):
+    """A changed file sends its new text only; a forced run over the same files sends nothing."""
+    for name in ("docs", "seen"):
+        (tmp_path / name).mkdir()
+    seen = lambda: sorted(f.read_text() for f in (tmp_path / "seen").iterdir())
+    note = tmp_path / "docs" / "log.md"
+    note.write_text("# Monday\ncalm\n# Tuesday\nstorm")
+    store, embedder = ChunkStore(spark, str(tmp_path / "db")), CountingEmbedder(str(tmp_path / "seen"))
+    ingest.ingest(store, [str(tmp_path / "docs")], embedder)
+    first = seen()
+    assert len(first) == 2
+    ingest.ingest(store, [str(tmp_path / "docs")], embedder, force=True)
+    assert seen() == first
+    note.write_text("# Sunday\nfog\n# Monday\ncalm\n# Tuesday\nstorm")
+    os.utime(note, (1, 1))
+    ingest.ingest(store, [str(tmp_path / "docs")], embedder)
+    assert len(seen()) == 3 and any("fog" in t for t in seen())
+    rows = store.chunks().orderBy("ordinal").collect()
+    assert [(r["section"], r["ordinal"], len(r["vector"]), r["mtime"]) for r in rows] == [("Sunday", 0, 2, 1), ("Monday", 1, 2, 1), ("Tuesday", 2, 2, 1)]
+
+
+class EditingEmbedder(CountingEmbedder):
+    """Changes a file while the texts are embedded: the given number of times."""
+
+    def __init__(self, folder, path, times):
+        super().__init__(folder)
+        self.path, self.times = path, times
+
+    def embed(self, texts):
+        n = len(os.listdir(self.folder))
+        if texts and n < self.times:
+            with open(self.path, "w") as f:
+                f.write(f"edit {n + 1}")
+            os.utime(self.path, (1000 + n, 1000 + n))
+        return super().embed(texts)
+
+
+@pytest.mark.parametrize(("times", "known"), [(1, True), (99, False)])
+def test_files_edited_during_a_run(spark, tmp_path, times, known):
+    """A file that is edited between read and commit is read again; one that never rests is taken up by the next run."""
+    for name in ("docs", "seen"):
+        (tmp_path / name).mkdir()
+    note = tmp_path / "docs" / "a.md"
+    note.write_text("first")
+    store = ChunkStore(spark, str(tmp_path / "db"))
+    ingest.ingest(store, [str(tmp_path / "docs")], EditingEmbedder(str(tmp_path / "seen"), str(note), times))
+    row = store.chunks().first()
+    assert store.count() == 1 and row["text"] == (f"edit {times}" if known else f"edit {ingest.ROUNDS}")
+    assert (row["mtime"] == int(note.stat().st_mtime)) == known
+    stats, _ = ingest.ingest(store, [str(tmp_path / "docs")], CountingEmbedder(str(tmp_path / "seen")))
+    assert stats.total == (0 if known else 1) and store.chunks().first()["text"] == note.read_text()
+
+
 def test_a_query_does_not_depend_on_its_neighbours(spark):
     rng = np.random.default_rng(3)
     unit = lambda v: (v / np.linalg.norm(v)).tolist()

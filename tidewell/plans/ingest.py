@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import embedding_text
 from tidewell.operators import ingest_diff
 from tidewell.sources.embed import Embedder, embedding
-from tidewell.sources.files import discover, read_files
+from tidewell.sources.files import changed, clean, discover, read_files
 from tidewell.sources.files import chunk_files as chunk
+from tidewell.sources.shared import stored
 from tidewell.sources.store import ChunkStore
 
+#: How often files that change during a run are read again.
+ROUNDS = 2
+
 
 class IngestError(RuntimeError):
     """The run cannot start, or some files failed."""
@@ -45,10 +49,21 @@ def guard_embedder(store: ChunkStore, embedder: Embedder) -> None:
         raise IngestError(f"the database was built with {known}, not {embedder.id}: reindex")
 
 
-def embed_chunks(chunks: DataFrame, files: DataFrame, embedder: Embedder, home: str = "") -> DataFrame:
-    """chunks ready to store: the vector is that of the enriched text, the stored text stays as it is."""
-    vector = embedding(embedder, embedding_text("path", "section", "text", home))
-    return chunks.join(files.select("path", "mtime"), "path").withColumn("vector", vector)
+def embed_chunks(chunks: DataFrame, files: DataFrame, embedder: Embedder, home: str = "", known: DataFrame | None = None) -> DataFrame:
+    """chunks ready to store: the vector is that of the enriched text, the stored text stays as it is.
+
+    known: chunks with vectors of the same embedder. A chunk whose enriched text is that of one of them takes its vector, so text that
+    did not change is not embedded again, wherever in its file it stands.
+    """
+    enriched = embedding_text("path", "section", F.coalesce("text", F.lit("")), home)
+    rows = chunks.join(files.select("path", "mtime"), "path")
+    if known is None:
+        return rows.withColumn("vector", embedding(embedder, enriched))
+    old = known.join(files.select("path"), "path", "left_semi").filter("vector is not null")
+    old = old.groupBy("path", F.sha2(enriched.cast("binary"), 256).alias("_key")).agg(F.min("vector").alias("_known"))
+    rows = rows.withColumn("_key", F.sha2(enriched.cast("binary"), 256)).join(old, ["path", "_key"], "left")
+    rows = rows.withColumn("vector", embedding(embedder, F.when(F.col("_known").isNull(), enriched)))
+    return rows.withColumn("vector", F.coalesce("_known", "vector")).drop("_key", "_known")
 
 
 def apply_files(store: ChunkStore, read: DataFrame, embedder: Embedder, home: str = "", parsers: dict | None = None) -> tuple[int, DataFrame]:
@@ -58,7 +73,8 @@ def apply_files(store: ChunkStore, read: DataFrame, embedder: Embedder, home: st
     """
     chunks, failures = chunk(read, parsers)
     chunks, failures = chunks.cache(), failures.cache()
-    store.upsert(embed_chunks(chunks, read, embedder, home))
+    known = store.chunks(store.buckets_of(read)) if store.version() else None
+    store.upsert(embed_chunks(chunks, read, embedder, home, known))
     empty = read.select("path").join(chunks.select("path").distinct(), "path", "left_anti").join(failures, "path", "left_anti")
     if not empty.isEmpty():
         store.delete(empty)
@@ -70,13 +86,15 @@ def apply_files(store: ChunkStore, read: DataFrame, embedder: Embedder, home: st
 def ingest(store: ChunkStore, roots: list[str], embedder: Embedder, force: bool = False, reset: bool = False, parsers: dict | None = None, strict: bool = False) -> tuple[Stats, DataFrame]:
     """-> statistics and the failures (path, error). reset drops everything first; force reads unchanged files again.
 
-    A file without chunks loses those it had; one that fails keeps them. strict raises if a file failed.
+    A file without chunks loses those it had; one that fails keeps them. strict raises if a file failed. A file that is changed while
+    the run reads and embeds it is read again, ROUNDS times at most; if it still changes, its stored time is an old one and the next
+    run takes it.
     """
     spark = store.spark
     if reset:
         store.reset()
     guard_embedder(store, embedder)
-    roots = [os.path.normpath(r) for r in roots]
+    roots = [clean(r) for r in roots]
     files = discover(spark, roots).cache()
     known = store.paths()
     work = ingest_diff.work_list(files, known, force)
@@ -89,9 +107,19 @@ def ingest(store: ChunkStore, roots: list[str], embedder: Embedder, force: bool
         store.delete(gone)
     if not total:
         return Stats(0, 0, unchanged, removed, store.count()), spark.createDataFrame([], "path string, error string")
-    # few large files make few rows: one file a task at most
-    read = read_files(work.repartition(min(total, 4 * spark.sparkContext.defaultParallelism), "path")).cache()
-    written, failures = apply_files(store, read, embedder, os.path.expanduser("~"), parsers)
+    written, failures = 0, None
+    for again in range(ROUNDS + 1):
+        # few large files make few rows: one file a task at most
+        read = read_files(work.repartition(min(total, 4 * spark.sparkContext.defaultParallelism), "path")).cache()
+        more, failures_now = apply_files(store, read, embedder, os.path.expanduser("~"), parsers)
+        written += more
+        # a file that was read again counts as it was read last
+        failures = failures_now if failures is None else failures.join(read.select("path"), "path", "left_anti").unionByName(failures_now)
+        edited = stored(changed(work))
+        read.unpersist()
+        if again == ROUNDS or edited.isEmpty():
+            break
+        work = edited
     failed = failures.count()
     stats = Stats(total, failed, unchanged, removed, store.count(), written)
     if failed and strict:

@@ -119,11 +119,13 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def embedding(embedder: Embedder, text: Column) -> Column:
-    """The unit vector of a text column, as array<float>."""
+    """The unit vector of a text column, as array<float>; null texts are not embedded and have none."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(unit(embedder.embed(texts.fillna("").tolist()))) if len(texts) else [], dtype=object)
+            some = texts.dropna()
+            vectors = pd.Series(list(unit(embedder.embed(some.tolist()))) if len(some) else [], index=some.index, dtype=object)
+            yield vectors.reindex(texts.index).where(texts.notna(), None)
 
     return run(text)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import SPACE
 from tidewell.operators import chunking
 from tidewell.operators.chunking import MAX_CHUNK
+from tidewell.sources.shared import stored
 
 Chunk = tuple[str, str]  # section, text
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -39,31 +40,100 @@ def with_format(files: DataFrame, formats: dict[str, str] = FORMATS) -> DataFram
     return files.withColumn("ext", ext).withColumn("format", table[ext])
 
 
+#: Folder entries that a task sends on at once.
+_LISTED = 10_000
+_LISTING = "path string, folder boolean, mtime long, error string"
+
+
+def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
+    """(path, is a folder, mtime) of what a folder holds: of a local or mounted one, or of any store that Arrow opens (a URI). Links to
+    files count as files; links to folders are left out, so that a walk ends."""
+    if "://" in folder:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(folder)
+        prefix = folder.removesuffix(inner)
+        for info in store.get_file_info(fs.FileSelector(inner)):
+            yield prefix + info.path, info.type == fs.FileType.Directory, int(info.mtime_ns // 10**9) if info.mtime_ns else 0
+        return
+    with os.scandir(folder) as found:
+        for e in found:
+            if e.is_dir():
+                if not e.is_symlink():
+                    yield e.path, True, 0
+            else:
+                yield e.path, False, int(e.stat().st_mtime)
+
+
+def _listed(folders: DataFrame, formats: dict[str, str]) -> DataFrame:
+    """One step of the walk: the folders and files of a format directly below the given folders, listed on the executors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for batch in batches:
+            for folder in batch["path"]:
+                try:
+                    for path, inner, mtime in _entries(folder):
+                        if not os.path.basename(path).startswith(".") if inner else format_of(path, formats):
+                            rows.append((path, inner, mtime, None))
+                        if len(rows) >= _LISTED:
+                            yield pd.DataFrame(rows, columns=["path", "folder", "mtime", "error"])
+                            rows = []
+                except OSError as e:
+                    rows.append((folder, True, 0, str(e)))
+        yield pd.DataFrame(rows, columns=["path", "folder", "mtime", "error"])
+
+    return folders.select("path").mapInPandas(run, _LISTING)
+
+
+def _stat(path: str) -> tuple[bool, int]:
+    """(is a folder, mtime) of a root; OSError if there is none."""
+    if "://" in path:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        info = store.get_file_info(inner)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        return info.type == fs.FileType.Directory, int(info.mtime_ns // 10**9) if info.mtime_ns else 0
+    found = os.stat(path)
+    return os.path.isdir(path), int(found.st_mtime)
+
+
+def clean(path: str) -> str:
+    """A path without . and .. and repeated slashes; URIs only lose slashes at their end."""
+    return path.rstrip("/") if "://" in path else os.path.normpath(path)
+
+
 def discover(spark: SparkSession, roots: list[str], formats: dict[str, str] = FORMATS) -> DataFrame:
     """path, mtime of the files under the roots that have a format: hidden directories are skipped (hidden files are not),
-    paths are cleaned and distinct. A root that cannot be read is an error. Roots are local or mounted folders."""
-    found: dict[str, int] = {}
-    for root in roots:
-        root = os.path.normpath(root)
-        os.stat(root)
-        if os.path.isfile(root):
-            if format_of(root, formats):
-                found[root] = int(os.stat(root).st_mtime)
-            continue
+    paths are cleaned and distinct. A root or folder that cannot be read is an error.
+
+    A walk by levels: each round lists the folders of the last one on the executors, so the driver sees the roots and the number of
+    folders a level only. Roots are local or mounted folders, or URIs of a store that Arrow opens.
+    """
+    files, folders = [], []
+    for root in dict.fromkeys(map(clean, roots)):
+        inner, mtime = _stat(root)
         name = os.path.basename(root)
-        if name.startswith(".") and root != ".":
-            continue
-
-        def failed(error: OSError) -> None:
-            raise error
-
-        for folder, folders, files in os.walk(root, onerror=failed):
-            folders[:] = sorted(d for d in folders if not d.startswith("."))
-            for f in files:
-                path = os.path.normpath(os.path.join(folder, f))
-                if format_of(path, formats):
-                    found[path] = int(os.stat(path).st_mtime)
-    return spark.createDataFrame(sorted(found.items()), "path string, mtime long")
+        if not inner and format_of(root, formats):
+            files.append((root, mtime))
+        elif inner and (root == "." or not name.startswith(".")):
+            folders.append((root,))
+    found = spark.createDataFrame(files, "path string, mtime long")
+    level, open_ = spark.createDataFrame(folders, "path string"), len(folders)
+    while open_:
+        # far more folders than cores are dealt out again each round, as one of them may hold most of the next
+        level = level.repartition(min(open_, 4 * spark.sparkContext.defaultParallelism))
+        step = stored(_listed(level, formats))
+        failed = step.filter("error is not null").first()
+        if failed:
+            raise OSError(failed["error"])
+        found = found.unionByName(step.filter("not folder").select("path", "mtime"))
+        level = step.filter("folder").select("path")
+        open_ = level.count()
+    # roots may lie inside each other
+    return found.groupBy("path").agg(F.max("mtime").alias("mtime"))
 
 
 def hard_split(p: str) -> list[str]:
@@ -136,12 +206,15 @@ def chunk_csv(content: bytes, ext: str) -> list[Chunk]:
 
 
 class _Node:
+    """An element. size is that of lines() joined, added up from the leaves, so that no subtree is rendered only to be measured."""
+
     def __init__(self, name: str, attributes: list[tuple[str, str]]):
-        self.name, self.attributes, self.text, self.children = name, attributes, "", []
+        self.name, self.attributes, self.children, self.size = name, attributes, [], 0
+        self.parts: list[str] = []
 
     def own(self, prefix: str = "", name: str = "") -> list[str]:
         """The node's attributes and text as lines."""
-        text = self.text.strip(_SPACE)
+        text = "".join(self.parts).strip(_SPACE)
         return [f"{prefix}{k}: {v}" for k, v in self.attributes] + ([f"{name}: {text}" if name else text] if text else [])
 
     def lines(self) -> list[str]:
@@ -152,6 +225,18 @@ class _Node:
             todo += node.children[::-1]
         return out
 
+    def measure(self) -> None:
+        """Sets size of the node and all below, each from its children; within: of the lines below an element, each with its break."""
+        order, todo = [], [self]
+        while todo:
+            order.append(node := todo.pop())
+            todo += node.children
+        within: dict[int, int] = {}
+        for node in reversed(order):
+            below = sum(within.pop(id(c)) for c in node.children)
+            node.size = max(sum(len(x) + 1 for x in node.own()) + below - 1, 0)
+            within[id(node)] = sum(len(x) + 1 for x in node.own(node.name + " ", node.name)) + below
+
 
 _MARKUP = re.compile(r"<!--.*?-->|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<\?.*?\?>|<![^>]*>|</(?P<end>[^\s>]*)[^>]*>|<(?P<start>[^\s/>!?]+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/?)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
@@ -163,10 +248,10 @@ def parse_xml(text: str) -> _Node:
     open_nodes, at = [root], 0
     local = lambda name: name.rsplit(":", 1)[-1]
     for m in _MARKUP.finditer(text):
-        open_nodes[-1].text += unescape(text[at : m.start()])
+        open_nodes[-1].parts.append(unescape(text[at : m.start()]))
         at = m.end()
         if m["cdata"] is not None:
-            open_nodes[-1].text += m["cdata"]
+            open_nodes[-1].parts.append(m["cdata"])
         elif m["start"]:
             values = [(local(k), unescape(a or b or c)) for k, a, b, c in _ATTRIBUTE.findall(m["attrs"])]
             node = _Node(local(m["start"]), values)
@@ -175,7 +260,7 @@ def parse_xml(text: str) -> _Node:
                 open_nodes.append(node)
         elif m["end"] is not None and len(open_nodes) > 1:
             open_nodes.pop()
-    open_nodes[-1].text += unescape(text[at:])
+    open_nodes[-1].parts.append(unescape(text[at:]))
     return root
 
 
@@ -188,12 +273,13 @@ def chunk_xml(content: bytes) -> list[Chunk]:
         if text.strip(_SPACE):
             chunks.extend((section, part) for part in pack(text))
 
-    todo = [(n, n.name) for n in parse_xml(content.decode("utf-8", "replace")).children[::-1]]
+    root = parse_xml(content.decode("utf-8", "replace"))
+    root.measure()
+    todo = [(n, n.name) for n in root.children[::-1]]
     while todo:
         node, section = todo.pop()
-        lines = node.lines()
-        if not node.children or len("\n".join(lines)) <= MAX_CHUNK:
-            emit(lines, section)
+        if not node.children or node.size <= MAX_CHUNK:
+            emit(node.lines(), section)
         else:
             emit(node.own(), section)
             todo += [(c, f"{section} > {c.name}") for c in node.children[::-1]]
@@ -288,6 +374,36 @@ def chunk_parsed(files: DataFrame, parsers: dict[str, Callable[[bytes, str], lis
     return files.select("path", "format", "ext", "content").mapInPandas(run, CHUNKS + ", error string")
 
 
+def _content(path: str) -> bytes:
+    if "://" in path:
+        from pyarrow import fs
+
+        store, inner = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(inner) as f:
+            return f.read()
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def changed(files: DataFrame) -> DataFrame:
+    """Of files (path, mtime), those whose time is another one by now, with that time; looked up on the executors. Files that are gone
+    are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, mtime in zip(batch["path"], batch["mtime"], strict=True):
+                try:
+                    _, now = _stat(path)
+                except OSError:
+                    continue
+                if now != mtime:
+                    rows.append((path, now))
+            yield pd.DataFrame(rows, columns=["path", "mtime"]).astype({"mtime": "int64"})
+
+    return files.select("path", "mtime").mapInPandas(run, "path string, mtime long")
+
+
 def read_files(paths: DataFrame) -> DataFrame:
     """path, .. -> also content: files are read on the executors, which see the same folders as the driver. A file that cannot
     be read has null content and an error."""
@@ -298,8 +414,7 @@ def read_files(paths: DataFrame) -> DataFrame:
             content, error = [], []
             for p in batch["path"]:
                 try:
-                    with open(p, "rb") as f:
-                        content.append(f.read())
+                    content.append(_content(p))
                     error.append(None)
                 except OSError as e:
                     content.append(None)
@@ -321,8 +436,11 @@ def chunk_files(files: DataFrame, parsers: dict[str, Callable[[bytes, str], list
     good = typed.filter("error is null")
     is_pdf = (F.col("format") == "pages") & F.col("content").startswith(F.lit(b"%PDF"))
     plain = good.filter(~is_pdf).withColumn("text", text).select("path", "format", "text")
-    pages = extract_pages(good.filter(is_pdf))
-    parsed = chunk_parsed(good.filter(~F.col("format").isin("markdown", "pages")), parsers)
+    pages = extract_pages(good.filter(is_pdf)).withColumns({"section": F.lit(None).cast("string"), "ordinal": F.lit(None).cast("int"), "pdf": F.lit(True)})
+    parsed = chunk_parsed(good.filter(~F.col("format").isin("markdown", "pages")), parsers).withColumn("pdf", F.lit(False))
+    # written, as chunks and failures both read it: each file is parsed once
+    parsed = stored(parsed.unionByName(pages))
+    pages, parsed = parsed.filter("pdf").select("path", "text", "error"), parsed.filter("not pdf").drop("pdf")
     chunks = (
         chunking.chunk_markdown(plain.filter("format = 'markdown'"))
         .unionByName(chunking.chunk_pages(plain.filter("format = 'pages'").select("path", "text").unionByName(pages.filter("error is null").drop("error"))))

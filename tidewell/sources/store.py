@@ -72,6 +72,10 @@ class ChunkStore:
             return self.spark.createDataFrame([], CHUNK_SCHEMA)
         return self.spark.read.schema(CHUNK_SCHEMA).parquet(*paths)
 
+    def buckets_of(self, paths: DataFrame) -> list[int]:
+        """The buckets of the paths (a DataFrame with path): `buckets` numbers at most."""
+        return sorted(r["b"] for r in paths.select(self._bucket().alias("b")).distinct().collect())
+
     def count(self) -> int:
         return self.chunks().count()
 
@@ -129,7 +133,7 @@ class ChunkStore:
 
     def delete(self, paths: DataFrame) -> None:
         """Removes all chunks of the paths (a DataFrame with path)."""
-        touched = [r["b"] for r in paths.select(self._bucket().alias("b")).distinct().collect()]
+        touched = self.buckets_of(paths)
         self._pinned = None
         last = self.version()
         if touched and last:
