@@ -28,6 +28,8 @@ SHARE = 50
 #: Bits of the bitmap of a level: 4 MB for each task, whatever the corpus.
 BITS = 1 << 25
 _SLICE = 1 << 20
+#: Parts that a group's candidates are ranked in first.
+PARTS = 32
 #: floor(1000000 * a * a / (l * r)) in decimals, exact for counts up to 10 ** 14.
 SCORE = """cast((cast(a as decimal(14, 0)) * cast(a as decimal(14, 0)) * cast(1000000 as decimal(7, 0)))
   div (cast(l as decimal(14, 0)) * cast(r as decimal(14, 0))) as long)"""
@@ -189,8 +191,11 @@ def mine(docs: DataFrame, text_col: str = "text", group_col: str = "lang", least
         inner = inner.groupBy("grp", "phrase").agg(F.max("f").alias("longer"))
         best = best.join(inner, ["grp", "phrase"], "left").filter(F.expr(f"longer is null or 100 * longer < {share} * a"))
 
-        first = Window.partitionBy("grp").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-        best = best.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= top)
+        # a group's first rows are those of its parts: no task sorts all candidates of a group
+        order = (F.desc("cut.score"), F.desc("a"), "phrase")
+        part = Window.partitionBy("grp", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*order)
+        best = best.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+        best = best.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(*order))).filter(F.col("rank") <= top)
         out = best.join(total, "grp")
         return keep(scratch.table(out.select(F.col("grp").alias("lang"), F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))))
 
