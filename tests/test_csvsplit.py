@@ -4,8 +4,11 @@ import random
 
 import pytest
 
+from tidewell.plans import ingest
 from tidewell.sources import csvsplit
 from tidewell.sources import files as fs
+from tidewell.sources.embed import HashEmbedder
+from tidewell.sources.store import ChunkStore
 
 
 def table(seed, rows, delimiter=","):
@@ -54,3 +57,25 @@ def test_splits_of_files(spark, tmp_path):
     for name, text in texts.items():
         got = [(r["section"], r["text"]) for r in sorted(chunks, key=lambda r: r["ordinal"]) if r["path"] == str(tmp_path / name)]
         assert got == fs.chunk_csv(text.encode(), name[-4:]), name
+
+
+def test_large_files_are_ingested_in_splits(spark, tmp_path, monkeypatch):
+    """Large and small files of one run; a broken large one is listed and stops nothing."""
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    large, small = table(7, 120), table(8, 5)
+    (docs / "large.csv").write_bytes(large.encode())
+    (docs / "small.csv").write_bytes(small.encode())
+    (docs / "note.md").write_text("fog")
+    (docs / "broken.csv").write_bytes(b"a,b\n" + b"1,x\ry\n" * 2000)
+    monkeypatch.setattr(ingest, "LARGE_CSV", 4000)
+    store = ChunkStore(spark, str(tmp_path / "db"))
+    stats, failures = ingest.ingest(store, [str(docs)], HashEmbedder())
+    assert (stats.total, stats.failed) == (4, 1) and [r["path"] for r in failures.collect()] == [str(docs / "broken.csv")]
+    rows = store.chunks().collect()
+    for name, text in (("large.csv", large), ("small.csv", small)):
+        got = [(r["section"], r["text"]) for r in sorted(rows, key=lambda r: r["ordinal"]) if r["path"] == str(docs / name)]
+        assert got == fs.chunk_csv(text.encode(), ".csv")
+    assert stats.written == len(rows) == store.count()
+    stats, _ = ingest.ingest(store, [str(docs)], HashEmbedder())
+    assert (stats.total, stats.skipped) == (1, 3)

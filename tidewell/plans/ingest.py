@@ -5,19 +5,23 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import embedding_text
 from tidewell.operators import ingest_diff
+from tidewell.sources.csvsplit import chunk_csv_lines, read_lines
 from tidewell.sources.embed import Embedder, embedding
-from tidewell.sources.files import changed, clean, discover, read_files
+from tidewell.sources.files import changed, clean, discover, read_files, sizes, with_format
 from tidewell.sources.files import chunk_files as chunk
 from tidewell.sources.shared import stored
 from tidewell.sources.store import ChunkStore
 
 #: How often files that change during a run are read again.
 ROUNDS = 2
+#: CSV files of more bytes are read in splits.
+LARGE_CSV = 64 << 20
 
 
 class IngestError(RuntimeError):
@@ -83,6 +87,27 @@ def apply_files(store: ChunkStore, read: DataFrame, embedder: Embedder, home: st
     return written, failures
 
 
+def apply_large_csv(store: ChunkStore, work: DataFrame, embedder: Embedder, home: str = "", over: int | None = None) -> tuple[int, DataFrame, DataFrame]:
+    """CSV files of more than `over` bytes are read in splits, one file after the other, and never stand in one row -> chunks written,
+    the failures (path, error), and the files that are left."""
+    spark, over = store.spark, LARGE_CSV if over is None else over
+    csv = with_format(work).filter("format = 'csv'").select("path")
+    large = [r["path"] for r in sizes(csv).filter(F.col("size") > over).collect()]  # few, as they are large
+    written, failed = 0, []
+    for path in large:
+        try:
+            chunks = stored(chunk_csv_lines(read_lines(spark, path).withColumn("path", F.lit(path))))
+            file = work.filter(F.col("path") == path)
+            known = store.chunks(store.buckets_of(file)) if store.version() else None
+            store.upsert(embed_chunks(chunks, file, embedder, home, known))
+            if chunks.isEmpty():
+                store.delete(file)
+            written += chunks.count()
+        except PySparkException as e:  # one broken file must not end the run
+            failed.append((path, str(e)[:1000]))
+    return written, spark.createDataFrame(failed, "path string, error string"), work.filter(~F.col("path").isin(large)) if large else work
+
+
 def ingest(store: ChunkStore, roots: list[str], embedder: Embedder, force: bool = False, reset: bool = False, parsers: dict | None = None, strict: bool = False) -> tuple[Stats, DataFrame]:
     """-> statistics and the failures (path, error). reset drops everything first; force reads unchanged files again.
 
@@ -107,14 +132,15 @@ def ingest(store: ChunkStore, roots: list[str], embedder: Embedder, force: bool
         store.delete(gone)
     if not total:
         return Stats(0, 0, unchanged, removed, store.count()), spark.createDataFrame([], "path string, error string")
-    written, failures = 0, None
+    written, failures, small = apply_large_csv(store, work, embedder, os.path.expanduser("~"))
+    work = stored(small)
     for again in range(ROUNDS + 1):
         # few large files make few rows: one file a task at most
         read = read_files(work.repartition(min(total, 4 * spark.sparkContext.defaultParallelism), "path")).cache()
         more, failures_now = apply_files(store, read, embedder, os.path.expanduser("~"), parsers)
         written += more
         # a file that was read again counts as it was read last
-        failures = failures_now if failures is None else failures.join(read.select("path"), "path", "left_anti").unionByName(failures_now)
+        failures = failures.join(read.select("path"), "path", "left_anti").unionByName(failures_now)
         edited = stored(changed(work))
         read.unpersist()
         if again == ROUNDS or edited.isEmpty():

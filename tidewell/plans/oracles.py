@@ -108,6 +108,17 @@ ORACLES = {
           UNION ALL SELECT r.line, CASE WHEN s.used + r.n + 2 > 1500 THEN r.line ELSE s.first END, CASE WHEN s.used + r.n + 2 > 1500 THEN r.n + 2 ELSE s.used + r.n + 2 END,
             CASE WHEN s.used + r.n + 2 > 1500 THEN r.n ELSE s.size + 2 + r.n END FROM s JOIN r ON r.line = s.line + 1)
         SELECT 'nation.csv' AS path, 'rows ' || first || '-' || max(line) AS section, max(size)::BIGINT AS characters, (row_number() OVER (ORDER BY first) - 1)::INT AS ordinal FROM s GROUP BY first""",
+    # each row's next chunk, if one begins with it, by binary search in the running sizes; then the chain of chunks from the first row
+    "chunk_csv_splits": """WITH RECURSIVE r AS (
+          SELECT row_number() OVER (ORDER BY o_orderkey) + 1 AS no, 'order: ' || o_orderkey || chr(10) || 'customer: ' || o_custkey || chr(10) || 'status: ' || o_orderstatus
+            || CASE WHEN o_custkey % 3 = 0 THEN chr(10) || 'note: of customer ' || o_custkey || chr(10) || 'by "sea", or so' ELSE '' END AS t FROM orders),
+        s AS (SELECT no, t, sum(length(t) + 2) OVER (ORDER BY no) AS upto, sum(length(t) + 2) OVER (ORDER BY no) - length(t) - 2 AS below FROM r),
+        j AS (SELECT a.no, b.no AS next FROM s a ASOF LEFT JOIN s b ON a.below + 1500 < b.upto),
+        c AS (SELECT no, next FROM j WHERE no = 2 UNION ALL SELECT j.no, j.next FROM c JOIN j ON j.no = c.next),
+        e AS (SELECT no AS first, coalesce(next - 1, (SELECT max(no) FROM r)) AS last FROM c),
+        x AS (SELECT first, last, string_agg(t, chr(10) || chr(10) ORDER BY no) AS text FROM e JOIN s ON no BETWEEN first AND last GROUP BY ALL)
+        SELECT 'orders.csv' AS path, CASE WHEN last > first THEN 'rows ' || first || '-' || last ELSE 'row ' || first END AS section, (row_number() OVER (ORDER BY first) - 1)::INT AS ordinal,
+          strlen(text)::BIGINT AS bytes, md5(text) AS md5 FROM x""",
     "chunk_xml_catalog": "SELECT n_nationkey || '.xml' AS path, 'nation' AS section, 'id: ' || n_nationkey || chr(10) || 'name: ' || n_name || chr(10) || 'region: ' || n_regionkey AS text, 0 AS ordinal FROM nation",
     "failed_files_dead_letter": "SELECT n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '.docx' ELSE '.md' END AS path, n_nationkey % 2 = 0 AS failed, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE n_name END AS text FROM nation",
     "path_words": f"WITH {_FILES} SELECT path, 'docs ' || source || ' ' || lang || ' ' || doc_id AS words FROM f",

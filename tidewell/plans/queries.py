@@ -17,6 +17,7 @@ from tidewell.operators import chunking, ingest_diff
 from tidewell.operators import search as S
 from tidewell.plans import evaluate
 from tidewell.plans.search import Options, results_json, search_batch
+from tidewell.sources import csvsplit
 from tidewell.sources import files as files_source
 from tidewell.sources.embed import HashEmbedder, embedding
 from tidewell.sources.shared import spread
@@ -140,6 +141,17 @@ def chunk_csv_files(spark: SparkSession, d: str) -> DataFrame:
     return files_source.chunk_files(files)[0].select("path", "section", F.length("text").cast("long").alias("characters"), "ordinal")
 
 
+def chunk_csv_splits(spark: SparkSession, d: str) -> DataFrame:
+    """orders as one CSV file of quoted fields with breaks, quotes and commas, its lines dealt in blocks as a reader's splits are."""
+    key = F.col("o_orderkey").cast("string")
+    note = F.concat(F.lit('"of customer '), F.col("o_custkey").cast("string"), F.lit('\nby ""sea"", or so"'))
+    record = F.concat_ws(",", key, F.col("o_custkey").cast("string"), F.col("o_orderstatus"), F.when(F.col("o_custkey") % 3 == 0, note).otherwise(F.lit("")))
+    rows = _table(spark, d, "orders").select(F.expr("o_orderkey div 500").alias("block"), (F.col("o_orderkey") * 2 + 2).alias("at"), F.posexplode(F.split(record, "\n")).alias("k", "line"))
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("no"), F.lit("order,customer,status,note").alias("line"))
+    lines = head.unionByName(rows.select("block", (F.col("at") + F.col("k")).alias("no"), "line"))
+    return _digest(csvsplit.chunk_csv_lines(lines.select(F.lit("orders.csv").alias("path"), "block", "no", "line")))
+
+
 def chunk_xml_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Each nation as an XML file."""
     body = F.format_string('<nation id="%s"><name>%s</name><region>%s</region></nation>', F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
@@ -325,7 +337,7 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("path", embedding(HashEmbedder(), F.col("text")).alias("v")).select("path", *_numbers(F.col("v")))
 
 
-ALL = (discover_dispatch, chunk_hard_split, chunk_pack_paragraphs, chunk_markdown_sections, chunk_markdown_fences, chunk_pdf_pages, chunk_docx_files, chunk_xml_subtrees, chunk_csv_rows, chunk_csv_files, chunk_xml_catalog, failed_files_dead_letter, path_words, embedding_text, incremental_skip, incremental_work, vanished_files, upsert_replace_by_path, delete_paths, count_chunks, paths_latest, list_files, query_words, word_set_size, parse_exclusions, text_search, normalize_vectors, vector_search, filter_excluded, rrf_merge, hybrid_search, hybrid_search_filtered, hybrid_search_mixed, search_mode_text, search_mode_vector, first_expected_rank, eval_recall_mrr, eval_overall, snippets, score_bands, search_results_json, hash_embed)
+ALL = (discover_dispatch, chunk_hard_split, chunk_pack_paragraphs, chunk_markdown_sections, chunk_markdown_fences, chunk_pdf_pages, chunk_docx_files, chunk_xml_subtrees, chunk_csv_rows, chunk_csv_files, chunk_csv_splits, chunk_xml_catalog, failed_files_dead_letter, path_words, embedding_text, incremental_skip, incremental_work, vanished_files, upsert_replace_by_path, delete_paths, count_chunks, paths_latest, list_files, query_words, word_set_size, parse_exclusions, text_search, normalize_vectors, vector_search, filter_excluded, rrf_merge, hybrid_search, hybrid_search_filtered, hybrid_search_mixed, search_mode_text, search_mode_vector, first_expected_rank, eval_recall_mrr, eval_overall, snippets, score_bands, search_results_json, hash_embed)
 
 
 def queries() -> dict[str, Query]:

@@ -404,6 +404,27 @@ def changed(files: DataFrame) -> DataFrame:
     return files.select("path", "mtime").mapInPandas(run, "path string, mtime long")
 
 
+def sizes(files: DataFrame) -> DataFrame:
+    """path, size (bytes; 0 if it cannot be told) of files (path), looked up on the executors."""
+
+    def size(path: str) -> int:
+        try:
+            if "://" in path:
+                from pyarrow import fs
+
+                store, inner = fs.FileSystem.from_uri(path)
+                return store.get_file_info(inner).size or 0
+            return os.stat(path).st_size
+        except OSError:
+            return 0
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(size=[size(p) for p in batch["path"]])
+
+    return files.select("path").mapInPandas(run, "path string, size long")
+
+
 def read_files(paths: DataFrame) -> DataFrame:
     """path, .. -> also content: files are read on the executors, which see the same folders as the driver. A file that cannot
     be read has null content and an error."""
