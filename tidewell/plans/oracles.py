@@ -128,6 +128,8 @@ ORACLES = {
     "vanished_files": f"WITH {_KNOWN} SELECT path, mtime FROM k WHERE path LIKE 'docs/src1/%' AND path NOT IN (SELECT path FROM f)",
     "upsert_replace_by_path": f"WITH {_FILES} SELECT path, CASE WHEN lang = 'en' THEN 'new' ELSE 'old' END AS state FROM f",
     "delete_paths": f"WITH {_FILES} SELECT path, mtime FROM f WHERE lang <> 'de'",
+    "store_replace_and_delete": f"""WITH {_CHUNKS} SELECT path || '#0' AS id, path, 0 AS ordinal, section, md5(CASE WHEN section = 'en' THEN text || ' (new)' ELSE text END) AS md5,
+        CASE WHEN section = 'en' THEN mtime + 1 ELSE mtime END AS mtime, len(e.embedding)::INT AS dim FROM c JOIN embeddings e ON e.vec_id = c.doc_id WHERE section <> 'de'""",
     "count_chunks": "SELECT count(*) AS chunks FROM documents",
     "paths_latest": f"WITH {_FILES} SELECT path, mtime FROM f",
     "list_files": f"WITH {_FILES} SELECT path, strftime(make_timestamp(mtime * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS modified FROM f",
@@ -154,6 +156,8 @@ ORACLES = {
     "search_mode_vector": f"WITH {_CHUNKS}, {_VEC} SELECT query_id, path, section, md5(text) AS md5, round(score, 5) AS score, rank FROM vec WHERE rank <= 5",
     "hybrid_search_filtered": _hybrid("60", "NOT contains(lower(text || chr(10) || section), 'idiot') AND NOT contains(path, '/src1/')"),
     "first_expected_rank": f'{_RANKS} SELECT query_id, "set", rank FROM ranks',
+    "eval_cases": f"""{_RANKS}, cases AS (SELECT "set", query_id, rank, (row_number() OVER (PARTITION BY "set" ORDER BY query_id))::INT AS no FROM ranks)
+        SELECT cases."set", no, cases.query_id, cases.rank, txt.path AS found FROM cases LEFT JOIN txt ON txt.query_id = cases.query_id AND txt.rank = cases.rank""",
     "eval_recall_mrr": f'{_RANKS} SELECT "set", {_METRICS} FROM ranks GROUP BY "set"',
     "eval_overall": f"{_RANKS} SELECT {_METRICS} FROM ranks",
     "snippets": rf"""WITH {_FILES}, s AS (SELECT path, trim(regexp_replace(text, '{_S}+', ' ', 'g')) AS t FROM f)

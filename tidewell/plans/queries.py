@@ -20,8 +20,8 @@ from tidewell.plans.search import Options, results_json, search_batch
 from tidewell.sources import csvsplit
 from tidewell.sources import files as files_source
 from tidewell.sources.embed import HashEmbedder, embedding
-from tidewell.sources.shared import spread
-from tidewell.sources.store import delete_by_path, latest_paths, replace_by_path
+from tidewell.sources.shared import new_folder, spread, stored
+from tidewell.sources.store import ChunkStore, delete_by_path, latest_paths, replace_by_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -205,6 +205,24 @@ def delete_paths(spark: SparkSession, d: str) -> DataFrame:
     return delete_by_path(f.select("path", "mtime"), f.filter("lang = 'de'").select("path"))
 
 
+def store_replace_and_delete(spark: SparkSession, d: str) -> DataFrame:
+    """A chunk table as it stands after its writers: all documents with a vector, then those in English with a new text and time, then
+    without those in German. The ids give back the chunks' numbers."""
+    store = ChunkStore(spark, new_folder(spark, "store"))
+    chunks = stored(_vectors(spark, d).drop("doc_id"))
+    store.upsert(chunks)
+    store.upsert(chunks.filter("section = 'en'").withColumns({"text": F.concat("text", F.lit(" (new)")), "mtime": F.col("mtime") + 1}))
+    store.delete(chunks.filter("section = 'de'").select("path"))
+    return store.chunks().select("id", "path", T.ordinal_of("id").alias("ordinal"), "section", F.md5("text").alias("md5"), "mtime", F.size("vector").alias("dim"))
+
+
+def eval_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The report of each golden case: its number in its set, the rank and the path of the first expected result."""
+    golden = _queries(spark, d).select("query_id", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd").alias("set"), "query", F.array(F.concat(F.lit("/"), F.col("query_id").cast("string"), F.lit(".md")), F.lit("0.md"), F.lit("5.md")).alias("expect"))
+    cases = evaluate.case_report(S.text_topk(_chunks(spark, d), _queries(spark, d), 10), golden)
+    return cases.select("set", F.col("no").cast("int").alias("no"), "query_id", F.col("rank").cast("int").alias("rank"), "found")
+
+
 def count_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).agg(F.count("*").alias("chunks"))
 
@@ -337,7 +355,7 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("path", embedding(HashEmbedder(), F.col("text")).alias("v")).select("path", *_numbers(F.col("v")))
 
 
-ALL = (discover_dispatch, chunk_hard_split, chunk_pack_paragraphs, chunk_markdown_sections, chunk_markdown_fences, chunk_pdf_pages, chunk_docx_files, chunk_xml_subtrees, chunk_csv_rows, chunk_csv_files, chunk_csv_splits, chunk_xml_catalog, failed_files_dead_letter, path_words, embedding_text, incremental_skip, incremental_work, vanished_files, upsert_replace_by_path, delete_paths, count_chunks, paths_latest, list_files, query_words, word_set_size, parse_exclusions, text_search, normalize_vectors, vector_search, filter_excluded, rrf_merge, hybrid_search, hybrid_search_filtered, hybrid_search_mixed, search_mode_text, search_mode_vector, first_expected_rank, eval_recall_mrr, eval_overall, snippets, score_bands, search_results_json, hash_embed)
+ALL = (discover_dispatch, chunk_hard_split, chunk_pack_paragraphs, chunk_markdown_sections, chunk_markdown_fences, chunk_pdf_pages, chunk_docx_files, chunk_xml_subtrees, chunk_csv_rows, chunk_csv_files, chunk_csv_splits, chunk_xml_catalog, failed_files_dead_letter, path_words, embedding_text, incremental_skip, incremental_work, vanished_files, upsert_replace_by_path, delete_paths, store_replace_and_delete, count_chunks, paths_latest, list_files, query_words, word_set_size, parse_exclusions, text_search, normalize_vectors, vector_search, filter_excluded, rrf_merge, hybrid_search, hybrid_search_filtered, hybrid_search_mixed, search_mode_text, search_mode_vector, first_expected_rank, eval_cases, eval_recall_mrr, eval_overall, snippets, score_bands, search_results_json, hash_embed)
 
 
 def queries() -> dict[str, Query]:

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import chunk_id
+
 CHUNK_SCHEMA = "id string, path string, section string, text string, vector array<float>, mtime long, ordinal int"
 META_SCHEMA = "key string, value string"
 
@@ -113,7 +115,7 @@ class ChunkStore:
         """Replaces all chunks of the paths in chunks (path, section, text, vector, mtime, ordinal). Without rows nothing
         happens. All vectors must be as long as the table's. The rows are written first, which computes their vectors once;
         what is checked, and joined with the old rows of their buckets, is what was written."""
-        chunks = chunks.select(F.concat("path", F.lit("#"), F.col("ordinal").cast("string")).alias("id"), "path", F.coalesce("section", F.lit("")).alias("section"), "text", "vector", F.col("mtime").cast("long").alias("mtime"), F.col("ordinal").cast("int").alias("ordinal"))
+        chunks = chunks.select(chunk_id("path", "ordinal").alias("id"), "path", F.coalesce("section", F.lit("")).alias("section"), "text", "vector", F.col("mtime").cast("long").alias("mtime"), F.col("ordinal").cast("int").alias("ordinal"))
         self._pinned = None
         last = self.version()
         known, target = self.dimension(), f"{self.root}/data/v={last + 1}"
