@@ -144,6 +144,7 @@ ORACLES = {
         n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM s),
         u AS (SELECT vec_id, list_transform(e, lambda x: (x::DOUBLE / n::FLOAT::DOUBLE)::FLOAT) AS v FROM n) SELECT vec_id, {_NUMBERS} FROM u""",
     "vector_search": f"WITH {_CHUNKS}, {_VEC} SELECT query_id, path, round(score, 5) AS score, rank FROM vec WHERE rank <= 10",
+    "vector_search_pivots": f"WITH {_CHUNKS}, {_VEC} SELECT query_id, path, round(score, 5) AS score, rank FROM vec WHERE rank <= 10",
     "filter_excluded": f"""WITH {_TEXT} SELECT query_id, path FROM txt WHERE rank <= 10
         AND NOT contains(lower(text || chr(10) || section), 'the and') AND NOT contains(lower(path), 'src1/')""",
     "rrf_merge": f"""WITH {_LISTS}, l AS (SELECT query_id, path, up AS rank, 0 AS list FROM n WHERE up <= 4 UNION ALL SELECT query_id, path, down, 1 FROM n WHERE down <= 3),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.functions import vectors as V
-from tidewell.operators import chunking, ingest_diff
+from tidewell.operators import chunking, ingest_diff, pivots
 from tidewell.operators import search as S
 from tidewell.plans import evaluate
 from tidewell.plans.search import Options, results_json, search_batch
@@ -269,6 +269,14 @@ def vector_search(spark: SparkSession, d: str) -> DataFrame:
     return S.vector_topk(_vectors(spark, d), _queries(spark, d), 10).select("query_id", "path", F.round("score", 5).alias("score"), "rank")
 
 
+def vector_search_pivots(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of vector_search, from a table in cells around pivots of which only the parts that can hold them are read."""
+    folder = new_folder(spark, "pivots")
+    pivots.write(_vectors(spark, d), folder)
+    found = pivots.vector_hits(*pivots.read(spark, folder), _queries(spark, d), 10)
+    return found.select("query_id", "path", F.round("score", 5).alias("score"), "rank")
+
+
 def filter_excluded(spark: SparkSession, d: str) -> DataFrame:
     found = S.text_topk(_chunks(spark, d), _queries(spark, d), 10)
     return S.filter_excluded(found, F.array(F.lit("THE and")), F.array(F.lit("SRC1/"))).select("query_id", "path")
@@ -355,7 +363,7 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("path", embedding(HashEmbedder(), F.col("text")).alias("v")).select("path", *_numbers(F.col("v")))
 
 
-ALL = (discover_dispatch, chunk_hard_split, chunk_pack_paragraphs, chunk_markdown_sections, chunk_markdown_fences, chunk_pdf_pages, chunk_docx_files, chunk_xml_subtrees, chunk_csv_rows, chunk_csv_files, chunk_csv_splits, chunk_xml_catalog, failed_files_dead_letter, path_words, embedding_text, incremental_skip, incremental_work, vanished_files, upsert_replace_by_path, delete_paths, store_replace_and_delete, count_chunks, paths_latest, list_files, query_words, word_set_size, parse_exclusions, text_search, normalize_vectors, vector_search, filter_excluded, rrf_merge, hybrid_search, hybrid_search_filtered, hybrid_search_mixed, search_mode_text, search_mode_vector, first_expected_rank, eval_cases, eval_recall_mrr, eval_overall, snippets, score_bands, search_results_json, hash_embed)
+ALL = (discover_dispatch, chunk_hard_split, chunk_pack_paragraphs, chunk_markdown_sections, chunk_markdown_fences, chunk_pdf_pages, chunk_docx_files, chunk_xml_subtrees, chunk_csv_rows, chunk_csv_files, chunk_csv_splits, chunk_xml_catalog, failed_files_dead_letter, path_words, embedding_text, incremental_skip, incremental_work, vanished_files, upsert_replace_by_path, delete_paths, store_replace_and_delete, count_chunks, paths_latest, list_files, query_words, word_set_size, parse_exclusions, text_search, normalize_vectors, vector_search, vector_search_pivots, filter_excluded, rrf_merge, hybrid_search, hybrid_search_filtered, hybrid_search_mixed, search_mode_text, search_mode_vector, first_expected_rank, eval_cases, eval_recall_mrr, eval_overall, snippets, score_bands, search_results_json, hash_embed)
 
 
 def queries() -> dict[str, Query]:
