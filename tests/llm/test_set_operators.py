@@ -79,9 +79,64 @@ def test_mixing(spark, seed):
     whole = scratch.table(df)
     grown = mixing.expand(whole)
     assert grown.schema == SCHEMA and grown.count() == sum(r["copies"] for r in got)
+    assert Counter((r["doc_id"], r["source"]) for r in grown.collect()) == Counter((r["doc_id"], r["source"]) for r in got for _ in range(r["copies"]))
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def slow_copies(rows, solved, goals, cap=3, corrections=4):
+    """(source, size) -> copies: systematic rounding of the tilted rates, then corrections, in integers."""
+    n = Counter((s, size) for s, size, _ in rows)
+    out = {}
+    for source in {s for s, _ in n}:
+        upto = 0
+        for size in sorted(z for s, z in n if s == source):
+            lam, mean, full = solved.get(source, (0.0, 1.0, False))
+            rate = 1.0 if not size else float(cap) if full else min(float(cap), math.exp(min(lam * size / mean, 50.0)))
+            before, upto = upto, upto + math.floor(rate * 2**32 * n[source, size])
+            out[source, size] = min((upto + 2**31 >> 32) - (before + 2**31 >> 32), cap * n[source, size])
+        for _ in range(corrections):
+            gap = goals[source] - sum(c * z for (s, z), c in out.items() if s == source)
+            fits = [z for s, z in out if s == source and z and (out[s, z] < cap * n[s, z] if gap > 0 else out[s, z] > 0)]
+            better = [(abs(abs(gap) - z), z) for z in fits if abs(abs(gap) - z) < abs(gap)]
+            if not better:
+                break
+            out[source, min(better)[1]] += 1 if gap > 0 else -1
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_mixing_copies(spark, monkeypatch, limit):
+    """Every row's copies against brute force, with many equal rows, by both joins of the plan."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
+    rng = random.Random(8)
+    rows = [(i, words(rng, rng.randrange(1, 30)), "en", rng.choice(("a", "b", "c", "d", None))) for i in range(500)]
+    rows += [(None, "always the same", "en", "a")] * 150 + [(7, "twice " * 9, "en", "d")] * 40 + [(600, "", "en", "a"), (601, None, "en", "c")]
+    whole = scratch.table(frame(spark, rows, 5))
+    narrow = scratch.table(mixing._narrow(scratch.keyed(whole, "doc_id"), "doc_id", "text", "source", 7)).collect()
+    sizes = Counter()
+    for r in narrow:
+        sizes[r["source"]] += r["size"]
+    hist = Counter((r["source"], r["size"]) for r in narrow if r["size"])
+    h = spark.createDataFrame([(*k, n) for k, n in hist.items()], "source string, size long, n long")
+    goals = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    solved = {r["source"]: (r["lam"], r["mean"], r["full"]) for r in mixing.multipliers(h, scratch.table(goals), 3.0, 40, 1e-7).collect()}
+    copies = slow_copies([(r["source"], r["size"], None) for r in narrow], solved, {r["source"]: r["target"] for r in goals.collect()})
+    want, groups = Counter(), defaultdict(list)
+    for r in narrow:
+        groups[r["source"], r["size"]].append((r["_key"], r["_no"], r["doc_id"]))
+    for (source, size), members in groups.items():
+        base, more = divmod(copies[source, size], len(members))
+        for k, (_, _, i) in enumerate(sorted(members, key=lambda m: m[:2])):
+            want[i, source, size, base + (k < more)] += 1
+    got = mixing.mix(whole).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in got) == want
+    grown = Counter((r["doc_id"], r["text"], r["source"]) for r in mixing.expand(whole).collect())
+    assert sum(grown.values()) == sum(c * n for (_, _, _, c), n in want.items())
+    for i, text, _, source in set(rows):
+        size = len((text or "").split())
+        assert grown[i, text, source] == sum(c * n for (j, s, z, c), n in want.items() if (j, s, z) == (i, source, size)), i
+
+
 def test_mixing_precision():
     for f in (mixing.mix, mixing._mix):
         given = inspect.signature(f).parameters

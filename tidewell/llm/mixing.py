@@ -6,6 +6,9 @@ x = tokens of the document / token-weighted mean of its source. Safeguarded Newt
 histogram (source, size, documents), which has one row per source and size however many documents there are. The rates
 are then rounded into whole copies by systematic rounding along the sizes, whose error stays below about one document per
 source, and a few corrections of one document each bring the rest down.
+
+The copies of one source and size are dealt evenly, one more for the documents with the smallest hashes. The last of these
+is found once, so every document decides by itself: what goes to the documents is a table of sources and sizes.
 """
 
 from __future__ import annotations
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import scratch
 
+#: Rows of (source, size) up to which the plan is broadcast (about 64 bytes each). Beyond it is joined by shuffles.
+BROADCAST_ROWS = 1 << 20
+
 
 def word_count(text: Column) -> Column:
     r"""Number of [^\x20\x09-\x0D]+ in the text; null has none."""
@@ -94,7 +100,7 @@ def mix(
     weights: tuple[int, ...] = (1, 2, 3),
     cap: int = 3,
     seed: int = 7,
-    cells: int = 256,
+    bits: int = 12,
     rounds: int = 40,
     tolerance: float = 1e-7,
     corrections: int = 4,
@@ -102,63 +108,108 @@ def mix(
     """One row per input row: doc_id, size, source_size, target, taken, copies, source, _no (a key).
 
     Null texts and ids are allowed, null is a source of its own (the last). A document without words has one copy and takes
-    nothing. Columns other than the three are ignored, whatever their names. Rows of one id differ by their text's hash; wholly equal rows are interchangeable, so reruns agree. An empty
-    table gives an empty result. Documents of one source and size are dealt over `cells` cells by hash, so even a third of
-    all rows with one text is ranked in pieces. `corrections` documents per source at most change by one copy at the end.
+    nothing. Columns other than the three are ignored, whatever their names. Rows of one id differ by their text's hash; wholly
+    equal rows are interchangeable, so reruns agree. An empty table gives an empty result. Documents of one source and size
+    are counted in 2 ** bits ranges of their hash and only one range of them is ranked; `corrections` documents per source
+    at most change by one copy at the end.
     """
-    return _mix(scratch.keyed(docs, id_col), id_col, text_col, source_col, weights, cap, seed, cells, rounds, tolerance, corrections)
+    return _mix(scratch.keyed(docs, id_col), id_col, text_col, source_col, weights, cap, seed, bits, rounds, tolerance, corrections)
 
 
-def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, cells: int = 256, rounds: int = 40, tolerance: float = 1e-7, corrections: int = 4) -> DataFrame:
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 7, bits: int = 12, rounds: int = 40, tolerance: float = 1e-7, corrections: int = 4) -> DataFrame:
     with scratch.steps(docs.sparkSession) as keep:
-        return keep(scratch.table(_dealt(docs, id_col, text_col, source_col, weights, cap, seed, cells, rounds, tolerance, corrections)))
-
-
-def _dealt(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], cap: int, seed: int, cells: int, rounds: int, tolerance: float, corrections: int) -> DataFrame:
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        word_count(F.col(text_col)).alias("size"),
-        F.col(source_col).alias("source"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_key"),
-        F.col("__tw_key").alias("_no"),
-    )
-    rows = scratch.table(rows.withColumn("_cell", F.pmod(F.xxhash64("_key"), F.lit(cells)).cast("int")))
-    plan = copies_by_cell(rows, weights, cap, rounds, tolerance, corrections)
-    rank = F.row_number().over(Window.partitionBy("source", "size", "_cell").orderBy("_key", "doc_id", "_no"))
-    dealt = rows.withColumn("_rank", rank).join(
-        plan, _same("source", "_s") & (F.col("size") == F.col("_size")) & (F.col("_cell") == F.col("_c"))
-    )
-    extra = F.when(F.col("_rank") <= F.expr("_copies % _n"), 1).otherwise(0)
-    copies = (F.expr("_copies div _n") + extra).cast("long")
-    return dealt.withColumn("copies", copies).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "_no"
-    )
-
-
-def copies_by_cell(rows: DataFrame, weights: tuple[int, ...], cap: int, rounds: int, tolerance: float, corrections: int) -> DataFrame:
-    """_s, _size, _c (cell), _n documents, _copies to take of them all, source_size, target."""
-    cell = scratch.table(rows.groupBy("source", "size", "_cell").agg(F.count("*").alias("n")))
-    histogram = scratch.table(cell.groupBy("source", "size").agg(F.sum("n").alias("n")))
+        rows = scratch.table(_narrow(docs, id_col, text_col, source_col, seed))
+        plan = _plan(rows, weights, cap, bits, rounds, tolerance, corrections)
+        return keep(scratch.table(_dealt(rows, plan)))
+
+
+def _marks(id_col: str, text_col: str, source_col: str, seed: int) -> list[Column]:
+    """size, source, _key (the hash that deals out copies)."""
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    return [word_count(F.col(text_col)).alias("size"), F.col(source_col).alias("source"), key.alias("_key")]
+
+
+def _narrow(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """doc_id, size, source, _key, _no of keyed docs."""
+    return docs.select(F.col(id_col).alias("doc_id"), *_marks(id_col, text_col, source_col, seed), F.col("__tw_key").alias("_no"))
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (source, size, _key, _no) with their row of the plan and their copies."""
+    up_to = (F.col("_key") == F.col("_cut_key")) & F.coalesce(F.col("_no") <= F.col("_cut_no"), F.lit(True))
+    more = F.when((F.col("_key") < F.col("_cut_key")) | up_to, 1).otherwise(0)
+    return rows.join(plan, _same("source", "_s") & (F.col("size") == F.col("_size"))).withColumn("copies", F.col("_base") + more)
+
+
+def _dealt(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    dealt = _with_copies(rows, F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan)
+    return dealt.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source", "_no")
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], cap: int, bits: int, rounds: int, tolerance: float, corrections: int) -> DataFrame:
+    """A table with one row per source and size: _s, _size, _base copies of each document, one more up to the document with the
+    hash _cut_key (of equal hashes, up to the key _cut_no; null: all), source_size, target."""
+    plan = scratch.table(copies_by_size(rows, weights, cap, rounds, tolerance, corrections))
+    by = ["_s", "_size"]
+    rows = rows.select(F.col("source").alias("_s"), F.col("size").alias("_size"), "_key", "_no")
+    hashes = rows.groupBy(*by, "_key").agg(F.count("*").alias("m"))
+    more = plan.filter("_copies % _n > 0").select(*by, F.expr("_copies % _n").alias("want"))
+    cut = scratch.table(_nth(hashes, more, "_key", F.shiftright("_key", 64 - bits)))
+    # equal hashes: rows of one id and text; which of them does not matter, how many does
+    ties = cut.filter("want < m").select(F.col("_s").alias("s2"), F.col("_size").alias("size2"), F.col("_key").alias("key2"), "want")
+    equal = rows.join(ties, _same("_s", "s2") & (F.col("_size") == F.col("size2")) & (F.col("_key") == F.col("key2"))).select(*by, "_no", F.lit(1).alias("m"))
+    last = _nth(equal, ties.select(F.col("s2").alias("_s"), F.col("size2").alias("_size"), "want"), "_no", F.shiftright("_no", 33))
+    cut = _left(cut.select(*by, F.col("_key").alias("_cut_key")), last.select(*by, F.col("_no").alias("_cut_no")))
+    full = _left(plan, cut).withColumn("_base", F.expr("_copies div _n"))
+    return scratch.table(full.select(*by, "_base", "_cut_key", "_cut_no", "source_size", "target"))
+
+
+def _left(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left join on _s (null is a value) and _size."""
+    right = right.withColumnsRenamed({"_s": "_rs", "_size": "_rsize"})
+    return left.join(right, _same("_s", "_rs") & (F.col("_size") == F.col("_rsize")), "left").drop("_rs", "_rsize")
+
+
+def _nth(items: DataFrame, wanted: DataFrame, order: str, cell: Column) -> DataFrame:
+    """_s, _size, order, m, want: for each source and size in wanted the item that holds the want-th unit in the order of the items
+    (m units each), and the place of that unit within it.
+
+    cell rises with the order. Cells are counted first (map-side combined), and only the items of one cell are put in order.
+    """
+    items = items.withColumn("cell", cell)
+    wanted = wanted.withColumnsRenamed({"_s": "_ws", "_size": "_wsize"})
+    per = items.groupBy("_s", "_size", "cell").agg(F.sum("m").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("_s", "_size").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    per = per.join(wanted, _same("_s", "_ws") & (F.col("_size") == F.col("_wsize"))).withColumn("upto", upto)
+    hit = per.filter("upto >= want and upto - k < want").select("_ws", "_wsize", F.col("cell").alias("_wcell"), F.expr("want - upto + k").alias("want"))
+    inside = items.join(hit, _same("_s", "_ws") & (F.col("_size") == F.col("_wsize")) & (F.col("cell") == F.col("_wcell")))
+    upto = F.sum("m").over(Window.partitionBy("_s", "_size").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("upto", upto).filter("upto >= want and upto - m < want").select("_s", "_size", order, "m", F.expr("want - upto + m").alias("want"))
+
+
+def copies_by_size(rows: DataFrame, weights: tuple[int, ...], cap: int, rounds: int, tolerance: float, corrections: int) -> DataFrame:
+    """_s, _size, _n documents, _copies to take of them all, source_size, target."""
+    histogram = scratch.table(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     sizes = histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     goals = scratch.cut(targets(sizes, weights, float(cap)))
     solved = multipliers(histogram.filter("size > 0"), goals, float(cap), rounds, tolerance)
 
     rate = F.when(F.col("full"), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.coalesce(F.col("lam") * F.col("size") / F.col("mean"), F.lit(0.0)), F.lit(50.0)))))
-    rated = cell.withColumnRenamed("source", "_s").join(solved, _same("_s", "source"), "left").drop("source")
+    # a document without words takes nothing at any rate and stays once
+    rate = F.when(F.col("size") > 0, F.coalesce(rate, F.lit(1.0))).otherwise(F.lit(1.0))
+    rated = histogram.withColumnRenamed("source", "_s").join(solved, _same("_s", "source"), "left").drop("source")
     # rates in units of 2^-32 add up exactly in any order
-    rated = rated.withColumn("_want", F.floor(F.coalesce(rate, F.lit(1.0)) * (1 << 32) * F.col("n")).cast("decimal(38,0)"))
-    # prefix sums along the sizes in two levels: 32 bands per doubling of the size, then cells inside a band
+    rated = rated.withColumn("_want", F.floor(rate * (1 << 32) * F.col("n")).cast("decimal(38,0)"))
+    # prefix sums along the sizes in two levels: 32 bands per doubling of the size, then sizes inside a band
     rated = rated.withColumn("_band", F.floor(F.log2(F.col("size") + 1) * 32).cast("int"))
-    inside = Window.partitionBy("_s", "_band").orderBy("size", "_cell").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_s", "_band").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     bands = rated.groupBy("_s", "_band").agg(F.sum("_want").alias("_sum"))
     upto = Window.partitionBy("_s").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     bands = bands.select(F.col("_s").alias("_bs"), F.col("_band").alias("_bb"), F.coalesce(F.sum("_sum").over(upto), F.lit(0).cast("decimal(38,0)")).alias("_skip"))
     summed = rated.withColumn("_upto", F.sum("_want").over(inside)).join(bands, _same("_s", "_bs") & (F.col("_band") == F.col("_bb")))
     high = F.floor((F.col("_skip") + F.col("_upto") + (1 << 31)) / F.lit(1 << 32)).cast("long")
     low = F.floor((F.col("_skip") + F.col("_upto") - F.col("_want") + (1 << 31)) / F.lit(1 << 32)).cast("long")
-    rounded = scratch.table(
-        summed.select("_s", F.col("size").alias("_size"), F.col("_cell").alias("_c"), F.col("n").alias("_n"), F.least(high - low, F.lit(cap) * F.col("n")).alias("_copies"))
-    )
+    rounded = scratch.table(summed.select("_s", F.col("size").alias("_size"), F.col("n").alias("_n"), F.least(high - low, F.lit(cap) * F.col("n")).alias("_copies")))
     return _corrected(rounded, goals, cap, corrections)
 
 
@@ -171,19 +222,43 @@ def _corrected(rounded: DataFrame, goals: DataFrame, cap: int, corrections: int)
         room = F.when(F.col("_gap") > 0, F.col("_copies") < F.lit(cap) * F.col("_n")).otherwise(F.col("_copies") > 0)
         left = F.abs(F.abs("_gap") - F.col("_size"))
         better = plan.join(gap, _same("_s", "_gs")).filter((F.col("_size") > 0) & room & (left < F.abs("_gap")))
-        pick = better.groupBy("_gs").agg(F.min_by(F.struct("_size", "_c", F.signum("_gap").cast("long").alias("sign")), F.struct(left, F.col("_size"), F.col("_c"))).alias("p"))
-        pick = scratch.cut(pick.select("_gs", F.col("p._size").alias("_ps"), F.col("p._c").alias("_pc"), F.col("p.sign").alias("_sign")))
+        pick = better.groupBy("_gs").agg(F.min_by(F.struct("_size", F.signum("_gap").cast("long").alias("sign")), F.struct(left, F.col("_size"))).alias("p"))
+        pick = scratch.cut(pick.select("_gs", F.col("p._size").alias("_ps"), F.col("p.sign").alias("_sign")))
         if pick.isEmpty():
             break
-        plan = plan.join(pick, _same("_s", "_gs") & (F.col("_size") == F.col("_ps")) & (F.col("_c") == F.col("_pc")), "left")
-        plan = plan.select("_s", "_size", "_c", "_n", (F.col("_copies") + F.coalesce(F.col("_sign"), F.lit(0))).alias("_copies"))
-    return plan.join(goals, _same("_s", "source")).select("_s", "_size", "_c", "_n", "_copies", "source_size", "target")
+        plan = plan.join(pick, _same("_s", "_gs") & (F.col("_size") == F.col("_ps")), "left")
+        plan = plan.select("_s", "_size", "_n", (F.col("_copies") + F.coalesce(F.col("_sign"), F.lit(0))).alias("_copies"))
+    return plan.join(goals, _same("_s", "source")).select("_s", "_size", "_n", "_copies", "source_size", "target")
 
 
-def expand(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def expand(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (1, 2, 3),
+    cap: int = 3,
+    seed: int = 7,
+    bits: int = 12,
+    rounds: int = 40,
+    tolerance: float = 1e-7,
+    corrections: int = 4,
+) -> DataFrame:
     """The mixed corpus itself: every row of docs as often as its copies say, in docs' columns, whatever their names. A row without
-    words stays once, whatever its source; repeated rows have copies of their own. Empty in, empty out."""
+    words stays once, whatever its source; repeated rows have copies of their own. Empty in, empty out.
+
+    Rows decide by the broadcast plan and do not move. A plan too large for that (BROADCAST_ROWS) costs one shuffle of docs.
+    """
     rows = scratch.keyed(docs, id_col)
-    plan = _mix(rows, id_col, text_col, source_col, **options).select(F.col("_no").alias("__tw_key"), F.col("copies").alias("__tw_copies"))
-    repeated = rows.join(plan, "__tw_key").filter("__tw_copies > 0").withColumn("__tw_i", F.explode(F.expr("sequence(1, cast(__tw_copies as int))")))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    with scratch.steps(docs.sparkSession) as keep:
+        narrow = scratch.table(_narrow(rows, id_col, text_col, source_col, seed))
+        plan = keep(_plan(narrow, weights, cap, bits, rounds, tolerance, corrections))
+        names = [f"c{i}" for i in range(len(docs.columns))]  # the columns of docs may have any names
+        rows = rows.toDF(*names, "_no")
+        if plan.count() <= BROADCAST_ROWS:
+            marks = _marks(*(names[docs.columns.index(c)] for c in (id_col, text_col, source_col)), seed)
+            dealt = _with_copies(rows.select("*", *marks), F.broadcast(plan))
+        else:
+            dealt = rows.join(keep(scratch.table(_with_copies(narrow, plan).select("_no", "copies"))), "_no")
+    repeated = dealt.filter("copies > 0").withColumn("i", F.explode(F.expr("sequence(1, cast(copies as int))")))
+    return repeated.select(*names).toDF(*docs.columns)
