@@ -278,6 +278,42 @@ def test_ibans_and_scores_against_brute_force():
             assert pii.score(text, a, b, "iban") == pytest.approx(0.95 if near & set(pii.CONTEXT["iban"]) else 0.9)
 
 
+def slow_grouped(text):
+    """From each word on, the longest row of groups (single spaces between) that is an IBAN; the next one begins after it."""
+    found = list(re.finditer(r"[A-Za-z0-9]+", text))
+    out, i = [], 0
+    while i < len(found):
+        hit = None
+        for n in range(4, 10):
+            part = found[i : i + n]
+            whole = "".join(m[0] for m in part)
+            joined = len(part) == n and text[part[0].start() : part[-1].end()] == " ".join(m[0] for m in part)
+            fours = all(len(m[0]) == 4 for m in part[:-1]) and len(part[-1][0]) <= 4
+            if joined and fours and 15 <= len(whole) <= 34 and slow_iban(whole) == [(0, len(whole))]:
+                hit = n
+        if hit:
+            out.append((found[i].start(), found[i + hit - 1].end()))
+        i += hit or 1
+    return out
+
+
+def test_grouped_ibans_against_brute_force():
+    assert pii.spans("to DE89 3704 0044 0532 0130 00 NOW") == [(3, 4, 30)]
+    rng, hits = random.Random(3), 0
+    for _ in range(400):
+        text = ""
+        for _ in range(rng.randrange(1, 4)):
+            body = "".join(rng.choice("ABCXYZ0123456789") for _ in range(rng.choice((10, 11, 12, 16, 18, 20, 23, 30, 31))))
+            country = rng.choice(("DE", "GB", "ES"))
+            check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+            whole = f"{country}{check if rng.random() < 0.8 else 11:02d}{body}"
+            text += rng.choice(("é ", "ACCT ", "A1B2 ", "x", "", "DE12 ")) + " ".join(whole[k : k + 4] for k in range(0, len(whole), 4)) + rng.choice((" ", ". ", " NEXT ", " to ", "  ", " A "))
+        got = [(a, b) for a, k, b in pii.spans(text) if k == 4]
+        assert got == sorted(slow_grouped(text)), text
+        hits += len(got)
+    assert hits > 200
+
+
 def items(spark, *texts):
     return spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "item_id long, text string, doc_id string")
 

@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust their score.
 
 Kinds: email, ip (parts at most 255), card (14 to 19 digits, Luhn), phone (10 to 15 digits) and, added by the checksum
-step, iban (two letters, two digits, 11 to 30 letters or digits, mod-97). Every pattern takes time linear in the text.
+step, iban (two letters, two digits, 11 to 30 letters or digits, mod-97; in one run or printed in groups of four). Every pattern takes time linear in the text.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
+_IBAN_GROUPS = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -51,6 +52,21 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def grouped_ibans(text: str) -> Iterator[tuple[int, int]]:
+    """IBANs in groups of four, the last one of one to four, with a space between. Capitals that follow look like further groups, so
+    from each start the longest part with the right remainder counts (nine groups at most, so at most six are tried)."""
+    m = _IBAN_GROUPS.search(text)
+    while m:
+        groups, end = m[0].split(" "), None
+        for n in range(len(groups), 3, -1):
+            whole = "".join(groups[:n])
+            if 15 <= len(whole) <= 34 and mod97(whole):
+                end = m.start() + len(whole) + n - 1
+                yield m.start(), end
+                break
+        m = _IBAN_GROUPS.search(text, end or m.start() + 1)
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost non-overlapping matches: each @ takes the local characters before it and the longest domain after it."""
     done = 0
@@ -87,6 +103,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     for m in _IBAN.finditer(text):
         if mod97(m[0]):
             found.append((m.start(), 4, m.end()))
+    found += [(a, 4, b) for a, b in grouped_ibans(text)]
     return sorted(found)
 
 
