@@ -261,7 +261,7 @@ def slow_lines(rows):
 
 @pytest.mark.parametrize("rows", [NASTY, [(i, t.replace(" ", "\n", 1), a, b) for i, t, a, b in family(3, 40)]])
 def test_line_dedup(spark, rows):
-    got = linededup.dedup_lines(frame(spark, rows))
+    got = linededup.dedup_lines(frame(spark, rows), shingle=5)
     assert Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["removed"]) for r in got.collect()) == slow_lines(rows)
 
 
@@ -278,7 +278,7 @@ def test_line_dedup_by_words(spark, rows):
             gone += [k] if any(similar(s, o) for o in seen) else []
             seen += [s] if s else []
         want[(i, len(lines), len(gone), ",".join(map(str, gone)))] += 1
-    got = Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["removed"]) for r in linededup.dedup_lines(frame(spark, rows), shingle=1).collect())
+    got = Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["removed"]) for r in linededup.dedup_lines(frame(spark, rows)).collect())
     assert got == want and got[(3001, 1, 1, "0")] and got[(3002, 2, 1, "1")]
 
 

@@ -1,6 +1,7 @@
 """Language ID, licences, personal data and decontamination against brute force."""
 
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -36,6 +37,7 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([got[r[0]]["lang_pred"] == r[2] for r in held]) > 0.95
     assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3 and got[None]["lang_pred"] == "en"
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["score"] for r in got.values() if r["lang_pred"] == "und"} == {0.0} and all(r["score"] >= 0.5 for r in got.values() if r["lang_pred"] != "und")
 
 
 def test_language_without_labels_or_rows(spark):
@@ -134,6 +136,43 @@ def test_language_stage_rejects_what_no_language_predicts(spark):
     assert langid.keep_identified(empty(spark)).count() == 0
 
 
+FOREIGN = [
+    "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.",
+    "今日は天気がいいから散歩に行きましょう。明日は雨が降るかもしれません。",
+    "天地玄黄，宇宙洪荒。日月盈昃，辰宿列张。",
+    "أهلا وسهلا بكم في مدينتنا الجميلة",
+    "x = {k: f(v) for k, v in d.items() if not _q(k)}; #!/bin/sh && [[ $X -gt 0x7F ]]",
+]
+
+
+def test_language_stage_rejects_scripts_that_no_tree_has_learned(spark):
+    """Neither tree codes them below 8 bits a byte, or below the byte frequencies; their scores tell that both trees fail alike."""
+    rows = [*lingual(), *[(1000 + i, t * n, None, "s") for i, t in enumerate(FOREIGN) for n in (1, 30)]]
+    assert sorted(r["doc_id"] for r in langid.keep_identified(frame(spark, rows)).collect()) == list(range(200))
+    got = {r["doc_id"]: r["score"] for r in langid.train_and_identify(frame(spark, rows)).collect()}
+    known = np.mean([got[i] for i in range(200)])
+    assert all(0.5 <= got[1000 + i] < known for i in range(4))
+    # a script is known once rows of it are learned
+    more = [(2000 + i, FOREIGN[0], "ru", "s") for i in range(8)]
+    assert {1000} <= {r["doc_id"] for r in langid.keep_identified(frame(spark, [*rows, *more])).collect()}
+
+
+def test_language_sample_is_bounded_in_bytes(spark):
+    """Documents beyond the sixteenth of the bound are not learned from, but identified; a language of such documents only is not learned."""
+    rows = [*lingual(400), (1000, speech(random.Random(5), EN, 4000), "long", "s"), (1001, speech(random.Random(6), FR, 4000), "fr", "s")]
+    docs = frame(spark, rows)
+
+    def bytes_seen(model):
+        # each byte of the sample is one count
+        return pickle.loads(zlib.decompress(model)).count.sum()
+
+    assert pickle.loads(zlib.decompress(langid.fit(docs))).languages == ["en", "fr", "long"]
+    model = langid.fit(docs, sample_bytes=16_384)
+    assert pickle.loads(zlib.decompress(model)).languages == ["en", "fr"] and bytes_seen(model) < 2 * 2 * 16_384 < bytes_seen(langid.fit(docs))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert got[1000] == "en" and got[1001] == "fr" and np.mean([got[i] == ("en" if i % 2 else "fr") for i in range(400)]) > 0.95
+
+
 LICENCES = [
     (1, "Released under the MIT License. The mit-license!", "en", "s"),
     (2, "This work is licensed under the GNU General Public License, version 3.", "en", "s"),
@@ -341,6 +380,16 @@ def test_decontamination(spark):
     assert decontam.find(frame(spark, docs), none).count() == 0 and decontam.keep_clean(frame(spark, docs), none).count() == len(docs)
 
 
+def test_number_words_are_numbers(spark):
+    item = "Farmer Jones owns 12 cows and buys 5 more cows at the market so how many cows does the farmer own"
+    spelt = "Farmer Smith owns twelve cows and buys Five more cows at the market so how many cows does the farmer own"
+    docs = [(1, spelt, "en", "s"), (2, spelt.replace("twelve", "30"), "en", "s"), (3, spelt.upper(), "en", "s"), (4, "twelve cows and five more of them went to the market", "en", "s")]
+    twice = "a box holds 12 red balls and 12 blue balls so how many balls does the box of 12 hold"
+    docs += [(5, twice.replace("12", "seven", 1).replace("12", "7"), "en", "s"), (6, twice.replace("12", "seven", 1), "en", "s")]
+    got = decontam.find(frame(spark, docs), items(spark, item, twice)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 0), (2, 0), (3, 0), (5, 1)]
+
+
 def test_window_matches_are_complete():
     """Every shared canonical window is found, whatever the slices."""
     rng = random.Random(7)
@@ -400,13 +449,14 @@ def slow_words(text):
     for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text):
         w, low = m[0], re.sub("[A-Z]", lambda c: c[0].lower(), m[0])
         opens = prev is None or bool(re.search(r"[.!?:\n]", text[last_end : m.start()]))
-        number, capital = w[0] in "0123456789", w[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" and not (len(w) > 1 and w[1] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        unit = prev is not None and prev[0] in "0123456789" and not number and low in decontam.UNITS
+        number = w[0] in "0123456789" or low in decontam.NUMBER_WORDS
+        capital = not number and w[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" and not (len(w) > 1 and w[1] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        unit = prev and not number and low in decontam.UNITS
         kinds = []
         for name in (capital and not opens, False, capital):
             kinds.append("<unit>" if unit else "<name>" if name else "<number>" if number else low)
-        out.append((low, kinds, [k[0] != "<" for k in kinds]))
-        last_end, prev = m.end(), w
+        out.append((str(decontam.NUMBER_WORDS.get(low, low)), kinds, [k[0] != "<" for k in kinds]))
+        last_end, prev = m.end(), number
     return out
 
 

@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Documents and benchmark items become sequences of canonical words: lower case, without punctuation; numbers, names (a
-capital inside a sentence) and units after a number become typed placeholders. Windows of five canonical words, with three
+capital inside a sentence) and units after a number become typed placeholders. Numbers are words that begin with a digit and
+single number words, which have the value of their digits ("twelve" is 12; "one", mostly a pronoun, stays a word). Windows of five canonical words, with three
 literal words at least, are looked up in the items' windows (a hash join with the bounded item side held in memory, in
 blocks of items). Matches that lie on one diagonal (document position - item position) belong together: a document is
 contaminated by an item if the windows on its diagonals, all of them or those of one place in the document, cover enough of
@@ -45,6 +46,12 @@ UNITS = (
     "meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms second seconds minute minutes "
     "hour hours day days week weeks month months year years dollar dollars euro euros cent cents liter liters degree degrees"
 ).split()
+#: Number words and what they stand for.
+NUMBER_WORDS = {
+    "zero": 0, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
+    "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30,
+    "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000, "million": 1000000,
+}
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x11, 0x22, 0x33))
 #: Words of letters and digits; an inner dot or comma of a number separates two numbers.
 _TABLE = bytekit.ALNUM
@@ -56,7 +63,13 @@ def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return bytekit.stretch_hash(bytekit.prefix_hash(data), begin, end)
 
 
-_UNIT_HASHES = np.sort(np.array([_hashes(np.frombuffer(u.encode(), np.uint8), np.array([0]), np.array([len(u)]))[0] for u in UNITS], np.uint64))
+def _word_hashes(words: list[str]) -> np.ndarray:
+    return np.array([_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words], np.uint64)
+
+
+_UNIT_HASHES = np.sort(_word_hashes(UNITS))
+_SPELT, _DIGITS = _word_hashes(list(NUMBER_WORDS)), _word_hashes([str(n) for n in NUMBER_WORDS.values()])
+_SPELT, _DIGITS = _SPELT[np.argsort(_SPELT)], _DIGITS[np.argsort(_SPELT)]
 
 
 Form = tuple[np.ndarray, np.ndarray]
@@ -70,7 +83,10 @@ def _read(data: np.ndarray, offsets: np.ndarray) -> tuple[list[Form], np.ndarray
         return [(np.empty(0, np.uint64), np.empty(0, bool))] * 3, np.empty(0, np.uint64), np.empty(0, bool), first
     value = _hashes(data, begin, end)
     lead = data[begin]
-    number = (lead >= 48) & (lead <= 57)
+    spelt = np.minimum(np.searchsorted(_SPELT, value), len(_SPELT) - 1)
+    named = _SPELT[spelt] == value
+    value = np.where(named, _DIGITS[spelt], value)
+    number = named | (lead >= 48) & (lead <= 57)
     upper = (lead >= 65) & (lead <= 90)
     second = data[np.minimum(begin + 1, len(data) - 1)]
     shout = (end - begin > 1) & (second >= 65) & (second <= 90)  # a word in capitals is emphasis, not a name
@@ -84,7 +100,7 @@ def _read(data: np.ndarray, offsets: np.ndarray) -> tuple[list[Form], np.ndarray
     after_number[1:] = number[:-1]
     after_number[starts[starts < len(begin)]] = False
     unit = after_number & ~number & np.isin(value, _UNIT_HASHES)
-    capital = upper & ~shout
+    capital = upper & ~shout & ~number
     forms = []
     for name in (capital & ~opens, np.zeros(len(begin), bool), capital):
         code = value.copy()

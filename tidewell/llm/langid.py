@@ -26,6 +26,9 @@ from tidewell.llm import bytekit, scratch
 
 ORDER = 3
 PIECE = 1 << 18
+#: Bounds of the training sample per language: about SAMPLE_DOCS documents and SAMPLE_BYTES bytes, of documents of at most SAMPLE_BYTES / 16.
+SAMPLE_DOCS = 1500
+SAMPLE_BYTES = 1 << 25
 _models: dict[int, PpmModel] = {}
 
 
@@ -160,23 +163,26 @@ def code_lengths(data: np.ndarray, offsets: np.ndarray, order0: np.ndarray, leve
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, max_languages: int = 512) -> bytes | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, max_languages: int = 512, sample_bytes: int = SAMPLE_BYTES) -> bytes | None:
     """Learns from the labelled rows of docs; returns the packed model, or None if no row has a language.
 
-    The bound of the sample: about sample_docs rows per language, chosen by the hash of their id, in whole; all their contexts
-    seen twice are kept, however many languages there are. Every language of the table is learned;
-    more than max_languages are an error. The counts are summed on the executors; what reaches the driver is bounded by the
-    sample. An empty table, and one without labelled text, gives None.
+    The bound of the sample: rows are chosen by the hash of their id, in whole, with a share per language that makes about
+    sample_docs rows and sample_bytes bytes at most. Rows of more than sample_bytes / 16 bytes are not learned from, so that no
+    single one carries the sum far beyond; they are identified like all others. All contexts of the sample seen twice are kept.
+    Every language that has a row of that size is learned; more than max_languages are an error. The counts are summed on the
+    executors; what reaches the driver is bounded by the sample. An empty table, and one without labelled text, gives None.
+    Repeated rows count as often as they are there; columns of other names are ignored.
     """
     scratch.small_batches(docs.sparkSession)
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    size = F.octet_length(text_col)
+    rows = docs.filter(F.col(lang_col).isNotNull() & (size <= sample_bytes // 16))
+    sizes = {r["lang"]: (r["n"], r["b"]) for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"), F.sum(size).alias("b")).limit(max_languages + 1).collect()}
     if not sizes:
         return None
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     languages = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_docs / sizes[lang]))])
+    share = F.create_map(*[F.lit(x) for lang, (n, b) in sorted(sizes.items()) for x in (lang, min(1.0, sample_docs / n, sample_bytes / max(b, 1)))])
     draw = F.pmod(F.xxhash64(F.lit(11), F.col(id_col), F.length(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.filter(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
@@ -202,7 +208,8 @@ def identify(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_
     """One row per input row: doc_id, held_out, lang_pred, score.
 
     lang_pred is `und` with score 0 for a null text, a text without a letter, or without a model; else the language with
-    the shortest code (ties: the first by name), and the score is its share of 2 ** -(bits) over all languages, 1 / languages at least.
+    the shortest code (ties: the first by name), and the score is its share of 2 ** -(bits per byte) over all languages, 1 / languages
+    at least: a text that all trees code alike, as one in a foreign script, scores low however long it is.
     Whole texts are scored; other columns are ignored, whatever their names. Repeated rows have equal results; an empty table
     gives an empty result.
     """
@@ -217,9 +224,11 @@ def identify(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_
         names = np.array([*languages, "und"], object)
         for batch in batches:
             text = batch.column("text")
-            bits = code_lengths(*bytekit.buffers(text), *tables)
+            data, offsets = bytekit.buffers(text)
+            bits = code_lengths(data, offsets, *tables)
             best = bits.argmin(1)
-            p = 1 / np.exp2(np.minimum(bits.min(1, keepdims=True) - bits, 0)).sum(1)
+            more = (bits - bits.min(1, keepdims=True)) / np.maximum(np.diff(offsets), 1)[:, None]
+            p = 1 / np.exp2(-more).sum(1)
             none = np.asarray(text.is_null())
             best[none], p[none] = len(languages), 0.0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(p)], ["doc_id", "held_out", "lang_pred", "score"])
@@ -237,8 +246,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs whose language is identified, in docs' columns.
 
     Rejected are null texts, texts without a letter, and texts that no language's contexts predict: the byte frequencies of all
-    languages together (order 0 of the merged tree) code them in no more bits than the best language's tree does. So noise
-    goes, whatever its letters, and there is no threshold to fit. Repeated rows stay or go together; without a labelled row
+    languages together (order 0 of the merged tree), or equal frequencies of all bytes (order -1, 8 bits a byte), code them in no
+    more bits than the best language's tree does. The first finds noise, whatever its letters, the second scripts that no
+    tree has learned; there is no threshold to fit. Repeated rows stay or go together; without a labelled row
     nothing can be identified, and the result, like that of an empty table, is empty. Columns of any name are kept.
     """
     model = fit(docs.filter(~held_out(id_col)), id_col, text_col, lang_col, **bounds)
@@ -251,7 +261,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         plain = -np.log2(np.exp2(-order0).mean(1))[:, None]
         for text in texts:
             data, offsets = bytekit.buffers(text)
-            yield code_lengths(data, offsets, order0, levels).min(1) < code_lengths(data, offsets, plain, [])[:, 0]
+            rival = np.minimum(code_lengths(data, offsets, plain, [])[:, 0], 8.0 * np.diff(offsets))
+            yield code_lengths(data, offsets, order0, levels).min(1) < rival
 
     # texts without a letter are `und` whatever their code lengths
     return scratch.keep_rows(docs.filter(F.col(f"`{text_col}`").rlike(r"\p{L}")), text_col, keep)
