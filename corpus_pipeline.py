@@ -16,7 +16,7 @@ from tidewell.llm import decontam, langid, mixing, ngramjoin, scratch, sharding
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is not identified: null texts, texts without a letter, and texts that the byte frequencies of
-    all languages code as shortly as any language's context tree. Of repeated rows all stay or none. Empty in, empty out."""
+    all languages, or equal frequencies of all bytes (for scripts that no tree knows), code as shortly as any language's context tree. Of repeated rows all stay or none. Empty in, empty out."""
     return langid.keep_identified(docs)
 
 
