@@ -3,11 +3,13 @@
 import http.server
 import json
 import os
+import random
 import threading
 
 import duckdb
 import numpy as np
 import pytest
+from tidewell.operators import postings as P
 from tidewell.operators import search as S
 from tidewell.plans import api, cli, evaluate, ingest
 from tidewell.plans.search import Options, SearchError, search, search_batch
@@ -418,3 +420,36 @@ def test_plans_prune_and_broadcast(spark, sf_dir):
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
     assert all("text#" not in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def _found(df):
+    return sorted((r["query_id"], r["rank"], r["path"], r["ordinal"], r["score"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("step", [50, 4096])
+def test_texts_are_scored_where_they_are_read(spark, monkeypatch, step):
+    """Without a table of hits: neither what a common word meets nor what rests on plurals is written; the rows are those of the index."""
+    rng = random.Random(7)
+    pool = ["boa", "boas", "keel", "keels", "gras", "grass", "as", "ass", "a_b", "axb", "Tide", "tides", "é", "és", "the"]
+    texts = [(f"p{i % 97:02d}", " ".join(rng.choices(pool, k=rng.randint(0, 5))) + rng.choice(["", "catsuit", "a\nb"]), i // 97) for i in range(300)] + [("none", None, 0)]
+    c = spark.createDataFrame(texts, "path string, text string, ordinal int").repartition(5)
+    words = [*pool, "cat", "cats", "a_", "boa's"]
+    q = spark.createDataFrame([(f"q{i}", " ".join(rng.choices(words, k=rng.randint(1, 4)))) for i in range(60)] + [("s", "boas"), ("t", "keels tides")], "query_id string, query string")
+    monkeypatch.setattr(S, "FORM_BLOCK", 0)
+    want = {k: _found(S.text_hits(c, q, k)) for k in (1, 4)}
+    monkeypatch.setattr(S, "FORM_BLOCK", 1 << 16)
+    monkeypatch.setattr(S, "TEXT_ROWS", step)
+    postings = P.postings(c)
+    for k in (1, 4):
+        assert _found(S.text_hits(c, q, k, postings)) == want[k]
+    monkeypatch.setattr(S, "stored", None)
+    for k in (1, 4):
+        assert want[k] and _found(S.text_hits(c, q, k)) == want[k]
+
+
+def test_vectors_beside_the_texts(spark):
+    c = spark.createDataFrame([(f"p{i}", "", f"tide {i}", 0, [float(i % 7), 1.0]) for i in range(40)], "path string, section string, text string, ordinal int, vector array<float>")
+    q = asked(spark, "tide 3", [1.0, 0.5])
+    for o in (Options(), Options("vector"), Options(exclude=("7",))):
+        got = search_batch(c.drop("vector"), q, o, vectors=c.select("path", "ordinal", "vector"))
+        assert _found(got) == _found(search_batch(c, q, o))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ RRF_K = 60
 QUERY_BLOCK = 4096
 #: Numbers in a matrix of distances, or of vectors, in a task.
 BLOCK_NUMBERS = 1 << 22
+#: Words of queries that one pass over the texts compares at once, and rows of texts that are scored together.
+FORM_BLOCK = 1 << 16
+TEXT_ROWS = 4096
+#: What _ stands for in a query word: any character but a line's end.
+_ANY = "[^\n\r\u0085\u2028\u2029]"
 #: A query side larger than this is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -33,10 +40,12 @@ def text_hits(chunks: DataFrame, queries: DataFrame, k: int, postings: DataFrame
     """Lexical search: query_id, path, ordinal, score, rank.
 
     chunks: path, text, ordinal; queries: query_id, query. The score is the share of the query's words whose singular is a word of
-    the chunk; a chunk must also hold a raw query word as a substring. Works as an inverted index: words of chunks and queries
+    the chunk; a chunk must also hold a raw query word as a substring. A path and ordinal is one chunk. Up to FORM_BLOCK words of
+    queries are broadcast: each task scores its chunks against all queries and sends on k rows a query, so what is shuffled and written
+    does not grow with the chunks that a common word meets. More query words work as an inverted index: words of chunks and queries
     meet in an equi-join, the words met are counted as bits, so a task sends one row per query and chunk. postings (of
     operators.postings, with their bucket if they are stored by it) save reading and splitting the texts; these are touched only where
-    a match rests on plurals alone. The hits are written once, as they are counted and then read.
+    a match rests on plurals alone.
     """
     words = queries.select("query_id", T.query_words("query").alias("words")).filter(F.size("words") > 0)
     terms = words.select("query_id", F.size("words").alias("of"), F.posexplode("words").alias("no", "raw")).withColumn("word", T.singular(F.col("raw")))
@@ -45,24 +54,139 @@ def text_hits(chunks: DataFrame, queries: DataFrame, k: int, postings: DataFrame
     forms = terms.withColumn("form", F.explode(F.array("word", F.concat("word", F.lit("s"))))).filter(T.singular(F.col("form")) == F.col("word"))
     # a word that is its own singular, or that is met as it is, stands in the text
     sure = (F.col("raw") == F.col("word")) | (F.col("raw") == F.col("form"))
-    forms = forms.select("query_id", "of", "no", "form", sure.alias("sure"), (F.col("raw") != F.col("word")).alias("plural"))
-    longest, plural = forms.agg(F.max("no"), F.max("plural")).first()
-    if longest is None:
+    forms = forms.select("query_id", "of", "no", "raw", "form", sure.alias("sure"), (F.col("raw") != F.col("word")).alias("plural"))
+    asked = forms.limit(FORM_BLOCK + 1).collect()
+    if not asked:
         return queries.select("query_id", F.lit("").alias("path"), F.lit(0).alias("ordinal"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).filter("false")
+    few = len(asked) <= FORM_BLOCK
+    longest, plural = (None, any(r["plural"] for r in asked)) if few else forms.agg(F.max("no"), F.max("plural")).first()
+    if few and postings is None:
+        held = [F.lower("text").alias("low")] if plural else []
+        rows = chunks.filter("path is not null and text is not null").select("path", "ordinal", F.array_distinct(T.words("text")).alias("words"), *held)
+        hits = _scored(rows, asked, k, queries.schema["query_id"].dataType)
+        return _top(hits.groupBy("query_id", "path", "ordinal").agg(F.max("score").alias("score")), k, F.desc("score")).select("query_id", "path", "ordinal", "score", "rank")
     words_of = P.postings(chunks) if postings is None else postings
     if "bucket" in words_of.columns:
         words_of = P.of_words(words_of, forms.select(F.col("form").alias("word")), buckets)
-    met = words_of.select(F.col("word").alias("form"), "path", "ordinal").join(_small(forms), "form")
-    bits = {f"b{i}": F.bit_or(F.when((F.col("no") >= 63 * i) & (F.col("no") < 63 * (i + 1)), F.expr(f"shiftleft(1L, no - {63 * i})")).otherwise(F.lit(0).cast("long"))) for i in range(longest // 63 + 1)}
-    hits = met.groupBy("query_id", "path", "ordinal").agg(F.first("of").alias("of"), F.max("sure").alias("sure"), *[b.alias(n) for n, b in bits.items()])
-    hits = hits.select("query_id", "path", "ordinal", "of", "sure", sum((F.bit_count(n) for n in bits), F.lit(0)).alias("n"))
+    met = words_of.select(F.col("word").alias("form"), "path", "ordinal")
+    if few:  # the words met of a chunk are put together, not the pairs of query and chunk
+        met = met.join(F.broadcast(forms.select("form").distinct()), "form", "left_semi").filter("path is not null")
+        hits = _scored(met.groupBy("path", "ordinal").agg(F.collect_set("form").alias("words")), asked, k, queries.schema["query_id"].dataType)
+    else:
+        met = met.join(_small(forms), "form")
+        bits = {f"b{i}": F.bit_or(F.when((F.col("no") >= 63 * i) & (F.col("no") < 63 * (i + 1)), F.expr(f"shiftleft(1L, no - {63 * i})")).otherwise(F.lit(0).cast("long"))) for i in range(longest // 63 + 1)}
+        hits = met.groupBy("query_id", "path", "ordinal").agg(F.first("of").alias("of"), F.max("sure").alias("sure"), *[b.alias(n) for n, b in bits.items()])
+        hits = hits.select("query_id", "path", "ordinal", (sum((F.bit_count(n) for n in bits), F.lit(0)) / F.col("of")).alias("score"), "sure")
     if plural:
         hits = stored(hits)
         doubt = _small(hits.filter("not sure").drop("sure"))
         held = doubt.join(chunks.select("path", "ordinal", "text"), ["path", "ordinal"]).join(_small(words), "query_id")
-        held = held.filter(T.like_any(F.col("text"), F.col("words"))).select("query_id", "path", "ordinal", "of", "n")
+        held = held.filter(T.like_any(F.col("text"), F.col("words"))).select("query_id", "path", "ordinal", "score")
         hits = hits.filter("sure").drop("sure").unionByName(held)
-    return _top(hits.withColumn("score", F.col("n") / F.col("of")), k, F.desc("score")).select("query_id", "path", "ordinal", "score", "rank")
+    return _top(hits, k, F.desc("score")).select("query_id", "path", "ordinal", "score", "rank")
+
+
+class _Terms:
+    """Words of queries as tables: which terms a form stands for, and each term's query."""
+
+    def __init__(self, rows: list):
+        self.ids = list(dict.fromkeys(r["query_id"] for r in rows))
+        number = {i: n for n, i in enumerate(self.ids)}
+        self.of = np.ones(len(self.ids))
+        self.raw: list[set[str]] = [set() for _ in self.ids]
+        term: dict[tuple[int, int], int] = {}
+        at: dict[str, list[tuple[int, bool]]] = {}
+        for r in rows:
+            q = number[r["query_id"]]
+            self.of[q] = r["of"]
+            self.raw[q].add(r["raw"])
+            at.setdefault(r["form"], []).append((term.setdefault((q, r["no"]), len(term)), r["sure"]))
+        self.forms = list(at)
+        self.count = np.array([len(x) for x in at.values()])
+        self.start = np.cumsum(self.count) - self.count
+        self.term = np.array([t for x in at.values() for t, _ in x])
+        self.sure = np.array([s for x in at.values() for _, s in x], bool)
+        self.query = np.array([q for q, _ in term])
+
+    def holds(self, q: int, low: str) -> bool:
+        """functions.text.like_any of the words of query q, on a text in lower case."""
+        for w in self.raw[q]:
+            if w in low if "_" not in w else re.search("".join(_ANY if c == "_" else re.escape(c) for c in w), low):
+                return True
+        return False
+
+    def scores(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """row, query, score, sure of each chunk (its distinct words) and query that meet."""
+        q, t = len(self.ids), len(self.query)
+        form = pc.index_in(words.flatten(), pa.array(self.forms, words.type.value_type)).fill_null(-1).to_numpy()
+        row = np.repeat(np.arange(len(words)), pc.list_value_length(words).fill_null(0).to_numpy())[form >= 0]
+        form = form[form >= 0]
+        n = self.count[form]
+        at = np.repeat(self.start[form] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        row, term = np.repeat(row, n), self.term[at]
+        met = np.unique(row * t + term)  # a term that is met in both its forms counts once
+        pair, score = np.unique(met // t * q + self.query[met % t], return_counts=True)
+        sure = np.isin(pair, np.unique((row * q + self.query[term])[self.sure[at]]), assume_unique=True)
+        return pair // q, pair % q, score / self.of[pair % q], sure
+
+
+def _scored(rows: DataFrame, asked: list, k: int, id_type) -> DataFrame:
+    """rows: path, ordinal, words (distinct) and maybe low, the text in lower case -> query_id, path, ordinal, score, sure.
+
+    Of each task and query the first k rows by score, path and ordinal, and nothing else where low is given. Without it, also the rows
+    before them whose match rests on plurals alone (not sure), which must be looked up in the text.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(_Terms(asked))
+    return rows.mapInArrow(_best_texts(shared, k, id_type, "low" in rows.columns), f"query_id {id_type.simpleString()}, path string, ordinal int, score double, sure boolean")
+
+
+def _best_texts(shared, k: int, id_type, whole: bool):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind, columns = to_arrow_type(id_type), ["q", "minus", "path", "ordinal"]
+
+    def sent(ids: list, part: pd.DataFrame, sure: bool) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(part), 1 << 16):
+            p = part.iloc[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, kind).take(pa.array(p["q"].to_numpy(np.int64))), pa.array(p["path"], pa.string()), pa.array(p["ordinal"].to_numpy(np.int32)), pa.array(-p["minus"].to_numpy(np.float64)), pa.array(np.full(len(p), sure))],
+                ["query_id", "path", "ordinal", "score", "sure"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        held = pd.DataFrame({"q": np.empty(0, np.int64), "minus": np.empty(0), "path": np.empty(0, object), "ordinal": np.empty(0, np.int32)})
+        floor = np.zeros(len(terms.ids))  # the score of the k-th row held
+        for batch in batches:
+            for a in range(0, batch.num_rows, TEXT_ROWS):
+                part = batch.slice(a, TEXT_ROWS)
+                row, q, score, sure = terms.scores(part.column("words"))
+                near = score >= floor[q]
+                row, q, score, sure = row[near], q[near], score[near], sure[near]
+                if not len(row):
+                    continue
+                path, ordinal = part.column("path").to_numpy(zero_copy_only=False), part.column("ordinal").to_numpy()
+                place = np.empty(part.num_rows, np.int64)
+                place[np.lexsort((ordinal, path))] = np.arange(part.num_rows)
+                order = np.lexsort((place[row], -score, q))
+                row, q, score, sure = row[order], q[order], score[order], sure[order]
+                before = np.cumsum(sure) - sure
+                near = before - before[np.searchsorted(q, q)] < k  # fewer than k sure rows come first
+                row, q, score, sure = row[near], q[near], score[near], sure[near]
+                if whole:
+                    low = part.column("low")
+                    for i in np.flatnonzero(~sure):
+                        sure[i] = terms.holds(q[i], low[int(row[i])].as_py())
+                fresh = pd.DataFrame({"q": q, "minus": -score, "path": path[row], "ordinal": ordinal[row]})
+                if not whole:
+                    yield from sent(terms.ids, fresh[~sure], False)
+                held = pd.concat([held, fresh[sure]], ignore_index=True).sort_values(columns, kind="stable").drop_duplicates(["q", "path", "ordinal"]).groupby("q").head(k)
+                last = held.groupby("q").agg(n=("q", "size"), minus=("minus", "max"))
+                last = last[last["n"] == k]
+                floor[last.index.to_numpy()] = -last["minus"].to_numpy()
+        yield from sent(terms.ids, held, True)
+
+    return run
 
 
 def text_topk(chunks: DataFrame, queries: DataFrame, k: int, postings: DataFrame | None = None, buckets: int = P.BUCKETS) -> DataFrame:

@@ -42,9 +42,14 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("path", F.col("lang").alias("section"), "text", F.lit(0).alias("ordinal"), "mtime", "doc_id")
 
 
-def _vectors(spark: SparkSession, d: str, how: str = "inner") -> DataFrame:
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
     v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    return _chunks(spark, d).join(v, "doc_id", how)
+    return _chunks(spark, d).join(v, "doc_id")
+
+
+def _slim(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors without the texts."""
+    return _vectors(spark, d).select("path", "ordinal", "vector")
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -297,19 +302,19 @@ def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    found = search_batch(_vectors(spark, d, "left"), _queries(spark, d), Options(limit=5))
+    found = search_batch(_chunks(spark, d), _queries(spark, d), Options(limit=5), vectors=_slim(spark, d))
     return found.select("query_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
 def hybrid_search_filtered(spark: SparkSession, d: str) -> DataFrame:
-    found = search_batch(_vectors(spark, d, "left"), _queries(spark, d), Options(limit=5, exclude=("idiot",), exclude_path=("/src1/",)))
+    found = search_batch(_chunks(spark, d), _queries(spark, d), Options(limit=5, exclude=("idiot",), exclude_path=("/src1/",)), vectors=_slim(spark, d))
     return found.select("query_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
 def hybrid_search_mixed(spark: SparkSession, d: str) -> DataFrame:
     """Every third query excludes something, the others nothing: each fetches as it would alone."""
     asked = _queries(spark, d).withColumn("query", F.when(F.col("query_id") % 3 == 0, F.concat("query", F.lit(" -the"))).otherwise(F.col("query")))
-    found = search_batch(_vectors(spark, d, "left"), asked, Options(limit=5))
+    found = search_batch(_chunks(spark, d), asked, Options(limit=5), vectors=_slim(spark, d))
     return found.select("query_id", "path", F.round("score", 6).alias("score"), "rank")
 
 
@@ -319,7 +324,7 @@ def search_mode_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_mode_vector(spark: SparkSession, d: str) -> DataFrame:
-    found = search_batch(_vectors(spark, d, "left"), _queries(spark, d), Options("vector", limit=0))
+    found = search_batch(_chunks(spark, d), _queries(spark, d), Options("vector", limit=0), vectors=_slim(spark, d))
     return found.select("query_id", "path", "section", F.md5("text").alias("md5"), F.round("score", 5).alias("score"), "rank")
 
 

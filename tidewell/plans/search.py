@@ -28,8 +28,9 @@ class SearchError(ValueError):
     """The query cannot be answered as it stands."""
 
 
-def search_batch(chunks: DataFrame, queries: DataFrame, options: Options = Options(), embedder: Embedder | None = None, postings: DataFrame | None = None) -> DataFrame:  # noqa: B008
-    """queries: query_id, query, and vector unless an embedder makes it; postings: those of the chunks, if they are at hand. -> query_id, path, section, text, ordinal, score, rank.
+def search_batch(chunks: DataFrame, queries: DataFrame, options: Options = Options(), embedder: Embedder | None = None, postings: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:  # noqa: B008
+    """queries: query_id, query, and vector unless an embedder makes it; postings: those of the chunks, if they are at hand; vectors: path,
+    ordinal and vector of the chunks, if these have no vector themselves (a join that keeps texts out of its shuffle). -> query_id, path, section, text, ordinal, score, rank.
 
     Each half fetches limit rows, three times as many in hybrid mode, four times as many for a query that excludes anything;
     exclusions apply to the fetched rows, so fewer than limit may come back. A query's results do not depend on the others.
@@ -48,12 +49,12 @@ def search_batch(chunks: DataFrame, queries: DataFrame, options: Options = Optio
 
     halves = []
     if options.mode != "text":
-        vectors = asked
+        wanted = asked
         if embedder:
-            vectors = asked.withColumn("vector", embedding(embedder, F.col("query")))
+            wanted = asked.withColumn("vector", embedding(embedder, F.col("query")))
         elif "vector" not in asked.columns:
             raise SearchError(f"{options.mode} mode needs an embedder")
-        halves.append(ops.vector_hits(chunks, vectors.select("query_id", "vector"), fetch))
+        halves.append(ops.vector_hits(chunks if vectors is None else vectors, wanted.select("query_id", "vector"), fetch))
     if options.mode != "vector":
         halves.append(ops.text_hits(chunks, asked.select("query_id", "query"), fetch, postings))
     if filtered:
