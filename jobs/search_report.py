@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import common
-from tidewell.operators import postings as P
 from tidewell.plans import evaluate
 from tidewell.plans.search import Options, search_batch
 from tidewell.sources import index as indexed
@@ -51,22 +50,23 @@ def run(
     limit = int(limit)
     asked = spark.read.parquet(golden).select(F.expr(query_id).alias("query_id"), F.expr(query).alias("query"), F.expr(set).alias("set"), F.expr(expect).alias("expect"), *([F.expr(query_vector).alias("_v")] if vectors else []))
     if index:
-        chunks, postings = indexed.chunks(spark, index), indexed.postings(spark, index)
+        chunks, postings, texts_of = indexed.chunks(spark, index), indexed.postings(spark, index), None
     else:
         rows = spread(spark.read.parquet(texts)).select(F.expr(path).alias("path"), F.expr(section).alias("section"), "text", F.lit(0).alias("ordinal"), *([F.expr(text_vector).alias("_v")] if vectors and text_vector else []))
-        chunks, postings = rows, stored(P.postings(rows))  # texts are split into words once for all modes
+        chunks, postings = rows.drop("_v"), None  # all postings would be many times what a few queries need of them
+        texts_of = rows.select("path", "ordinal", "_v") if "_v" in rows.columns else None
     if vectors:
         known = spark.read.parquet(vectors).select(F.expr(vector_id).alias("_v"), F.expr(vector).alias("vector")).filter("_v is not null")
         asked = asked.join(known, "_v", "left").drop("_v")
-        chunks = chunks.join(known, "_v", "left").drop("_v") if "_v" in chunks.columns else chunks
+    vectors_of = texts_of.join(known, "_v").drop("_v") if texts_of is not None else None  # without the texts, which are not shuffled
     asked = stored(asked)
     done = {"chunks": common.rows(chunks.select("path")), "queries": common.rows(asked), "results": 0, "cases": 0, "metrics": 0}
     for mode in modes.split(","):
-        if mode != "text" and "vector" not in chunks.columns:
+        if mode != "text" and vectors_of is None:
             LOG.info("%s: the texts have no vectors, left out", mode)
             continue
         at = F.lit(mode).alias("mode")
-        found = search_batch(chunks, asked.select("query_id", "query", *(["vector"] if vectors else [])), Options(mode, limit), postings=postings)
+        found = search_batch(chunks, asked.select("query_id", "query", *(["vector"] if vectors else [])), Options(mode, limit), postings=postings, vectors=vectors_of)
         common.replace_partitions(found.select("query_id", "rank", "path", "ordinal", "section", "score", at), f"{target}/results", "mode")
         kept = results(spark, target).filter(F.col("mode") == mode)
         common.replace_partitions(evaluate.first_expected_rank(kept, asked).withColumn("mode", at), f"{target}/cases", "mode")

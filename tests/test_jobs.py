@@ -167,6 +167,15 @@ def test_search_report(spark, tmp_path):
     assert {r["mode"] for r in search_report.cases(spark, other).collect()} == {"text"}
 
 
+def test_report_writes_no_postings_of_texts(spark, tmp_path, sf_dir, monkeypatch):
+    """Of the texts only what the queries find is written."""
+    written, real = [], search_report.stored
+    monkeypatch.setattr(search_report, "stored", lambda df: written.append(df.columns) or real(df))
+    how = {"texts": f"{sf_dir}/documents.parquet", "path": "concat(doc_id, '.md')", "query_id": "item_id", "query": "text", "expect": "array('1.md')", "modes": "text"}
+    search_report.run(spark, f"{sf_dir}/benchmark.parquet", str(tmp_path / "report"), **how)
+    assert written == [["query_id", "query", "set", "expect"]]
+
+
 def test_report_from_the_index(spark, tmp_path, sf_dir):
     golden = {"query_id": "item_id", "query": "text", "expect": "array('1.md')", "modes": "text"}
     how = {"path": "concat(source, '/', doc_id, '.md')"}
