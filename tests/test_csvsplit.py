@@ -1,6 +1,7 @@
 """Large CSV files in splits against the whole-file parser."""
 
 import random
+import re
 
 import pytest
 
@@ -79,3 +80,19 @@ def test_large_files_are_ingested_in_splits(spark, tmp_path, monkeypatch):
     assert stats.written == len(rows) == store.count()
     stats, _ = ingest.ingest(store, [str(docs)], HashEmbedder())
     assert (stats.total, stats.skipped) == (1, 3)
+
+
+def test_rows_of_a_file_do_not_meet_in_one_task(spark, monkeypatch):
+    """Nothing of the size of the rows is joined by the file's path alone, which a shuffle would put into one task."""
+    rng, plans, real, name = random.Random(9), [], csvsplit.stored, "spark.sql.autoBroadcastJoinThreshold"
+    text = "\n".join(["a,b", *(f'{rng.random()},"{rng.random()}\n{rng.random()}"' for _ in range(3000))])
+    lines = [("p.csv", i // 500, i, line) for i, line in enumerate(text.split("\n"))]
+    monkeypatch.setattr(csvsplit, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20000")
+    try:
+        got = found(csvsplit.chunk_csv_lines(spark.createDataFrame(lines, "path string, block long, no long, line string")))
+    finally:
+        spark.conf.set(name, before)
+    assert got == fs.chunk_csv(text.encode(), ".csv")
+    assert len(plans) > 5 and not [p for p in plans if re.search(r"SortMergeJoin \[path#\d+\], \[path#\d+\]", p)]

@@ -90,14 +90,16 @@ def _starts(line: str) -> bool:
 
 def _line_summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for g in _groups(batches, ["path", "block"]):
-        row = {"path": g["path"].iloc[0], "block": g["block"].iloc[0]}
-        for begin, name in ((False, "out"), (True, "in")):
-            inside, n = begin, 0
-            for line, d in zip(g["line"], g["delimiter"], strict=True):
-                n += not inside and _starts(line)
-                inside = _after(line, inside, d)
-            row |= {f"{name}_end": inside, f"{name}_n": n}
-        yield pd.DataFrame([row])
+        out, inn, out_n, in_n = False, True, 0, 0
+        for line, d in zip(g["line"], g["delimiter"], strict=True):
+            starts = _starts(line)
+            out_n += not out and starts
+            in_n += not inn and starts
+            if '"' in line:
+                same = out == inn  # from here on both ways are one
+                out = _after(line, out, d)
+                inn = out if same else _after(line, inn, d)
+        yield pd.DataFrame([{"path": g["path"].iloc[0], "block": g["block"].iloc[0], "out_end": out, "out_n": out_n, "in_end": inn, "in_n": in_n}])
 
 
 def _line_chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +132,8 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 num += 1
             held.append(line)
-            inside = _after(line, inside, d)
+            if '"' in line:
+                inside = _after(line, inside, d)
         if held:
             out.append((path, num, block, "\n".join(held), whole and not inside))
         yield pd.DataFrame(out, columns=["path", "num", "block", "text", "whole"])
@@ -213,10 +216,11 @@ def chunk_csv_lines(lines: DataFrame) -> DataFrame:
     records = stored(records.mapInPandas(_fields, "path string, num long, record array<string>"))
 
     # 2. rows
-    header = records.filter("num = 1").select("path", F.col("record").alias("header"))
+    # written, as the small side of a join whose key is the file: it is then broadcast, where a shuffle would put a file into one task
+    header = stored(records.filter("num = 1").select("path", F.col("record").alias("header")))
     rows = chunking.render_csv_rows(records.filter("num > 1").join(header, "path")).filter("row <> ''")
     rows = stored(rows.select("path", "num", "row", (F.length("row") + 2).cast("long").alias("size"), F.expr(f"num div {BLOCK_ROWS}").alias("block")))
-    last = records.groupBy("path").agg(F.max("num").alias("records"))
+    last = stored(records.groupBy("path").agg(F.max("num").alias("records")))
 
     # 3. chunks
     sums = _dealt(rows.select("path", "block", "num", "size"), "path", "block", "num").mapInPandas(_row_summaries, "path string, block long, upto array<long>, end array<long>, since array<long>, all long")
