@@ -110,17 +110,19 @@ def chunk_docx_files(spark: SparkSession, d: str) -> DataFrame:
         import zipfile
         from xml.sax.saxutils import escape
 
-        for batch in batches:
+        import pyarrow as pa
+
+        for part in files_source.slices(batches):
             out = []
-            for turns in batch["t"]:
+            for turns in part.column("t").to_pylist():
                 body = "".join(f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>{escape(t["role"])}</w:t></w:r></w:p><w:p><w:r><w:t>{escape(t["text"])}</w:t></w:r></w:p>' for t in turns)
                 held = io.BytesIO()
                 with zipfile.ZipFile(held, "w") as z:
                     z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
                 out.append(held.getvalue())
-            yield batch[["path"]].assign(content=out)
+            yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(out, pa.binary())], ["path", "content"])
 
-    files = _conversations(spark, d).withColumn("path", F.replace("path", F.lit(".md"), F.lit(".docx"))).mapInPandas(pack, "path string, content binary")
+    files = _conversations(spark, d).withColumn("path", F.replace("path", F.lit(".md"), F.lit(".docx"))).mapInArrow(pack, "path string, content binary")
     return _digest(files_source.chunk_files(files)[0])
 
 

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -357,21 +358,36 @@ MAX_LINE = 1 << 20
 CHUNKS = "path string, section string, text string, ordinal int"
 
 
+#: Files, and bytes of them, that a task turns into Python objects at once.
+SLICE_ROWS = 64
+SLICE_BYTES = 1 << 22
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in small parts, of SLICE_ROWS rows or about SLICE_BYTES: what parsers make of a part is freed before the next one."""
+    for batch in batches:
+        step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(batch.nbytes, 1)))
+        for a in range(0, batch.num_rows, step):
+            yield batch.slice(a, step)
+
+
 def chunk_parsed(files: DataFrame, parsers: dict[str, Callable[[bytes, str], list[Chunk]]] | None = None) -> DataFrame:
     """files: path, format, ext, content (binary) -> chunks plus error (null, or why the file gives none)."""
     table = PARSERS | (parsers or {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+        for part in slices(batches):
             rows = []
-            for f in batch.itertuples(index=False):
+            for path, kind, ext, content in zip(*(part.column(c).to_pylist() for c in ("path", "format", "ext", "content")), strict=True):
                 try:
-                    rows += [(f.path, s, t, i, None) for i, (s, t) in enumerate(table[f.format](bytes(f.content), f.ext))]
+                    rows += [(path, s, t, i, None) for i, (s, t) in enumerate(table[kind](bytes(content), ext))]
                 except Exception as e:  # noqa: BLE001 - one broken file must not end the run
-                    rows.append((f.path, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "section", "text", "ordinal", "error"]).astype({"ordinal": "Int32"})
+                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "section", "text", "ordinal", "error"])
 
-    return files.select("path", "format", "ext", "content").mapInPandas(run, CHUNKS + ", error string")
+    return files.select("path", "format", "ext", "content").mapInArrow(run, CHUNKS + ", error string")
 
 
 def _content(path: str) -> bytes:
