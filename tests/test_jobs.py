@@ -130,6 +130,26 @@ def test_index_of_a_table_in_growing_parts(spark, tmp_path, sf_dir):
     assert plan.count() > 0
 
 
+def test_index_of_files_taken_once_is_read_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Rows are joined with the files that several batches hold, not with all files; all rows are those of a join with all."""
+    source, root, name = str(tmp_path / "docs"), str(tmp_path / "index"), "spark.sql.autoBroadcastJoinThreshold"
+    plan = lambda: index.postings(spark, root)._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get(name)
+    for mtime, paths in ((1, "abc"), (2, "b"), (3, "bd")):
+        spark.createDataFrame([(p, mtime, f"tide {p} {mtime}") for p in paths], "path string, mtime long, text string").coalesce(1).write.mode("append").parquet(source)
+        index_corpus.run(spark, source, root, f"{root}-checkpoint", buckets=2)
+        if mtime == 1:
+            spark.conf.set(name, "-1")
+            try:
+                assert "Exchange hashpartitioning(path" not in plan() and "SortMergeJoin" not in plan()
+            finally:
+                spark.conf.set(name, before)
+    for most in (200_000, 0):
+        monkeypatch.setattr(index, "OLD_ROWS", most)
+        assert sorted(r["text"] for r in index.chunks(spark, root).collect()) == ["tide a 1", "tide b 3", "tide c 1", "tide d 3"]
+        assert index.postings(spark, root).count() == 12
+
+
 def test_words_of_other_buckets_are_not_opened(spark, tmp_path):
     rows = spark.createDataFrame([(f"p{i}", 0, f"word{i}") for i in range(50)], "path string, ordinal int, text string")
     P.for_writing(P.postings(rows), 8).write.partitionBy("bucket").parquet(str(tmp_path / "p"))

@@ -15,6 +15,8 @@ CHUNKS = "path string, section string, text string, ordinal int, batch long"
 POSTINGS = "word string, path string, ordinal int, batch long, bucket int"
 FAILED = "path string, mtime long, error string, batch long"
 SCHEMAS = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "failed": FAILED}
+#: More files than this that later batches hold too are joined by shuffle.
+OLD_ROWS = 200_000
 PARTITIONS = {"postings": ("batch", "bucket")}
 
 
@@ -31,18 +33,26 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return last.select("path", "last.mtime", "last.chunks", "last.batch")
 
 
-def _live(rows: DataFrame, known: DataFrame) -> DataFrame:
-    return rows.join(known.select("path", "batch"), ["path", "batch"], "left_semi")
+def _live(rows: DataFrame, root: str) -> DataFrame:
+    """The rows of batches that count, without those of files that a later batch holds too. Only these files are joined: a table whose
+    files were taken once is read as it is, with no shuffle of its rows."""
+    spark = rows.sparkSession
+    held = table(spark, root, "files").select("path", "batch")
+    last = held.groupBy("path").agg(F.max("batch").alias("last"), F.count("*").alias("n")).filter("n > 1").select("path", "last")
+    old = held.join(last, "path").filter("batch < last").select("path", "batch")
+    rows = rows.join(F.broadcast(held.select("batch").distinct()), "batch", "left_semi")  # a row a batch
+    few = old.limit(OLD_ROWS + 1).count()
+    return rows if not few else rows.join(F.broadcast(old) if few <= OLD_ROWS else old, ["path", "batch"], "left_anti")
 
 
 def chunks(spark: SparkSession, root: str) -> DataFrame:
     """path, section, text, ordinal of all files."""
-    return _live(table(spark, root, "chunks"), files(spark, root)).drop("batch")
+    return _live(table(spark, root, "chunks"), root).drop("batch")
 
 
 def postings(spark: SparkSession, root: str) -> DataFrame:
     """word, path, ordinal, bucket of all files. A filter on bucket reaches the folders."""
-    return _live(table(spark, root, "postings"), files(spark, root)).select("word", "path", "ordinal", "bucket")
+    return _live(table(spark, root, "postings"), root).select("word", "path", "ordinal", "bucket")
 
 
 def failed(spark: SparkSession, root: str) -> DataFrame:
