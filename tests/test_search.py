@@ -453,3 +453,29 @@ def test_vectors_beside_the_texts(spark):
     for o in (Options(), Options("vector"), Options(exclude=("7",))):
         got = search_batch(c.drop("vector"), q, o, vectors=c.select("path", "ordinal", "vector"))
         assert _found(got) == _found(search_batch(c, q, o))
+
+
+def test_pairs_below_the_floor_are_not_listed():
+    """A chunk and a query are a pair only if they meet at the score of the k-th row held; the words they share are counted, not listed."""
+    import pyarrow as pa
+
+    raws = [["boa", "boas", "keel"], ["keels", "gras"], ["tide"], ["boas"]]
+    single = {"boas": "boa", "keels": "keel"}
+    asked_ = []
+    for q, words in enumerate(raws):
+        for no, raw in enumerate(words):
+            w = single.get(raw, raw)
+            asked_ += [{"query_id": f"q{q}", "of": len(words), "no": no, "raw": raw, "word": w, "form": f, "sure": raw in (w, f), "plural": raw != w} for f in (w, w + "s")]
+    texts = [["boa", "boas"], ["keel", "tides", "x"], [], ["boa"], ["gras", "keel", "boas"]]
+    met = {}
+    for i, words in enumerate(texts):
+        for q in range(len(raws)):
+            rows = [r for r in asked_ if r["query_id"] == f"q{q}" and r["form"] in words]
+            if rows:
+                met[i, q] = (len({r["no"] for r in rows}) / len(raws[q]), any(r["sure"] for r in rows))
+    terms = S._Terms(asked_)
+    words = pa.array(texts, pa.list_(pa.string()))
+    for floor in ([0.0] * 4, [0.5, 0.6, 1.0, 1.0], [0.9, 0.9, 0.0, 0.0]):
+        row, q, score, sure = terms.scores(words, np.array(floor))
+        assert {(i, j): (s, t) for i, j, s, t in zip(row.tolist(), q.tolist(), score.tolist(), sure.tolist(), strict=True)} == {k: v for k, v in met.items() if v[0] >= floor[k[1]]}
+    assert not all(t for _, t in met.values())

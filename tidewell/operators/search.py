@@ -20,7 +20,7 @@ from tidewell.sources.shared import stored
 RRF_K = 60
 #: Queries that one pass over the vectors compares at once; the block is what executors hold.
 QUERY_BLOCK = 4096
-#: Numbers in a matrix of distances, or of vectors, in a task.
+#: Numbers in a matrix of distances, of vectors, or of words met, in a task.
 BLOCK_NUMBERS = 1 << 22
 #: Words of queries that one pass over the texts compares at once, and rows of texts that are scored together.
 FORM_BLOCK = 1 << 16
@@ -54,7 +54,7 @@ def text_hits(chunks: DataFrame, queries: DataFrame, k: int, postings: DataFrame
     forms = terms.withColumn("form", F.explode(F.array("word", F.concat("word", F.lit("s"))))).filter(T.singular(F.col("form")) == F.col("word"))
     # a word that is its own singular, or that is met as it is, stands in the text
     sure = (F.col("raw") == F.col("word")) | (F.col("raw") == F.col("form"))
-    forms = forms.select("query_id", "of", "no", "raw", "form", sure.alias("sure"), (F.col("raw") != F.col("word")).alias("plural"))
+    forms = forms.select("query_id", "of", "no", "raw", "word", "form", sure.alias("sure"), (F.col("raw") != F.col("word")).alias("plural"))
     asked = forms.limit(FORM_BLOCK + 1).collect()
     if not asked:
         return queries.select("query_id", F.lit("").alias("path"), F.lit(0).alias("ordinal"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).filter("false")
@@ -87,26 +87,29 @@ def text_hits(chunks: DataFrame, queries: DataFrame, k: int, postings: DataFrame
 
 
 class _Terms:
-    """Words of queries as tables: which terms a form stands for, and each term's query."""
+    """Words of queries as tables: which word a form stands for, and the queries that ask for each word."""
 
     def __init__(self, rows: list):
         self.ids = list(dict.fromkeys(r["query_id"] for r in rows))
         number = {i: n for n, i in enumerate(self.ids)}
         self.of = np.ones(len(self.ids))
         self.raw: list[set[str]] = [set() for _ in self.ids]
-        term: dict[tuple[int, int], int] = {}
-        at: dict[str, list[tuple[int, bool]]] = {}
+        word: dict[str, int] = {}
+        terms: dict[int, set[tuple[int, int]]] = {}
+        at: dict[str, tuple[int, set[int]]] = {}
         for r in rows:
             q = number[r["query_id"]]
             self.of[q] = r["of"]
             self.raw[q].add(r["raw"])
-            at.setdefault(r["form"], []).append((term.setdefault((q, r["no"]), len(term)), r["sure"]))
+            w = word.setdefault(r["word"], len(word))
+            terms.setdefault(w, set()).add((q, r["no"]))
+            sure = at.setdefault(r["form"], (w, set()))[1]
+            if r["sure"]:
+                sure.add(q)
         self.forms = list(at)
-        self.count = np.array([len(x) for x in at.values()])
-        self.start = np.cumsum(self.count) - self.count
-        self.term = np.array([t for x in at.values() for t, _ in x])
-        self.sure = np.array([s for x in at.values() for _, s in x], bool)
-        self.query = np.array([q for q, _ in term])
+        self.word = np.array([w for w, _ in at.values()])  # a form is one of a single word
+        self.asked = _Lists([[q for q, _ in terms[w]] for w in range(len(word))])
+        self.sure = _Lists([sorted(qs) for _, qs in at.values()]) if any(r["plural"] for r in rows) else None
 
     def holds(self, q: int, low: str) -> bool:
         """functions.text.like_any of the words of query q, on a text in lower case."""
@@ -115,19 +118,40 @@ class _Terms:
                 return True
         return False
 
-    def scores(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """row, query, score, sure of each chunk (its distinct words) and query that meet."""
-        q, t = len(self.ids), len(self.query)
+    def scores(self, words: pa.ListArray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """row, query, score, sure of each chunk (its distinct words) and query that meet at a score of the query's floor or more.
+
+        The words met are counted in a table of chunks and queries, so no pair of them is sorted.
+        """
+        n, q = len(words), len(self.ids)
         form = pc.index_in(words.flatten(), pa.array(self.forms, words.type.value_type)).fill_null(-1).to_numpy()
-        row = np.repeat(np.arange(len(words)), pc.list_value_length(words).fill_null(0).to_numpy())[form >= 0]
+        row = np.repeat(np.arange(n), pc.list_value_length(words).fill_null(0).to_numpy())[form >= 0]
         form = form[form >= 0]
-        n = self.count[form]
-        at = np.repeat(self.start[form] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        row, term = np.repeat(row, n), self.term[at]
-        met = np.unique(row * t + term)  # a term that is met in both its forms counts once
-        pair, score = np.unique(met // t * q + self.query[met % t], return_counts=True)
-        sure = np.isin(pair, np.unique((row * q + self.query[term])[self.sure[at]]), assume_unique=True)
-        return pair // q, pair % q, score / self.of[pair % q], sure
+        met = np.sort(row * len(self.asked) + self.word[form])
+        met = met[np.diff(met, prepend=-1) > 0]  # a word that is met in both its forms counts once
+        count = self.asked.counted(met // len(self.asked), met % len(self.asked), n, q)
+        score = count / self.of
+        at = np.flatnonzero((count > 0) & (score >= floor))
+        sure = np.ones(len(at), bool) if self.sure is None else self.sure.counted(row, form, n, q).ravel()[at] > 0
+        return at // q, at % q, score.ravel()[at], sure
+
+
+class _Lists:
+    """Lists of queries, one after the other in one array."""
+
+    def __init__(self, lists: list[list[int]]):
+        self.count = np.array([len(x) for x in lists])
+        self.start = np.cumsum(self.count) - self.count
+        self.query = np.array([q for x in lists for q in x], np.int64)
+
+    def __len__(self) -> int:
+        return len(self.count)
+
+    def counted(self, row: np.ndarray, which: np.ndarray, rows: int, queries: int) -> np.ndarray:
+        """How often each row (a table of rows and queries) meets each query, if row i takes the list which[i]."""
+        n = self.count[which]
+        at = np.repeat(self.start[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(np.repeat(row * queries, n) + self.query[at], minlength=rows * queries).reshape(rows, queries)
 
 
 def _scored(rows: DataFrame, asked: list, k: int, id_type) -> DataFrame:
@@ -136,33 +160,33 @@ def _scored(rows: DataFrame, asked: list, k: int, id_type) -> DataFrame:
     Of each task and query the first k rows by score, path and ordinal, and nothing else where low is given. Without it, also the rows
     before them whose match rests on plurals alone (not sure), which must be looked up in the text.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(_Terms(asked))
-    return rows.mapInArrow(_best_texts(shared, k, id_type, "low" in rows.columns), f"query_id {id_type.simpleString()}, path string, ordinal int, score double, sure boolean")
-
+    spark, terms = rows.sparkSession, _Terms(asked)
+    found = rows.mapInArrow(_best_texts(spark.sparkContext.broadcast(terms), k, "low" in rows.columns), "q int, path string, ordinal int, score double, sure boolean")
+    # tasks know queries by number, so that ids of any type stay out of them
+    ids = spark.createDataFrame(list(enumerate(terms.ids)), f"q int, query_id {id_type.simpleString()}")
+    return found.join(F.broadcast(ids), "q").select("query_id", "path", "ordinal", "score", "sure")
 
-def _best_texts(shared, k: int, id_type, whole: bool):
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    kind, columns = to_arrow_type(id_type), ["q", "minus", "path", "ordinal"]
+def _best_texts(shared, k: int, whole: bool):
+    columns = ["q", "minus", "path", "ordinal"]
 
-    def sent(ids: list, part: pd.DataFrame, sure: bool) -> Iterator[pa.RecordBatch]:
+    def sent(part: pd.DataFrame, sure: bool) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(part), 1 << 16):
             p = part.iloc[a : a + (1 << 16)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, kind).take(pa.array(p["q"].to_numpy(np.int64))), pa.array(p["path"], pa.string()), pa.array(p["ordinal"].to_numpy(np.int32)), pa.array(-p["minus"].to_numpy(np.float64)), pa.array(np.full(len(p), sure))],
-                ["query_id", "path", "ordinal", "score", "sure"],
+                [pa.array(p["q"].to_numpy(np.int32)), pa.array(p["path"], pa.string()), pa.array(p["ordinal"].to_numpy(np.int32)), pa.array(-p["minus"].to_numpy(np.float64)), pa.array(np.full(len(p), sure))],
+                ["q", "path", "ordinal", "score", "sure"],
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = shared.value
         held = pd.DataFrame({"q": np.empty(0, np.int64), "minus": np.empty(0), "path": np.empty(0, object), "ordinal": np.empty(0, np.int32)})
         floor = np.zeros(len(terms.ids))  # the score of the k-th row held
+        step = max(1, min(TEXT_ROWS, BLOCK_NUMBERS // len(terms.ids)))
         for batch in batches:
-            for a in range(0, batch.num_rows, TEXT_ROWS):
-                part = batch.slice(a, TEXT_ROWS)
-                row, q, score, sure = terms.scores(part.column("words"))
-                near = score >= floor[q]
-                row, q, score, sure = row[near], q[near], score[near], sure[near]
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                row, q, score, sure = terms.scores(part.column("words"), floor)
                 if not len(row):
                     continue
                 path, ordinal = part.column("path").to_numpy(zero_copy_only=False), part.column("ordinal").to_numpy()
@@ -179,12 +203,12 @@ def _best_texts(shared, k: int, id_type, whole: bool):
                         sure[i] = terms.holds(q[i], low[int(row[i])].as_py())
                 fresh = pd.DataFrame({"q": q, "minus": -score, "path": path[row], "ordinal": ordinal[row]})
                 if not whole:
-                    yield from sent(terms.ids, fresh[~sure], False)
+                    yield from sent(fresh[~sure], False)
                 held = pd.concat([held, fresh[sure]], ignore_index=True).sort_values(columns, kind="stable").drop_duplicates(["q", "path", "ordinal"]).groupby("q").head(k)
                 last = held.groupby("q").agg(n=("q", "size"), minus=("minus", "max"))
                 last = last[last["n"] == k]
                 floor[last.index.to_numpy()] = -last["minus"].to_numpy()
-        yield from sent(terms.ids, held, True)
+        yield from sent(held, True)
 
     return run
 
