@@ -290,6 +290,24 @@ def test_line_dedup_query_compares_words(spark, tmp_path):
     assert got == {1: 0, 2: 1, 3: 1}
 
 
+def test_line_dedup_keeps_no_settled_buckets(spark, monkeypatch):
+    """A bucket of two or three lines whose pairs the filters refuse leaves no row in the index, and no row holds its bucket's others."""
+    seen, table = [], scratch.table
+
+    def kept(df, *args):
+        out = table(df, *args)
+        if "token" in out.columns:
+            seen.append((out.count(), set(out.columns)))
+        return out
+
+    monkeypatch.setattr(scratch, "table", kept)
+    rows = [(i, " ".join(["rare", *[f"w{i}x{j}" for j in range(9)]]), "en", "s") for i in range(2)]
+    assert [r["n_removed"] for r in linededup.dedup_lines(frame(spark, rows)).collect()] == [0, 0]
+    rows = [(i, " ".join([*[f"v{j}" for j in range(9)], f"u{i}"]), "en", "s") for i in range(3)]
+    assert sorted(r["n_removed"] for r in linededup.dedup_lines(frame(spark, rows)).collect()) == [0, 1, 1]
+    assert seen[0][0] == 0 and seen[1][0] > 0 and not any({"x", "y"} & columns for _, columns in seen)
+
+
 def test_line_dedup_empty(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
