@@ -308,6 +308,49 @@ def test_line_dedup_keeps_no_settled_buckets(spark, monkeypatch):
     assert seen[0][0] == 0 and seen[1][0] > 0 and not any({"x", "y"} & columns for _, columns in seen)
 
 
+def test_line_dedup_stores_no_index(spark, monkeypatch):
+    """Lines that share words, none of them alike, leave no row in any table that goes by words."""
+    seen, table = [], scratch.table
+
+    def kept(df, *args):
+        out = table(df, *args)
+        if "token" in out.columns:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "table", kept)
+    rows = [(i, " ".join([f"rare{(i + k) % 12}" for k in range(6)] + [f"w{i}x{j}" for j in range(20)]), "en", "s") for i in range(12)]
+    assert not any(r["n_removed"] for r in linededup.dedup_lines(frame(spark, rows)).collect()) and sum(seen) == 0
+
+
+@pytest.mark.parametrize("cold", [512, 1])
+def test_line_dedup_bucket_of_three(spark, monkeypatch, cold):
+    """The one bucket that lines 1 and 2 share holds line 0 too, and the line with the fewest words before the shared one is the last."""
+    monkeypatch.setattr(linededup, "COLD", cold)
+    s, c = [f"s{i}" for i in range(9)], [f"c{i}" for i in range(9)]
+    texts = [[*s, *c, "a1", "a2"], [*s, "u1", "u2"], s, *([*c, *(f"d{i}x{j}" for j in range(9))] for i in range(6))]
+    got = linededup.dedup_lines(frame(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)])).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: int(i == 2) for i in range(9)}
+
+
+@pytest.mark.parametrize(("cold", "sample", "salted"), [(1, 1 << 14, 1 << 16), (1, 1 << 14, 4), (512, 8, 1 << 16)])
+def test_line_dedup_of_hot_buckets_and_samples(spark, monkeypatch, cold, sample, salted):
+    """Neither the size of a bucket nor the sample of the rarity sketch changes a result."""
+    for name, value in (("COLD", cold), ("SAMPLE", sample), ("BUCKET", salted)):
+        monkeypatch.setattr(linededup, name, value)
+    rows = [*NASTY, (4000, "a\tb\x0bc\x0cd\re f  g h\nk l m n o", "en", "s"), (4001, "A b c d e f g h x\r\n\r\nK l m n o", "en", "s")]
+    got = Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["removed"]) for r in linededup.dedup_lines(frame(spark, rows)).collect())
+    seen, want = [], Counter()
+    for i, t, _, _ in sorted(rows, key=lambda r: place(r[0])):
+        lines, gone = [] if t is None else t.split("\n"), []
+        for k, x in enumerate(lines):
+            s = frozenset(w for w in re.split(r"[\x20\x09\x0B-\x0D]+", x.lower()) if w)
+            gone += [k] if any(similar(s, o) for o in seen) else []
+            seen += [s] if s else []
+        want[(i, len(lines), len(gone), ",".join(map(str, gone)))] += 1
+    assert got == want and got[(4001, 3, 2, "0,2")]
+
+
 def test_line_dedup_empty(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
