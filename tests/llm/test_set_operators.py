@@ -351,6 +351,56 @@ def test_line_dedup_of_hot_buckets_and_samples(spark, monkeypatch, cold, sample,
     assert got == want and got[(4001, 3, 2, "0,2")]
 
 
+def test_line_dedup_long_lines_are_no_candidates(spark, monkeypatch):
+    """Lines of 150 words that share a rare one are no pair to verify, though their words fill a bitmap of 64 bits."""
+    seen, table = [], scratch.table
+
+    def kept(df, *args):
+        out = table(df, *args)
+        if "token" in out.columns:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "table", kept)
+    rng = random.Random(5)
+    rows = [(i, " ".join([f"rare{i // 2}", *rng.sample([f"w{j}" for j in range(400)], 150)]), "en", "s") for i in range(40)]
+    assert not any(r["n_removed"] for r in linededup.dedup_lines(frame(spark, rows)).collect()) and seen and sum(seen) == 0
+
+
+def test_line_dedup_counts_buckets_not_words(spark, monkeypatch):
+    """A word of many lines that stands in the prefix of one of them only has a small bucket, and no row goes the way of large ones."""
+    monkeypatch.setattr(linededup, "COLD", 4)
+    seen, table = [], scratch.table
+
+    def kept(df, *args):
+        out = table(df, *args)
+        seen.append("salt" in out.columns)
+        return out
+
+    monkeypatch.setattr(scratch, "table", kept)
+    texts = ["common", *(" ".join([*(f"p{i // 2}x{j}" for j in range(9)), "common"]) for i in range(20))]
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: int(i > 0 and i % 2 == 0) for i in range(21)} and seen and not any(seen)
+
+
+@pytest.mark.parametrize("cold", [1024, 1])
+def test_line_dedup_of_short_and_long_sets(spark, monkeypatch, cold):
+    """Sets on both sides of the size from which on there is a second bitmap, with more and less changed than a match allows."""
+    monkeypatch.setattr(linededup, "COLD", cold)
+    rng, texts = random.Random(9), []
+    for n in (58, 64, 70, 130, 300):
+        base = [f"b{n}x{i}" for i in range(n)]
+        for e in range(8):
+            cut = rng.randrange(n // 5)
+            texts.append([w for i, w in enumerate(base) if i % 5 or i // 5 >= cut] + [f"e{n}x{e}x{i}" for i in range(rng.randrange(n // 5))])
+    seen, want = [], {}
+    for k, t in enumerate(texts):
+        want[k] = int(any(similar(frozenset(t), o) for o in seen))
+        seen.append(frozenset(t))
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(frame(spark, [(i, " ".join(t), "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got == want and 0 < sum(want.values()) < len(texts) - 5
+
+
 def test_line_dedup_empty(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
